@@ -1,5 +1,9 @@
-"""Run registered queries against their SQL: python tests/check.py FOLDER [key ...]"""
+"""Run registered queries against their SQL: python tests/check.py FOLDER [key ...]
 
+ROWS_PER_TASK=100 makes almost every series count as hot, to check the split plans.
+"""
+
+import os
 import sys
 import time
 import traceback
@@ -16,11 +20,13 @@ import __spark_entry__ as entry_points
 
 def main(folder, keys):
     spark = (
-        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", os.environ.get("SHUFFLE", "8"))
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("ROWS_PER_TASK"):
+        spark.conf.set("spark.tidegauge.rowsPerTask", os.environ["ROWS_PER_TASK"])
     queries, oracles = entry_points.queries(), entry_points.oracle_sql()
     bad = 0
     for key in keys or queries:

@@ -84,7 +84,8 @@ def cpu_percent(times: DataFrame, keys: list[str], order: list[str]) -> DataFram
     present = [s for s in CPU_STATES if s in times.columns]
     total = sum((F.col(s) for s in present[1:]), F.col(present[0]))
     scans = {f"_{s}": Previous(F.col(s)) for s in REPORTED_STATES}
-    seen = Ordered(times.withColumn("_total", total), keys, order).scan(_before=Previous(F.col("_total")), **scans).frame()
+    wanted = times.select(*keys, *order, *REPORTED_STATES, total.alias("_total"))
+    seen = Ordered(wanted, keys, order).scan(_before=Previous(F.col("_total")), **scans).frame()
     passed = F.col("_total") - F.col("_before")
     shares = [(100 * (F.col(s) - F.col(f"_{s}")) / passed).alias(f"{s}_percent") for s in REPORTED_STATES]
     return seen.filter(passed > 0).select(*keys, *order, *shares)

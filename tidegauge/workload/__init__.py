@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tidegauge.workload import buckets, selection, timeseries  # noqa: F401
+from tidegauge.workload import alerts, buckets, selection, timeseries  # noqa: F401
 from tidegauge.workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

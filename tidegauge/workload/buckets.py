@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidegauge import fixtures as fx
 from tidegauge.operators import aggregate as ag, alerting, fleet
 from tidegauge.operators.select import by_name
-from tidegauge.workload.registry import AS_OF, COUNTERS, METRICS, NODES, q6, query
+from tidegauge.workload.registry import AS_OF, COUNTERS, METRICS, NODES, alerts_sql, q6, query
 from tidegauge.workload.selection import FOLD
 
 DAY = timedelta(days=1)
@@ -18,24 +18,9 @@ HOUR = timedelta(hours=1)
 STATUS = f"""CASE WHEN {AS_OF} - last_seen > INTERVAL 18 HOUR THEN 'offline'
     WHEN {AS_OF} - last_seen > INTERVAL 6 HOUR THEN 'unhealthy' ELSE 'healthy' END"""
 
-# Breach islands of "error > 80 for 6 h" per node, as gaps and islands in SQL.
-ALERTS = f"""{METRICS}, b AS (
-  SELECT node, ts, event_id, value, value > 80 AS breach,
-         lag(value > 80) OVER (PARTITION BY node ORDER BY ts, event_id) AS was
-  FROM m WHERE name = 'error'),
-i AS (
-  SELECT *, count(CASE WHEN breach AND NOT coalesce(was, false) THEN 1 END)
-              OVER (PARTITION BY node ORDER BY ts, event_id) AS island
-  FROM b),
-al AS (
-  SELECT node, island, min(ts) FILTER (breach) AS active_at, count(*) FILTER (breach) AS samples,
-         min(ts) FILTER (NOT breach AND was) AS resolved_at,
-         arg_min(value, ts) FILTER (breach) AS first_value, arg_max(value, ts) FILTER (breach) AS last_value,
-         max(ts) FILTER (breach) AS last_breach
-  FROM i WHERE island > 0 GROUP BY 1, 2),
-alerts AS (
-  SELECT a.*, (SELECT min(x.ts) FROM i x WHERE x.node = a.node AND x.island = a.island AND x.breach
-               AND x.ts - a.active_at >= INTERVAL 6 HOUR) AS fired_at FROM al a)"""
+# The rule "error > 80 for 6 h" per node.
+ERRORS = f"{METRICS}, src AS (SELECT node, ts, event_id AS tie, event_id, value, value > 80 AS breach FROM m WHERE name = 'error')"
+ALERTS = f"{ERRORS}, {alerts_sql('src', 'node', 'INTERVAL 6 HOUR')}"
 
 
 def error_alerts(spark, folder, by=("node",), hold=timedelta(hours=6)):

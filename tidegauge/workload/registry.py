@@ -35,6 +35,28 @@ NODES = """nd AS (
 AS_OF = "(SELECT max(ts) FROM events)"
 
 
+def alerts_sql(source: str, keys: str, hold: str) -> str:
+    """CTEs that turn ``source`` (keys, ts, tie, value, breach) into ``alerts``: gaps and islands."""
+    return f"""was AS (
+  SELECT *, lag(breach) OVER (PARTITION BY {keys} ORDER BY ts, tie) AS was FROM {source}),
+isl AS (
+  SELECT *, count(CASE WHEN breach AND NOT coalesce(was, false) THEN 1 END)
+              OVER (PARTITION BY {keys} ORDER BY ts, tie) AS island FROM was),
+run AS (
+  SELECT *, min(ts) OVER (PARTITION BY {keys}, island) AS run_start FROM isl WHERE island > 0),
+raw_alerts AS (
+  SELECT {keys}, island, min(ts) FILTER (breach) AS active_at, count(*) FILTER (breach) AS samples,
+         min(ts) FILTER (breach AND ts - run_start >= {hold}) AS fired_at,
+         min(ts) FILTER (NOT breach AND was) AS resolved_at,
+         first(value ORDER BY ts, tie) FILTER (breach) AS first_value, last(value ORDER BY ts, tie) FILTER (breach) AS last_value
+  FROM run GROUP BY {keys}, island),
+alerts AS (
+  SELECT {keys}, active_at, fired_at, resolved_at, samples,
+         CASE WHEN resolved_at IS NOT NULL THEN 'resolved' WHEN fired_at IS NOT NULL THEN 'firing' ELSE 'pending' END AS state,
+         CASE WHEN fired_at IS NOT NULL THEN last_value ELSE first_value END AS value
+  FROM raw_alerts)"""
+
+
 def q6(expression: str) -> str:
     """SQL twin of ``fixtures.comparable``."""
     return f"floor(({expression}) * 1e6 + 0.3141592) / 1e6"

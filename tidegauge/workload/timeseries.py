@@ -86,9 +86,9 @@ def cpu_percent(spark, folder):
     """Hourly ticks per node; the states are running totals, as the kernel reports them."""
     states = {"user": "click", "system": "view", "idle": "purchase", "iowait": "error", "nice": "signup"}
     ticks = bucketed(fx.counts_k(spark, folder), timedelta(hours=1)).groupBy("node", F.col("bucket").alias("ts")).agg(
-        *[F.sum(F.when(F.col("name") == n, F.col("k")).otherwise(0)).cast("double").alias(f"_{s}") for s, n in states.items()]
+        *[F.sum(F.when(F.col("name") == n, F.col("k")).otherwise(0)).cast("double").alias(f"in_{s}") for s, n in states.items()]
     )
-    times = Ordered(ticks, ["node"], ["ts"]).scan(**{s: RunningSum(F.col(f"_{s}")) for s in states}).frame()
+    times = Ordered(ticks, ["node"], ["ts"]).scan(**{s: RunningSum(F.col(f"in_{s}")) for s in states}).frame()
     shares = series.cpu_percent(times, ["node"], ["ts"])
     return shares.select("node", "ts", *[fx.comparable(F.col(c)).alias(c) for c in shares.columns[2:]])
 
