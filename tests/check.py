@@ -4,6 +4,7 @@ ROWS_PER_TASK=100 makes almost every series count as hot, to check the split pla
 """
 
 import os
+import signal
 import sys
 import time
 import traceback
@@ -18,6 +19,10 @@ from pyspark.sql import SparkSession
 import __spark_entry__ as entry_points
 
 
+def _too_long(*_):
+    raise TimeoutError("query took too long")
+
+
 def main(folder, keys):
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", os.environ.get("SHUFFLE", "8"))
@@ -29,8 +34,10 @@ def main(folder, keys):
         spark.conf.set("spark.tidegauge.rowsPerTask", os.environ["ROWS_PER_TASK"])
     queries, oracles = entry_points.queries(), entry_points.oracle_sql()
     bad = 0
+    signal.signal(signal.SIGALRM, _too_long)
     for key in keys or queries:
         start = time.time()
+        signal.alarm(int(os.environ.get("LIMIT", "90")))
         try:
             df = queries[key](spark, folder)
             got = spark_rows(df)

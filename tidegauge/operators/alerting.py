@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegauge.functions.timing import as_micros, micros
+from tidegauge.plans.small import spec_table
 from tidegauge.plans.ordered import Ordered, Previous, RunningLast, covered
 
 
@@ -51,7 +52,7 @@ def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
         for r in rules
     ]
     columns = "rule string, metric_name string, operator string, threshold double, hold_us bigint, severity string, "
-    return spark.createDataFrame(rows, columns + "category string, summary string, description string, enabled boolean")
+    return spec_table(spark, rows, columns + "category string, summary string, description string, enabled boolean")
 
 
 def compare(value: Column, operator: Column, threshold: Column) -> Column:

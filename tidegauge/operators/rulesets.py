@@ -19,6 +19,7 @@ from tidegauge.functions.timing import as_micros
 from tidegauge.operators.alerting import alerts, compare
 from tidegauge.operators.series import increase_window
 from tidegauge.operators.vectors import paired, vector
+from tidegauge.plans.small import spec_table
 
 MINUTE = timedelta(minutes=1)
 
@@ -116,7 +117,8 @@ KUBERNETES_RULES = (
 def rule_columns(samples: DataFrame, rules) -> DataFrame:
     """The rules' names, texts and limits as a small table."""
     rows = [(r.name, r.operator, float(r.threshold), as_micros(r.hold), r.severity, r.category, r.summary, r.description) for r in rules]
-    return samples.sparkSession.createDataFrame(
+    return spec_table(
+        samples.sparkSession,
         rows,
         "rule string, operator string, threshold double, hold_us bigint, severity string, category string, "
         "summary string, description string",

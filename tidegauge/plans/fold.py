@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 State = Any
-Fold = Callable[[State, pd.DataFrame], tuple[State, pd.DataFrame]]
+Fold = Callable[[State, pd.DataFrame], tuple[State, pd.DataFrame | None]]
 
 
 def _runs(batch: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
@@ -38,24 +38,32 @@ def folded(
     fold: Fold,
     schema: str,
     begin: Callable[[pd.Series], State] = lambda first_row: None,
+    finish: Callable[[tuple, State], dict] | None = None,
 ) -> DataFrame:
     """Run ``fold(state, rows) -> (state, output rows)`` over each key in order.
 
     A key's rows may come in several pieces; ``begin`` makes the state its first
-    piece starts with.
+    piece starts with.  With ``finish`` the output is instead one row per key,
+    made from the key and its final state.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = object(), None
+        current, state = None, None
         for batch in batches:
             if batch.empty:
                 continue
             outputs = []
             for key, rows in _runs(batch, keys):
                 if key != current:
+                    if finish is not None and current is not None:
+                        outputs.append(pd.DataFrame([finish(current, state)]))
                     current, state = key, begin(rows.iloc[0])
                 state, output = fold(state, rows)
-                outputs.append(output)
-            yield pd.concat(outputs, ignore_index=True)
+                if finish is None:
+                    outputs.append(output)
+            if outputs:
+                yield pd.concat(outputs, ignore_index=True)
+        if finish is not None and current is not None:
+            yield pd.DataFrame([finish(current, state)])
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

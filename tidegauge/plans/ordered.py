@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.plans import scratch, skew
 
-_BLOCK = "_block"
+BLOCK = "_block"
 _LAST = "_is_last"
 _ROW = "_row_in_block"
 
@@ -62,6 +62,28 @@ class RunningMax:
 Scan = Previous | RunningSum | RunningLast | RunningMax
 
 
+def split_hot(df: DataFrame, keys: list[str], order: list[Column]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary keys, and rows of hot keys cut into even blocks (column ``BLOCK``).
+
+    Blocks are range partitions on (keys, order), so block numbers grow with
+    the order.  They are stored before use: everything downstream must see the
+    same cut.
+    """
+    hot = skew.hot_keys(df, keys)
+    if hot is None:
+        return df, None
+    table, rows = hot
+    keys_only = F.broadcast(table.select(*keys))
+    match = skew.same(df, keys_only, keys)
+    pieces = max(2, math.ceil(rows / skew.rows_per_task(df.sparkSession)))
+    blocks = (
+        df.join(keys_only, match, "left_semi")
+        .repartitionByRange(pieces, *[F.col(k) for k in keys], *order)
+        .withColumn(BLOCK, F.spark_partition_id())
+    )
+    return df.join(keys_only, match, "left_anti"), scratch.cut(blocks)
+
+
 class Ordered:
     """A frame with a per-key row order on which scans can be stacked.
 
@@ -70,23 +92,10 @@ class Ordered:
     shuffle and one sort.
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list, rows_hint=None):
+    def __init__(self, df: DataFrame, keys: list[str], order: list):
         self._keys = list(keys)
         self._order = [F.col(c) if isinstance(c, str) else c for c in order]
-        hot = skew.hot_keys(df if rows_hint is None else rows_hint, self._keys)
-        if hot is None:
-            self._whole, self._blocks = df, None
-            return
-        table, rows = hot
-        keys_only = F.broadcast(table.select(*self._keys))
-        match = skew.same(df, keys_only, self._keys)
-        self._whole = df.join(keys_only, match, "left_anti")
-        pieces = max(2, math.ceil(rows / skew.rows_per_task(df.sparkSession)))
-        self._blocks = scratch.cut(
-            df.join(keys_only, match, "left_semi")
-            .repartitionByRange(pieces, *[F.col(k) for k in self._keys], *self._order)
-            .withColumn(_BLOCK, F.spark_partition_id())
-        )
+        self._whole, self._blocks = split_hot(df, self._keys, self._order)
 
     def derive(self, **columns: Column) -> "Ordered":
         return self._each(lambda df: df.withColumns(columns))
@@ -104,7 +113,7 @@ class Ordered:
     def frame(self) -> DataFrame:
         if self._blocks is None:
             return self._whole
-        return self._whole.unionByName(self._blocks.drop(_BLOCK))
+        return self._whole.unionByName(self._blocks.drop(BLOCK))
 
     def _each(self, change: Callable[[DataFrame], DataFrame]) -> "Ordered":
         self._whole = change(self._whole)
@@ -113,20 +122,20 @@ class Ordered:
         return self
 
     def _blockwise(self, scans: dict[str, Scan]) -> DataFrame:
-        block = Window.partitionBy(*self._keys, _BLOCK).orderBy(*self._order)
+        block = Window.partitionBy(*self._keys, BLOCK).orderBy(*self._order)
         columns = {_ROW: F.row_number().over(block), _LAST: F.lead(F.lit(1)).over(block).isNull()}
         for name, scan in scans.items():
             columns[name] = _within(scan, block)
             columns[f"_out_{name}"] = _handed_on(scan, block)
         inside = self._blocks.withColumns(columns)
 
-        across = Window.partitionBy(*self._keys).orderBy(_BLOCK)
+        across = Window.partitionBy(*self._keys).orderBy(BLOCK)
         carried = inside.filter(_LAST).select(
             *[F.col(k).alias(f"_k_{k}") for k in self._keys],
-            F.col(_BLOCK).alias("_k_block"),
+            F.col(BLOCK).alias("_k_block"),
             *[_carry(s, F.col(f"_out_{n}"), across, self._keys).alias(f"_in_{n}") for n, s in scans.items()],
         )
-        match = F.col(_BLOCK) == F.col("_k_block")
+        match = F.col(BLOCK) == F.col("_k_block")
         for key in self._keys:
             match = match & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
         joined = inside.join(carried, match, "inner")

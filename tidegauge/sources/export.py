@@ -6,6 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+# Text formats would cut times to milliseconds.
+_TEXT_TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 FORMATS = ("parquet", "json", "csv", "orc")
 
 
@@ -27,7 +32,8 @@ def export(samples: DataFrame, path: str, form: str) -> DataFrame:
     """Write in one of ``FORMATS`` and read the copy back with the same schema."""
     if form not in FORMATS:
         raise ValueError(f"unknown format {form!r}")
-    options = {"header": True} if form == "csv" else {}
+    options = _TEXT_TIMES if form in ("csv", "json") else {}
+    options = {**options, "header": True} if form == "csv" else options
     samples.write.mode("error").options(**options).format(form).save(path)
     return samples.sparkSession.read.schema(samples.schema).options(**options).format(form).load(path)
 

@@ -14,6 +14,11 @@ from tidegauge import schema
 from tidegauge.functions.labels import METRIC_TYPES, decode, labels_hash, metric_type, with_labels
 
 
+def micros_of_nanos(column: str) -> Column:
+    """Nanoseconds to a timestamp, rounded down, in whole numbers throughout."""
+    return F.timestamp_micros(F.expr(f"({column} - pmod({column}, 1000)) div 1000"))
+
+
 def unpack_batches(batches: DataFrame) -> DataFrame:
     """One row per metric of each batch; times arrive as nanoseconds."""
     metric = F.col("metric")
@@ -23,7 +28,7 @@ def unpack_batches(batches: DataFrame) -> DataFrame:
         "batch_seq",
         metric["name"].alias("name"),
         metric["value"].alias("value"),
-        F.timestamp_micros(F.floor(metric["timestamp"] / 1000)).alias("ts"),
+        micros_of_nanos("metric.timestamp").alias("ts"),
         metric["timestamp"].alias("ts_ns"),
         metric["labels"].alias("labels"),
         decode(metric["type"], METRIC_TYPES).alias("type"),
@@ -73,7 +78,7 @@ def decode_stored(rows: DataFrame) -> DataFrame:
         *[c for c in rows.columns if c not in ("key", "value")],
         "name",
         "ts_ns",
-        F.timestamp_micros(F.floor(F.col("ts_ns") / 1000)).alias("ts"),
+        micros_of_nanos("ts_ns").alias("ts"),
         F.col("_body.v").alias("value"),
         F.col("_body.n").alias("node_id"),
         F.col("_body.l").alias("labels"),

@@ -13,6 +13,7 @@ from tidegauge.operators import alerting as al, cooldown, rulesets as rs, select
 from tidegauge.operators.aggregate import downsample_mean
 from tidegauge.operators.select import by_name
 from tidegauge.plans.ordered import Ordered, RunningSum
+from tidegauge.plans.small import spec_table
 from tidegauge.workload.buckets import ALERTS, error_alerts
 from tidegauge.workload.registry import COUNTERS, METRICS, alerts_sql, q6, query
 
@@ -202,7 +203,7 @@ def silence_filter(spark, folder):
 )
 def alert_dependency(spark, folder):
     pairs = [("HighErrors", "OtherSignup"), ("HighErrors", "LowViews"), ("LowViews", "FewPurchases")]
-    dependencies = spark.createDataFrame(pairs, "child string, parent string")
+    dependencies = spec_table(spark, pairs, "child string, parent string")
     return al.without_children(found(spark, folder), dependencies).select("rule", "node", "active_at", "state")
 
 
@@ -222,7 +223,7 @@ def notify_outbox(spark, folder):
 )
 def annotation_render(spark, folder):
     rows = found(spark, folder).filter((F.col("rule") == "HighErrors") & F.col("fired_at").isNotNull())
-    texts = spark.createDataFrame([("HighErrors", "Errors on {{ $labels.node }}: {{ $value }}%{{ $labels.zone }}")], "rule string, description string")
+    texts = spec_table(spark, [("HighErrors", "Errors on {{ $labels.node }}: {{ $value }}%{{ $labels.zone }}")], "rule string, description string")
     value = F.floor(F.col("value") + 0.5).cast("string")
     text = lb.render(F.col("description"), F.create_map(F.lit("node"), F.col("node")), value)
     return rows.join(texts, "rule").select("rule", "node", "active_at", text.alias("description"))
