@@ -27,7 +27,8 @@ def main(folder, keys):
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", os.environ.get("SHUFFLE", "8"))
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.python.unix.domain.socket.enabled", "true")
+        .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     if os.environ.get("ROWS_PER_TASK"):
