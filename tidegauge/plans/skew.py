@@ -8,18 +8,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ROWS_CONF = "spark.tidegauge.rowsPerTask"
 DEFAULT_ROWS = 2_000_000
-# A stored row rarely takes less than this many bytes, so a plan whose input
-# is smaller than rows * BYTES_PER_ROW cannot hold a key worth splitting.
+# A stored row rarely takes less than this many bytes, and few operators turn
+# one input row into more than FAN_OUT rows, so inputs smaller than
+# rows * BYTES_PER_ROW / FAN_OUT are not worth a counting job.  This decides
+# only whether to look for hot keys; results do not depend on it.
 BYTES_PER_ROW = 16
+FAN_OUT = 4
 
 
 def rows_per_task(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_CONF, str(DEFAULT_ROWS)))
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimised plan (no job is run)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame) -> int:
+    """Catalyst's size of the tables the plan reads (no job is run)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -37,7 +41,7 @@ def hot_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int] | None:
     """
     spark = df.sparkSession
     limit = rows_per_task(spark)
-    if estimated_bytes(df) <= limit * BYTES_PER_ROW:
+    if input_bytes(df) <= limit * BYTES_PER_ROW // FAN_OUT:
         return None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     top = counts.agg(F.max("_n").alias("top"), F.sum("_n").alias("total")).first()

@@ -21,6 +21,7 @@ from tidegauge.workload.registry import AS_OF, METRICS, q6, query
 
 HOUR = timedelta(hours=1)
 DAY = timedelta(days=1)
+ERROR_WATERMARK = "(date_trunc('milliseconds', (SELECT max(ts) FROM events WHERE event_type = 'error')) - INTERVAL 1 HOUR)"
 WATERMARK = f"(date_trunc('milliseconds', {AS_OF}) - INTERVAL 1 HOUR)"
 
 
@@ -80,7 +81,7 @@ def stream_sessions(spark, folder):
     f"""WITH {ALERTS}, tr AS (SELECT node, 'pending' AS transition, active_at AS at, active_at FROM alerts
       UNION ALL SELECT node, 'firing', fired_at, active_at FROM alerts WHERE fired_at IS NOT NULL
       UNION ALL SELECT node, 'resolved', resolved_at, active_at FROM alerts WHERE resolved_at IS NOT NULL)
-    SELECT * FROM tr WHERE tr."at" <= {WATERMARK}"""
+    SELECT * FROM tr WHERE tr."at" <= {ERROR_WATERMARK}"""
 )
 def stream_alerts(spark, folder):
     errors = samples(spark, folder).filter(F.col("name") == "error")
