@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.functions.labels import Matcher, label
-from tidegauge.functions.timing import as_micros, micros, time_bucket
+from tidegauge.functions.timing import as_micros, time_bucket
 from tidegauge.operators.select import TimeRange, selection
+from tidegauge.plans.groups import attach
 from tidegauge.plans.ordered import Ordered, RunningSum
 
 # Weights halve with every later row; below this power they are zero anyway.
@@ -187,7 +188,7 @@ def minmax_scale(points: DataFrame, keys: list[str]) -> DataFrame:
         F.least(F.min("value"), F.lit(0.0)).alias("low"), F.greatest(F.max("value"), F.lit(0.0)).alias("high")
     )
     width = F.coalesce(F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.lit(1.0))
-    return points.join(extremes, keys).withColumn("scaled", (F.col("value") - F.col("low")) / width)
+    return attach(points, extremes, keys).withColumn("scaled", (F.col("value") - F.col("low")) / width)
 
 
 def last_values(samples: DataFrame, keys: list[str], tie: list[str]) -> DataFrame:
@@ -196,11 +197,3 @@ def last_values(samples: DataFrame, keys: list[str], tie: list[str]) -> DataFram
     return samples.groupBy(*keys).agg(F.floor(newest * 100 + 0.5).alias("hundredths"), F.max("ts").alias("ts")).select(
         *keys, "ts", (F.col("hundredths") / 100).alias("value")
     )
-
-
-def per_step_span(step: timedelta) -> Column:
-    return F.lit(as_micros(step) / 1e6)
-
-
-def epoch_seconds(ts: Column) -> Column:
-    return micros(ts) / F.lit(1e6)

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.plans.fold import folded
+from tidegauge.plans.groups import attach
 from tidegauge.plans.ordered import BLOCK, Ordered, RunningSum, split_hot
 
 # Training minimum and detector settings.
@@ -45,7 +46,7 @@ def _zscore(limit: float) -> tuple[Column, Column]:
 def zscore_detect(samples: DataFrame, model: DataFrame, keys: list[str], limit: float = 3.0) -> DataFrame:
     """Score every sample against its series' model; series without a model are left out."""
     flag, score = _zscore(limit)
-    return samples.join(model, keys).withColumns({"is_anomaly": flag, "score": score})
+    return attach(samples, model, keys).withColumns({"is_anomaly": flag, "score": score})
 
 
 def zscore_online(samples: DataFrame, keys: list[str], order: list[str], limit: float = 3.0) -> DataFrame:

@@ -40,7 +40,7 @@ def cooled_down(candidates: DataFrame, keys: list[str], at: str, ident: str, gap
     if hot is None:
         sent = _fold(runs, run, width)
     else:
-        table = F.broadcast(hot[0].select(*run))
+        table = F.broadcast(hot.table.select(*run))
         match = skew.same(runs, table, run)
         short = _fold(runs.join(table, match, "left_anti"), run, width)
         sent = short.unionByName(_jump(runs.join(table, match, "left_semi"), run, width))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.operators import anomaly, forest
+from tidegauge.plans.groups import attach
 
 
 class ZScore:
@@ -33,7 +34,7 @@ class SeenRange:
 
     def score(self, samples: DataFrame, model: DataFrame) -> DataFrame:
         inside = F.col("value").between(F.col("low"), F.col("high"))
-        return samples.join(model, self._keys).withColumns(
+        return attach(samples, model, self._keys).withColumns(
             {"is_anomaly": ~inside, "score": F.when(inside, 0.0).otherwise(1.0)}
         )
 
@@ -52,7 +53,7 @@ class Ewma:
 
     def score(self, samples: DataFrame, model: DataFrame) -> DataFrame:
         fixed = model.select(*self._keys, F.col("mean").alias("mean_before"), F.col("variance").alias("var_before"))
-        return anomaly.ewma_detect(samples.join(fixed, self._keys), self._limit)
+        return anomaly.ewma_detect(attach(samples, fixed, self._keys), self._limit)
 
 
 class Forest:

@@ -12,11 +12,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.operators.anomaly import MIN_SAMPLES
 from tidegauge.operators.select import newest_per_group
-from tidegauge.plans import skew
+from tidegauge.plans.groups import top_n
 from tidegauge.plans.ordered import asof
 
 # Forest shape, anomaly limit, rows kept for retraining per sample row.
@@ -44,24 +44,12 @@ def retained(samples: DataFrame, keys: list[str], order: list[str], sample: int
 def training_pool(
     samples: DataFrame, keys: list[str], ident: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = 0
 ) -> DataFrame:
-    """Enough uniformly drawn rows per series to fill every tree, chosen by hashing row identities.
+    """Enough uniformly drawn rows per series to fill every tree: those with the smallest identity hashes.
 
-    The draw depends on seed and data only, not on partitions or retries.  Of
-    series too long for one task, rows whose hash cannot plausibly be drawn are
-    dropped before the shuffle (about twice the needed rows stay); the exact
-    cut follows for all.
+    The draw depends on seed and data only, not on partitions or retries.
     """
-    need = trees * sample
     hashed = samples.select(*keys, "value", F.xxhash64(F.lit(seed), *keys, *ident).alias("_hash"))
-    hot = skew.hot_keys(samples, keys)
-    if hot is not None:
-        counts = F.broadcast(hot[0])
-        unit = (F.col("_hash").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-        share = F.coalesce(F.lit(2.0 * need) / counts["_n"], F.lit(1.0))
-        thinned = hashed.join(counts, skew.same(hashed, counts, keys), "left").filter((share >= 1) | (unit <= share))
-        hashed = thinned.select(*[hashed[c] for c in hashed.columns])
-    drawn = Window.partitionBy(*keys).orderBy("_hash", "value")
-    return hashed.withColumn("_draw", F.row_number().over(drawn)).filter(F.col("_draw") <= need)
+    return top_n(hashed, keys, [F.col("_hash"), F.col("value")], trees * sample, "_draw")
 
 
 def train(pool: DataFrame, keys: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = 0) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.functions.labels import Matcher, label, matching
+from tidegauge.plans.groups import top_n
 
 # What a range query uses for arguments that are left out.
 DEFAULT_SPAN = timedelta(hours=1)
@@ -102,15 +103,9 @@ def keep_namespaces(
     return matching(kept, [Matcher(k, "=", v) for k, v in (pod_labels or {}).items()])
 
 
-def newest_per_group(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "_rank") -> DataFrame:
-    """First ``n`` rows per group in the given order.
-
-    Spark cuts every group to ``n`` rows on the map side before shuffling, so a
-    hot group sends at most ``n`` rows per task.
-    """
-    numbered = df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    kept = numbered.filter(F.col(rank) <= n)
-    return kept.drop(rank) if rank == "_rank" else kept
+def newest_per_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
+    """First ``n`` rows per group in the given order."""
+    return top_n(df, group, order, n, "_rank").drop("_rank")
 
 
 def fan_out(samples: DataFrame, nodes: list[str], names: list[str], span: TimeRange, limit: int, tie: str) -> DataFrame:

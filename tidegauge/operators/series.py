@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.functions.timing import as_micros, micros, seconds_between, time_bucket
-from tidegauge.operators.select import newest_per_group
+from tidegauge.plans.groups import top_n
 from tidegauge.plans.ordered import Ordered, Previous, RunningSum
 
 
@@ -101,8 +101,4 @@ def rate_of_change(samples: DataFrame, keys: list[str], order: list[str], rows:
 def top_k(points: DataFrame, k: int, tie: list[str]) -> DataFrame:
     """The k largest values of every step, ranked."""
     order = [F.col("value").desc(), *[F.col(c) for c in tie]]
-    return newest_per_group(points, ["bucket"], order, k, rank="rank")
-
-
-def age_micros(as_of, ts: str = "ts") -> Column:
-    return micros(F.lit(as_of)) - micros(F.col(ts))
+    return top_n(points, ["bucket"], order, k, "rank")

@@ -14,7 +14,6 @@ scan is as undefined as any SQL window over ties.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -72,13 +71,11 @@ def split_hot(df: DataFrame, keys: list[str], order: list[Column]) -> tuple[Data
     hot = skew.hot_keys(df, keys)
     if hot is None:
         return df, None
-    table, rows = hot
-    keys_only = F.broadcast(table.select(*keys))
+    keys_only = F.broadcast(hot.table.select(*keys))
     match = skew.same(df, keys_only, keys)
-    pieces = max(2, math.ceil(rows / skew.rows_per_task(df.sparkSession)))
     blocks = (
         df.join(keys_only, match, "left_semi")
-        .repartitionByRange(pieces, *[F.col(k) for k in keys], *order)
+        .repartitionByRange(hot.pieces, *[F.col(k) for k in keys], *order)
         .withColumn(BLOCK, F.spark_partition_id())
     )
     return df.join(keys_only, match, "left_anti"), scratch.cut(blocks)

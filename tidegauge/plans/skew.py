@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -31,13 +32,26 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int] | None:
-    """Keys with more rows than a task should take, and their total row count.
+@dataclass(frozen=True)
+class Hot:
+    """Hot keys with their row counts (column ``_n``), all their rows, and the rows one task should take."""
 
-    A key counts as hot above both the configured task size and an average
-    shuffle partition, so there are never more hot keys than shuffle
-    partitions: the list is small by construction.  The counting job ships one
-    partial count per key and map task, never the rows.
+    table: DataFrame
+    rows: int
+    per_task: int
+
+    @property
+    def pieces(self) -> int:
+        return max(2, -(-self.rows // self.per_task))
+
+
+def hot_keys(df: DataFrame, keys: list[str]) -> Hot | None:
+    """Keys with more rows than one task should take, if there are any.
+
+    A task should take the configured number of rows, or an average shuffle
+    partition if that is more, so there are never more hot keys (nor pieces of
+    them) than shuffle partitions: the list is small by construction.  The
+    counting job ships one partial count per key and map task, never the rows.
     """
     spark = df.sparkSession
     limit = rows_per_task(spark)
@@ -47,9 +61,8 @@ def hot_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int] | None:
     top = counts.agg(F.max("_n").alias("top"), F.sum("_n").alias("total")).first()
     if top["top"] is None or top["top"] <= limit:
         return None
-    share = top["total"] // int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = counts.filter(F.col("_n") > max(limit, share)).collect()
+    per_task = max(limit, top["total"] // int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hot = counts.filter(F.col("_n") > per_task).collect()
     if not hot:
         return None
-    table = spark.createDataFrame(hot, counts.schema)
-    return table, sum(r["_n"] for r in hot)
+    return Hot(spark.createDataFrame(hot, counts.schema), sum(r["_n"] for r in hot), per_task)

@@ -31,10 +31,10 @@ class InOrder(StatefulProcessor):
         self._state = handle.getValueState("state", self._state_schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = [tuple(r) for part in rows for r in part[ROW_NAMES].itertuples(index=False)]
-        if arrived:
-            self._waiting.appendList([(int(u), int(t), float(v)) for u, t, v in arrived])
-            self._wake(min(r[0] for r in arrived))
+        for part in rows:
+            if len(part):
+                self._waiting.appendList([(int(u), int(t), float(v)) for u, t, v in part[ROW_NAMES].itertuples(index=False)])
+                self._wake(int(part["us"].min()))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

@@ -26,6 +26,16 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def _state_settings(spark: SparkSession) -> dict[str, str]:
+    """State in RocksDB, in a few partitions per core: each costs a store and, for Python state, a worker."""
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.streaming.numRecentProgressUpdates": "100000",
+        "spark.sql.shuffle.partitions": str(min(wanted, 2 * spark.sparkContext.defaultParallelism)),
+    }
+
+
 def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet", files_per_trigger: int = 1) -> DataFrame:
     """Event files as a stream; event time becomes a TIMESTAMP, which watermarks need."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -43,7 +53,7 @@ def drain(stream: DataFrame, purpose: str, partition_by: tuple[str, ...] = ()) -
     """Run an append stream over everything available into a Parquet table and return the table."""
     spark = stream.sparkSession
     out = scratch.new_folder(spark, purpose)
-    with settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
+    with settings(spark, _state_settings(spark)):
         query = (
             stream.writeStream.outputMode("append")
             .option("checkpointLocation", scratch.new_folder(spark, f"{purpose}-state"))
@@ -64,7 +74,7 @@ def drain_updates(stream: DataFrame, purpose: str) -> tuple[DataFrame, Streaming
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    with settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
+    with settings(spark, _state_settings(spark)):
         query = (
             stream.writeStream.outputMode("update")
             .option("checkpointLocation", scratch.new_folder(spark, f"{purpose}-state"))

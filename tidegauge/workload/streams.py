@@ -122,13 +122,16 @@ def health_stream(spark, folder):
 @query("SELECT CAST(0 AS BIGINT) AS late_rows, count(*) AS rows_seen FROM events")
 def stream_late(spark, folder):
     """Rows that came behind the watermark, from the streaming progress; one ordered file has none."""
-    hourly = mo.downsampled(samples(spark, folder), ["name"], HOUR, HOUR)
-    return late_report(spark, hourly)
+    return late_report(samples(spark, folder), HOUR)
 
 
-def late_report(spark, stream):
-    _, finished = drain_updates(stream, "late")
+def late_report(rows, delay):
+    """Late and seen row counts of a de-duplicated ingest.
+
+    De-duplication sees single rows; an aggregation would count late groups.
+    """
+    _, finished = drain_updates(mo.deduplicated(rows, ["event_id"], delay), "late")
     progress = finished.recentProgress
     late = sum(int(op["numRowsDroppedByWatermark"]) for p in progress for op in p["stateOperators"])
     seen = sum(int(p["numInputRows"]) for p in progress)
-    return spark.createDataFrame([(late, seen)], "late_rows bigint, rows_seen bigint")
+    return rows.sparkSession.createDataFrame([(late, seen)], "late_rows bigint, rows_seen bigint")
