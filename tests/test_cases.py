@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import labels as lb
 from tidegauge.functions.timing import duration_micros, time_bucket, time_normalise
-from tidegauge.operators import aggregate, alerting, anomaly, cooldown, fleet, forecast, forest, report, select, series, vectors
+from tidegauge.operators import aggregate, alerting, anomaly, cooldown, feed, fleet, forecast, forest, report, select, series, vectors
 from tidegauge.plans.ordered import Ordered, Previous, RunningLast, RunningMax, RunningSum, asof
-from tidegauge.sources import ingest
+from tidegauge.sources import ingest, tables
 
 T0 = datetime(2024, 3, 1)
 MINUTE = timedelta(minutes=1)
@@ -243,7 +243,7 @@ def test_weekly_buckets_start_on_monday(spark):
 def test_texts(spark):
     sizes = [None, 0.0, 512.0, 1024.0, 1536.0, 5 * 1024.0**4]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "id int, v double")
-    assert column(df.withColumn("t", report.bytes_text(F.col("v"))), "t") == ["N/A", "N/A", "512.00 Bytes", "1.00 KB", "1.50 KB", "5.00 TB"]
+    assert column(df.withColumn("t", report.bytes_text(F.col("v"))), "t") == ["N/A", "N/A", "512 Bytes", "1 KB", "1.5 KB", "5 TB"]
     up = spark.createDataFrame([(0, None), (1, 90061.0), (2, 59.0)], "id int, v double")
     assert column(up.withColumn("t", report.uptime_text(F.col("v"))), "t") == ["N/A", "1d 1h 1m", "0d 0h 0m"]
 
@@ -339,3 +339,25 @@ def test_correlation_equals_a_loop(spark):
         assert (row["samples_before"], row["samples_after"]) == (len(before), len(after))
         assert row["mean_before"] == (pytest.approx(sum(before) / len(before)) if before else None)
         assert row["mean_after"] == (pytest.approx(sum(after) / len(after)) if after else None)
+
+
+def test_stored_table_prunes_by_name_and_day(spark, tmp_path):
+    rows = points(spark, range(100), timedelta(hours=1)).withColumn("name", F.when(F.col("id") % 2 == 0, "even").otherwise("odd"))
+    tables.store(rows, str(tmp_path / "t"))
+    stored = tables.load(spark, str(tmp_path / "t"))
+    span = select.TimeRange(T0 + timedelta(hours=30), T0 + timedelta(hours=40))
+    chosen = select.selection(stored, ["even"], [], span)
+    assert sorted(r["id"] for r in chosen.collect()) == [30, 32, 34, 36, 38, 40]
+    scan = chosen._jdf.queryExecution().executedPlan().toString()
+    folders = scan[scan.index("PartitionFilters") : scan.index("PushedFilters")]
+    assert "name" in folders and "date" in folders
+    assert stored.select(rows.columns).exceptAll(rows).count() == 0
+
+
+def test_many_subscriptions_are_salted(spark, monkeypatch):
+    messages = spark.createDataFrame([("alert", T0, "n", str(i)) for i in range(20)], "type string, ts timestamp_ntz, node_id string, data string")
+    subscriptions = spark.createDataFrame([("a", "all"), ("a", "alert"), ("b", "metrics"), ("c", "alert")], "client string, topic string")
+    few = sorted(feed.delivered(messages, subscriptions).select("client", "data").collect())
+    monkeypatch.setattr(feed, "_SMALL_BYTES", -1)
+    many = sorted(feed.delivered(messages, subscriptions).select("client", "data").collect())
+    assert few == many and len(few) == 40

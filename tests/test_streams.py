@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tidegauge import fixtures as fx
 from tidegauge.operators import alerting, anomaly
 from tidegauge.streaming import monitors as mo
-from tidegauge.streaming.run import drain, read_events
+from tidegauge.sources import ingest
+from tidegauge.streaming.run import drain, read_batches, read_events
+from tidegauge.workload.storage import batches, sessions
 from tidegauge.workload.streams import late_report, samples
 
 HOUR = timedelta(hours=1)
@@ -88,3 +90,18 @@ def test_late_rows_are_counted(spark, tmp_path):
     rows = samples(spark, str(tmp_path))
     assert late_report(rows, HOUR).first() == (50, 1000)
     assert late_report(rows, timedelta(days=40)).first() == (0, 1000)
+
+
+def test_json_batches_become_stored_samples(spark, tmp_path):
+    """Batches as JSON lines, through session check, unpacking and labels, without repeats."""
+    arrived = batches(spark, SMALL)
+    text = arrived.select(F.to_json(F.struct("node_id", "session_id", "batch_seq", "sent_at", "metrics")).alias("line"))
+    for _ in range(2):
+        text.coalesce(1).write.mode("append").text(str(tmp_path))
+    ready = ingest.store_ready(read_batches(spark, str(tmp_path)), sessions(spark, SMALL), "system")
+    stored = drain(mo.deduplicated(ready, ["name", "ts_ns", "unit"], timedelta(days=40)), "t-batches", ("name",))
+    events = fx.table(spark, SMALL, "events").filter("user_id % 3 <> 0")
+    want = events.select(F.col("event_id").cast("string"), F.concat(F.lit("node-"), F.col("user_id") % 10), "value")
+    got = stored.select("unit", F.col("labels")["node"], "value")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {r[0] for r in stored.select(F.col("labels")["collector"]).distinct().collect()} == {"system"}

@@ -51,16 +51,17 @@ def time_normalise(text: Column, as_of: Column, default: Column) -> Column:
 
 
 # Unit suffixes of a length of time, in microseconds.
-_UNITS = {"h": 3_600_000_000, "m": 60_000_000, "s": 1_000_000, "ms": 1_000, "us": 1, "µs": 1, "ns": 0.001}
+_UNITS = {"h": 3_600_000_000, "m": 60_000_000, "s": 1_000_000, "ms": 1_000, "us": 1, "µs": 1, "μs": 1, "ns": 0.001}
+_PART = r"(?:\d+\.?\d*|\.\d+)(?:h|ms|us|µs|μs|ns|m|s)"
 
 
 def duration_micros(text: Column) -> Column:
     """``1h30m``, ``250ms``, ``-5m`` to microseconds; null if the text is no such length."""
-    valid = text.rlike(r"^[+-]?(\d+(\.\d*)?(h|ms|us|µs|ns|m|s))+$")
-    parts = F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d*)?(?:h|ms|us|µs|ns|m|s))"), F.lit(1))
+    valid = text.rlike(f"^[+-]?({_PART})+$")
+    parts = F.regexp_extract_all(text, F.lit(f"({_PART})"), F.lit(1))
 
     def worth(part: Column) -> Column:
-        unit = F.regexp_extract(part, r"[a-zµ]+$", 0)
+        unit = F.regexp_extract(part, r"[a-zµμ]+$", 0)
         number = F.regexp_extract(part, r"^[0-9.]+", 0).try_cast("double")
         scale = F.coalesce(*[F.when(unit == u, F.lit(float(m))) for u, m in _UNITS.items()])
         return number * scale

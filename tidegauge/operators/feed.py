@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidegauge.plans.skew import input_bytes
 from tidegauge.plans.small import spec_table
 
 # Message types; the topic "all" stands for every one of them.
 MESSAGE_TYPES = ("metrics", "alert", "node_status")
 ALL = "all"
 
+_SMALL_BYTES = 10 * 1024 * 1024
+
 
 def envelope(rows: DataFrame, kind: str, ts: Column, node: Column, data: list[str]) -> DataFrame:
     """type, ts, node_id and the payload as JSON."""
@@ -32,4 +35,10 @@ def delivered(feed: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """
     spelled = spec_table(feed.sparkSession, [(ALL, t) for t in MESSAGE_TYPES] + [(t, t) for t in MESSAGE_TYPES], "topic string, type string")
     wanted = subscriptions.join(spelled, "topic").select("client", "type").distinct()
-    return feed.join(wanted, "type")
+    if input_bytes(subscriptions) <= _SMALL_BYTES:
+        return feed.join(F.broadcast(wanted), "type")
+    # Too many clients to broadcast: three types are too few join keys, so salt both sides.
+    salts = int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = feed.withColumn("_salt", F.pmod(F.xxhash64("ts", "node_id", "data"), F.lit(salts)).cast("int"))
+    copies = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, ["type", "_salt"]).drop("_salt")

@@ -29,10 +29,11 @@ def uptime_text(seconds: Column) -> Column:
 
 
 def bytes_text(size: Column) -> Column:
-    """Largest 1024 unit that keeps the number at least one, two decimals, or N/A without a value."""
+    """Largest 1024 unit that keeps the number at least one, at most two decimals, or N/A without a value."""
     steps = [F.when(size >= 1024.0**i, F.struct((size / 1024.0**i).alias("n"), F.lit(u).alias("u"))) for i, u in enumerate(UNITS)]
     scaled = F.coalesce(*reversed(steps), F.struct(size.alias("n"), F.lit(UNITS[0]).alias("u")))
-    text = F.concat(F.format_string("%.2f", scaled["n"]), F.lit(" "), scaled["u"])
+    rounded = F.format_string("%.2f", F.floor(scaled["n"] * 100 + 0.5) / 100)
+    text = F.concat(F.regexp_replace(rounded, r"\.?0+$", ""), F.lit(" "), scaled["u"])
     return F.when(F.coalesce(size, F.lit(0.0)) == 0, "N/A").otherwise(text)
 
 

@@ -37,8 +37,12 @@ def by_name(samples: DataFrame, *names: str) -> DataFrame:
     return samples.filter(F.col("name") == names[0] if len(names) == 1 else F.col("name").isin(*names))
 
 
-def in_range(samples: DataFrame, start, end, ts: str = "ts") -> DataFrame:
-    return samples.filter(F.col(ts).between(F.lit(start), F.lit(end)))
+def in_range(samples: DataFrame, start: datetime, end: datetime, ts: str = "ts") -> DataFrame:
+    """Both ends included; in a table with a ``date`` folder column other days are not even listed."""
+    chosen = samples.filter(F.col(ts).between(F.lit(start), F.lit(end)))
+    if "date" in samples.columns:
+        chosen = chosen.filter(F.col("date").between(F.lit(start.date()), F.lit(end.date())))
+    return chosen
 
 
 def selection(samples: DataFrame, names: list[str], matchers: list[Matcher], span: TimeRange | None) -> DataFrame:

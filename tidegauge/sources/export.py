@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidegauge.sources.tables import load, store
+
 # Text formats would cut times to milliseconds.
 _TEXT_TIMES = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -15,18 +17,10 @@ FORMATS = ("parquet", "json", "csv", "orc")
 
 
 def archive(samples: DataFrame, start, end, path: str, codec: str = "zstd") -> DataFrame:
-    """Write a time range (start inclusive, end exclusive) as Parquet by name and day, and read it back.
-
-    Rows are range-partitioned by the folder columns and a row hash: few files
-    per folder, and a metric or day with most of the rows is spread over as
-    many tasks as its share asks for.
-    """
+    """Store a time range (start inclusive, end exclusive) in a table of its own, and read it back."""
     chosen = samples.filter((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end)))
-    dated = chosen.withColumn("date", F.to_date("ts"))
-    spread = dated.repartitionByRange("name", "date", F.xxhash64(*samples.columns))
-    spread.write.mode("error").partitionBy("name", "date").option("compression", codec).parquet(path)
-    stored = samples.sparkSession.read.parquet(path)
-    return stored.drop("date").withColumn("name", F.col("name").cast("string")).select(*samples.columns)
+    store(chosen, path, codec)
+    return load(samples.sparkSession, path).select(*samples.columns)
 
 
 def export(samples: DataFrame, path: str, form: str) -> DataFrame:

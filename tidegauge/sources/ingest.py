@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge import schema
 from tidegauge.functions.labels import METRIC_TYPES, decode, labels_hash, metric_type, with_labels
+from tidegauge.plans.groups import attach
 
 
 def micros_of_nanos(column: str) -> Column:
@@ -26,6 +27,7 @@ def unpack_batches(batches: DataFrame) -> DataFrame:
         "node_id",
         "session_id",
         "batch_seq",
+        "sent_at",
         metric["name"].alias("name"),
         metric["value"].alias("value"),
         micros_of_nanos("metric.timestamp").alias("ts"),
@@ -40,11 +42,11 @@ def unpack_batches(batches: DataFrame) -> DataFrame:
 def accept_sessions(batches: DataFrame, sessions: DataFrame) -> DataFrame:
     """Batches of known sessions, stamped with the session's node.
 
-    Sessions are one row per connected agent; Spark broadcasts them when they
-    are small and joins by shuffle when they are not.
+    Sessions are one row per connected agent.
     """
     known = sessions.select("session_id", F.col("node_id").alias("_node"))
-    return batches.join(known, "session_id").withColumn("node_id", F.col("_node")).drop("_node")
+    joined = batches.join(known, "session_id") if batches.isStreaming else attach(batches, known, ["session_id"])
+    return joined.withColumn("node_id", F.col("_node")).drop("_node")
 
 
 def reject_sessions(batches: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -52,6 +54,13 @@ def reject_sessions(batches: DataFrame, sessions: DataFrame) -> DataFrame:
     return batches.join(sessions.select("session_id"), "session_id", "left_anti")
 
 
+def store_ready(batches: DataFrame, sessions: DataFrame, collector: str) -> DataFrame:
+    """All ingest steps in turn: session check, unpacking, times, labels."""
+    accepted = accept_sessions(batches, sessions)
+    samples = default_time(unpack_batches(accepted), F.col("sent_at"))
+    return enrich(samples, F.col("node_id"), F.lit(collector))
+
+
 def default_time(samples: DataFrame, arrival: Column) -> DataFrame:
     """A zero time means the time of arrival."""
     missing = F.coalesce(F.col("ts_ns"), F.lit(0)) == 0

@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidegauge import schema
 from tidegauge.plans import scratch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -49,6 +50,12 @@ def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def read_batches(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
+    """Agent batches, one JSON document per line, as a stream."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark.readStream.schema(schema.METRIC_BATCH).option("maxFilesPerTrigger", files_per_trigger).json(folder)
+
+
 def drain(stream: DataFrame, purpose: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Run an append stream over everything available into a Parquet table and return the table."""
     spark = stream.sparkSession

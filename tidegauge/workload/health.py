@@ -64,9 +64,9 @@ def session_timeout(spark, folder):
     SELECT usr AS id, {AS_OF} - last_seen <= INTERVAL 18 HOUR AS online,
     CASE WHEN up IS NULL OR up = 0 THEN 'N/A' ELSE CAST(CAST(floor(up * 10000 / 86400) AS BIGINT) AS VARCHAR) || 'd '
       || CAST(CAST(floor((up * 10000 % 86400) / 3600) AS BIGINT) AS VARCHAR) || 'h ' || CAST(CAST(floor((up * 10000 % 3600) / 60) AS BIGINT) AS VARCHAR) || 'm' END AS uptime,
-    CASE WHEN mem IS NULL OR mem = 0 THEN 'N/A' WHEN mem < 1 THEN mb.n || ' MB' ELSE mb.n || ' MB' END AS memory,
+    CASE WHEN mem IS NULL OR mem = 0 THEN 'N/A' ELSE mb.n || ' MB' END AS memory,
     CASE WHEN disk IS NULL THEN NULL WHEN disk >= 90 THEN 'red' WHEN disk >= 80 THEN 'yellow' ELSE 'green' END AS disk_band
-    FROM u, LATERAL (SELECT CAST(CAST(floor(mem) AS BIGINT) + 1 AS VARCHAR) || '.00' AS n) mb"""
+    FROM u, LATERAL (SELECT CAST(CAST(floor(mem) AS BIGINT) + 1 AS VARCHAR) AS n) mb"""
 )
 def node_report(spark, folder):
     """Latest metrics per node pivoted and worded; memory is scaled to whole MB between 1 and 1023."""

@@ -19,7 +19,7 @@ DAY = timedelta(days=1)
 
 
 def batches(spark, folder):
-    """Events of an hour and a user as one agent batch; its type code is the event's number mod 5."""
+    """Events of an hour and a user as agent batches of at most 1000; the type code is the event's number mod 5."""
     hour = F.date_trunc("hour", F.col("ts"))
     metric = F.struct(
         F.col("event_type").alias("name"),
@@ -30,7 +30,7 @@ def batches(spark, folder):
         F.lit("").alias("help"),
         F.col("event_id").cast("string").alias("unit"),
     )
-    return fx.table(spark, folder, "events").groupBy("user_id", hour.alias("sent_at")).agg(
+    return fx.table(spark, folder, "events").groupBy("user_id", hour.alias("sent_at"), F.floor(F.col("event_id") / 1000)).agg(
         F.collect_list(metric).alias("metrics"), F.min("event_id").alias("batch_seq")
     ).select(
         F.lit("unknown").alias("node_id"), F.concat(F.lit("session-"), F.col("user_id")).alias("session_id"), "batch_seq", "sent_at", "metrics"
