@@ -133,8 +133,10 @@ def _decayed(start: float, x: np.ndarray, a: float) -> np.ndarray:
     return pd.Series(np.concatenate([[start], x])).ewm(alpha=a, adjust=False).mean().to_numpy()
 
 
-# A stretch of rows as a function of the state (M, V) it starts with: the mean
-# ends at m + p M and the variance at a - 2 b M + c M^2 + p V.
+# A stretch of rows as a function of the state it starts with.  With everything
+# measured from the stretch's first value, (M, V) becomes m + p M for the mean
+# and a - 2 b M + c M^2 + p V for the variance; measuring from a value of the
+# series itself keeps these differences free of cancellation.
 _SUMMARY = ["first", "p", "m", "a", "b", "c"]
 
 
@@ -142,15 +144,17 @@ def _ewma_summary(alpha: float):
     q = 1 - alpha
 
     def step(state, rows: pd.DataFrame):
-        x = rows["value"].to_numpy(dtype=float)
+        raw = rows["value"].to_numpy(dtype=float)
+        first = raw[0] if state is None else state[0]
+        x = raw - first
         means = _decayed(0.0, x, alpha)
         off = x - means[:-1]
         last = alpha * q ** (len(x) - 1)
         p2, m2, a2 = q ** len(x), means[-1], _decayed(0.0, off**2, alpha)[-1]
         b2, c2 = last * off.sum(), last * (q ** np.arange(len(x))).sum()
         if state is None:
-            return (x[0], p2, m2, a2, b2, c2), None
-        first, p1, m1, a1, b1, c1 = state
+            return (first, p2, m2, a2, b2, c2), None
+        _, p1, m1, a1, b1, c1 = state
         a = a2 - 2 * b2 * m1 + c2 * m1**2 + p2 * a1
         b = b2 * p1 - c2 * m1 * p1 + p2 * b1
         return (first, p1 * p2, m2 + p2 * m1, a, b, c2 * p1**2 + p2 * c1), None
@@ -166,8 +170,8 @@ def _ewma_chain(block_keys: list[str]):
         starts, state = [], None
         for first, p, m, a, b, c in ordered[_SUMMARY].to_numpy():
             starts.append((np.nan, np.nan) if state is None else state)
-            mean, var = (first, 0.0) if state is None else state
-            state = m + p * mean, a - 2 * b * mean + c * mean**2 + p * var
+            mean, var = (0.0, 0.0) if state is None else (state[0] - first, state[1])
+            state = first + m + p * mean, max(0.0, a - 2 * b * mean + c * mean**2 + p * var)
         out = ordered[block_keys].copy()
         out["_m"], out["_v"] = zip(*starts)
         return out
