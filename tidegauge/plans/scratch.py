@@ -29,8 +29,11 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later jobs read the stored rows and partitions."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(root(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Store the rows as a table in the shared folder and go on from there.
+
+    Later jobs read the stored rows, pruned to the columns they need, and
+    nothing before them is computed again, whatever executors are lost.
+    """
+    path = new_folder(df.sparkSession, "cut")
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
