@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, functions as F
 
@@ -11,6 +11,13 @@ _MICRO = timedelta(microseconds=1)
 _DAYS_TO_EPOCH = 719_162
 
 
+def instant(moment: datetime) -> Column:
+    """A point in time as a literal; without a zone it means UTC wherever the driver runs."""
+    if moment.tzinfo is not None:
+        return F.lit(moment)
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since 1970-01-01 (session time zone must be UTC for NTZ input)."""
     return F.unix_micros(ts.cast("timestamp"))

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidegauge.functions.timing import as_micros, micros
+from tidegauge.functions.timing import as_micros, instant, micros
 from tidegauge.plans.small import spec_table
 from tidegauge.plans.ordered import Ordered, Previous, RunningLast, covered
 
@@ -157,7 +157,7 @@ def current_rules(changes: DataFrame, as_of, order: list[str]) -> DataFrame:
     The definition is the latest put after the latest delete; the switch is the
     latest put, enable or disable.  Only maxima per rule are needed.
     """
-    known = changes.filter(F.col("ts") <= F.lit(as_of))
+    known = changes.filter(F.col("ts") <= instant(as_of))
     at, op = F.struct(*order), F.col("op")
     columns = [c for c in changes.columns if c not in ("rule", "op", *order)]
     latest = known.groupBy("rule").agg(
@@ -190,7 +190,7 @@ def without_children(found: DataFrame, dependencies: DataFrame) -> DataFrame:
         F.col("child").alias("rule"),
         "node",
         F.col("active_at").alias("opened"),
-        F.coalesce("resolved_at", F.lit(_NEVER)).alias("closed"),
+        F.coalesce("resolved_at", instant(_NEVER)).alias("closed"),
     )
     checked = covered(found, "active_at", parents, "opened", "closed", ["rule", "node"])
     under_parent = F.col("covered_until").isNotNull() & (F.col("covered_until") > F.col("active_at"))

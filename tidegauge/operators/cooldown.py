@@ -66,7 +66,7 @@ def _jump(runs: DataFrame, run: list[str], width: int) -> DataFrame:
     wanted = runs.select(*run, "_id", (-(F.col("_us") + width)).alias("_at"))
     offered = runs.select(*run, (-F.col("_us")).alias("_at"), F.struct((-F.col("_us")).alias("u"), "_id").alias("_next"))
     # Among equal times the smallest id is the one that is sent.
-    first = offered.groupBy(*run, "_at").agg(F.max_by("_next", F.struct(F.col("_next.u"))).alias("_any"), F.min("_next").alias("_next")).drop("_any")
+    first = offered.groupBy(*run, "_at").agg(F.min("_next").alias("_next"))
     hops = asof(wanted, first, run, ["_at", "_id"], ["_at"], ["_next"])
     hop = scratch.cut(hops.select("_id", F.col("_next._id").alias("_to")).filter(F.col("_to").isNotNull()))
     heads = runs.groupBy(*run).agg(F.min(F.struct("_us", "_id")).alias("_h")).select(F.col("_h._id").alias("_id"))

@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidegauge.functions.timing import micros, as_micros
+from tidegauge.functions.timing import as_micros, instant, micros
 from tidegauge.plans.ordered import Ordered, Previous, RunningSum
 
 # Heartbeat timeout, and how many timeouts make a node offline.
@@ -44,7 +44,7 @@ def health_status(age_us: Column, timeout: timedelta = HEARTBEAT_TIMEOUT) -> Col
 
 
 def check_health(nodes: DataFrame, as_of, timeout: timedelta = HEARTBEAT_TIMEOUT) -> DataFrame:
-    age = micros(F.lit(as_of)) - micros(F.col("last_seen"))
+    age = micros(instant(as_of)) - micros(F.col("last_seen"))
     return nodes.withColumn("status", health_status(age, timeout))
 
 

@@ -7,7 +7,7 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidegauge.functions.timing import as_micros, micros
+from tidegauge.functions.timing import as_micros, instant, micros
 from tidegauge.operators.aggregate import downsample_mean
 
 
@@ -22,7 +22,7 @@ class Tiers:
 
 
 def tier(as_of, tiers: Tiers, ts: str = "ts") -> Column:
-    age = micros(F.lit(as_of)) - micros(F.col(ts))
+    age = micros(instant(as_of)) - micros(F.col(ts))
     return (
         F.when(age <= as_micros(tiers.hot), "hot")
         .when(age <= as_micros(tiers.warm), "warm")
@@ -33,20 +33,20 @@ def tier(as_of, tiers: Tiers, ts: str = "ts") -> Column:
 
 def kept(samples: DataFrame, as_of, tiers: Tiers) -> DataFrame:
     """Samples not older than the retention period; the comparison reaches the scan."""
-    return samples.filter(F.col("ts") >= F.lit(as_of - tiers.keep))
+    return samples.filter(F.col("ts") >= instant(as_of - tiers.keep))
 
 
 def removed_count(samples: DataFrame, as_of, tiers: Tiers) -> DataFrame:
-    return samples.filter(F.col("ts") < F.lit(as_of - tiers.keep)).agg(F.count(F.lit(1)).alias("removed"))
+    return samples.filter(F.col("ts") < instant(as_of - tiers.keep)).agg(F.count(F.lit(1)).alias("removed"))
 
 
 def compacted(samples: DataFrame, keys: list[str], as_of, tiers: Tiers, step: timedelta, tie: list[str]) -> DataFrame:
     """Hot samples as they are, warm ones as bucket means: one view over both."""
     at = as_of - tiers.hot
-    hot = samples.filter(F.col("ts") >= F.lit(at)).select(
+    hot = samples.filter(F.col("ts") >= instant(at)).select(
         *keys, "ts", "value", F.lit(1).cast("bigint").alias("points"), F.lit("hot").alias("tier")
     )
-    warm_rows = samples.filter((F.col("ts") < F.lit(at)) & (F.col("ts") >= F.lit(as_of - tiers.warm)))
+    warm_rows = samples.filter((F.col("ts") < instant(at)) & (F.col("ts") >= instant(as_of - tiers.warm)))
     warm = downsample_mean(warm_rows, keys, step, tie).select(
         *keys, F.col("bucket").alias("ts"), F.col("mean").alias("value"), "points", F.lit("warm").alias("tier")
     )

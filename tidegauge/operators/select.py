@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.functions.labels import Matcher, label, matching
+from tidegauge.functions.timing import instant
 from tidegauge.plans.groups import top_n
 
 # What a range query uses for arguments that are left out.
@@ -39,7 +40,7 @@ def by_name(samples: DataFrame, *names: str) -> DataFrame:
 
 def in_range(samples: DataFrame, start: datetime, end: datetime, ts: str = "ts") -> DataFrame:
     """Both ends included; in a table with a ``date`` folder column other days are not even listed."""
-    chosen = samples.filter(F.col(ts).between(F.lit(start), F.lit(end)))
+    chosen = samples.filter(F.col(ts).between(instant(start), instant(end)))
     if "date" in samples.columns:
         chosen = chosen.filter(F.col("date").between(F.lit(start.date()), F.lit(end.date())))
     return chosen
@@ -68,7 +69,7 @@ def filter_alerts(alerts: DataFrame, state=None, severity=None, node=None, since
     if node is not None:
         chosen = chosen.filter(label(chosen, "node") == node)
     if since is not None:
-        chosen = chosen.filter(F.col("active_at") >= F.lit(since))
+        chosen = chosen.filter(F.col("active_at") >= instant(since))
     return chosen
 
 

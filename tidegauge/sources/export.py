@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidegauge.functions.timing import instant
 from tidegauge.sources.tables import load, store
 
 # Text formats would cut times to milliseconds.
@@ -18,7 +19,7 @@ FORMATS = ("parquet", "json", "csv", "orc")
 
 def archive(samples: DataFrame, start, end, path: str, codec: str = "zstd") -> DataFrame:
     """Store a time range (start inclusive, end exclusive) in a table of its own, and read it back."""
-    chosen = samples.filter((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end)))
+    chosen = samples.filter((F.col("ts") >= instant(start)) & (F.col("ts") < instant(end)))
     store(chosen, path, codec)
     return load(samples.sparkSession, path).select(*samples.columns)
 

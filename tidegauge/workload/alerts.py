@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegauge import fixtures as fx
 from tidegauge.functions import labels as lb
-from tidegauge.functions.timing import micros
+from tidegauge.functions.timing import instant, micros
 from tidegauge.operators import alerting as al, cooldown, rulesets as rs, select as sel, vectors
 from tidegauge.operators.aggregate import downsample_mean
 from tidegauge.operators.select import by_name
@@ -293,8 +293,8 @@ FAST_SQL = f"""{COUNTERS}, fast AS (
 
 
 def _fast(spark, folder):
-    offset = F.floor((micros(F.col("ts")) - micros(F.lit(EPOCH))) / SPEED)
-    ts = F.lit(EPOCH) + F.lit(timedelta(microseconds=1)) * offset
+    offset = F.floor((micros(F.col("ts")) - micros(instant(EPOCH))) / SPEED)
+    ts = instant(EPOCH) + F.lit(timedelta(microseconds=1)) * offset
     events = fx.table(spark, folder, "events").select(
         "event_id",
         "ts",

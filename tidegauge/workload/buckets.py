@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from tidegauge import fixtures as fx
-from tidegauge.operators import aggregate as ag, alerting, fleet
+from tidegauge.operators import aggregate as ag, alerting, fleet, series
 from tidegauge.operators.select import by_name
 from tidegauge.workload.registry import AS_OF, COUNTERS, METRICS, NODES, alerts_sql, q6, query
 from tidegauge.workload.selection import FOLD
@@ -143,8 +143,6 @@ def active_alert_count(spark, folder):
     SELECT node, bucket, {q6("sum(rate)")} AS value FROM r GROUP BY 1, 2"""
 )
 def agg_sum_by(spark, folder):
-    from tidegauge.operators import series
-
     rates = series.rate_window(fx.counters(spark, folder), ["node", "name"], ["ts", "event_id"], DAY, DAY)
     summed = ag.sum_by(rates, ["node", "window_start"], "rate")
     return summed.select("node", F.col("window_start").alias("bucket"), fx.comparable(F.col("value")).alias("value"))

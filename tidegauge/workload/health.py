@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from tidegauge import fixtures as fx
+from tidegauge.functions.timing import instant
 from tidegauge.operators import feed, fleet, report
 from tidegauge.plans.small import spec_table
 from tidegauge.workload.buckets import ALERTS, STATUS, checked_nodes, error_alerts
@@ -78,7 +79,7 @@ def node_report(spark, folder):
         {
             "uptime_seconds": F.col("uptime_seconds") * 10000,
             "memory_bytes": F.when(F.col("memory_bytes") != 0, (F.floor("memory_bytes") + 1) * 1048576.0),
-            "online": F.lit(as_of) - F.col("last_seen") <= F.lit(timedelta(hours=18)),
+            "online": instant(as_of) - F.col("last_seen") <= F.lit(timedelta(hours=18)),
         }
     )
     return scaled.select(

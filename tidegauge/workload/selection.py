@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidegauge import fixtures as fx
 from tidegauge.functions import labels as lb
 from tidegauge.functions.labels import Matcher
-from tidegauge.functions.timing import time_bucket, time_normalise
+from tidegauge.functions.timing import instant, time_bucket, time_normalise
 from tidegauge.operators import aggregate as ag, fleet, select as sel
 from tidegauge.operators.select import TimeRange
 from tidegauge.workload.registry import AS_OF, METRICS, NODES, q6, query
@@ -97,7 +97,7 @@ def time_normalise_rows(spark, folder):
         .when(form == 3, F.date_format(second, "yyyy-MM-dd'T'HH:mm:ss'+02:00'"))
         .otherwise("yesterday")
     )
-    as_of = F.lit(datetime(2024, 2, 1))
+    as_of = instant(datetime(2024, 2, 1))
     raw = fx.table(spark, folder, "events").select("event_id", text.alias("raw"))
     return raw.select("event_id", time_normalise(F.col("raw"), as_of, as_of).cast("timestamp_ntz").alias("at"))
 
@@ -130,7 +130,7 @@ def metrics_limit(spark, folder):
 def node_search(spark, folder):
     nodes = fx.nodes(spark, folder)
     as_of = fx.newest(fx.table(spark, folder, "events"))
-    known = nodes.withColumn("online", F.lit(as_of) - F.col("last_seen") <= F.lit(timedelta(hours=18)))
+    known = nodes.withColumn("online", instant(as_of) - F.col("last_seen") <= F.lit(timedelta(hours=18)))
     return sel.search_nodes(known, "NODE-1", "online").drop("online")
 
 

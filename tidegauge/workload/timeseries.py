@@ -101,7 +101,7 @@ def cpu_percent(spark, folder):
 )
 def topk(spark, folder):
     points = vectors.vector(fx.metrics(spark, folder), "purchase", ["node"], DAY, fx.TIE, take="high")
-    return series.top_k(points, 3, ["node"])
+    return series.top_k(points, 3, ["node"]).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(
