@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tidegauge.functions.timing import as_micros, micros, seconds_between, time_bucket
+from tidegauge.functions.timing import as_micros, seconds_between, time_bucket
 from tidegauge.plans.groups import top_n
 from tidegauge.plans.ordered import Ordered, Previous, RunningSum
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidegauge.functions.timing import time_bucket
 from tidegauge.operators.aggregate import downsample_mean
 from tidegauge.operators.select import by_name
-from tidegauge.plans.ordered import Ordered, RunningLast, RunningSum, asof
+from tidegauge.plans.ordered import Ordered, RunningSum, asof
 
 
 def vector(samples: DataFrame, name: str, by: list[str], step: timedelta, tie: list[str], take: str = "last") -> DataFrame:

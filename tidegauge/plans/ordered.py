@@ -91,6 +91,8 @@ class Ordered:
 
     def __init__(self, df: DataFrame, keys: list[str], order: list):
         self._keys = list(keys)
+        # Ascending plain columns can be compared as a struct.
+        self._position = F.struct(*order) if all(isinstance(c, str) for c in order) else None
         self._order = [F.col(c) if isinstance(c, str) else c for c in order]
         self._whole, self._blocks = split_hot(df, self._keys, self._order)
 
@@ -120,25 +122,33 @@ class Ordered:
 
     def _blockwise(self, scans: dict[str, Scan]) -> DataFrame:
         block = Window.partitionBy(*self._keys, BLOCK).orderBy(*self._order)
-        columns = {_ROW: F.row_number().over(block), _LAST: F.lead(F.lit(1)).over(block).isNull()}
-        for name, scan in scans.items():
-            columns[name] = _within(scan, block)
-            columns[f"_out_{name}"] = _handed_on(scan, block)
+        columns = {_ROW: F.row_number().over(block), **{n: _within(s, block) for n, s in scans.items()}}
         inside = self._blocks.withColumns(columns)
 
         across = Window.partitionBy(*self._keys).orderBy(BLOCK)
-        carried = inside.filter(_LAST).select(
+        carried = self._summaries(scans, block).select(
             *[F.col(k).alias(f"_k_{k}") for k in self._keys],
             F.col(BLOCK).alias("_k_block"),
-            *[_carry(s, F.col(f"_out_{n}"), across, self._keys).alias(f"_in_{n}") for n, s in scans.items()],
+            *[_carry(s, F.col(f"_out_{n}"), across).alias(f"_in_{n}") for n, s in scans.items()],
         )
         match = F.col(BLOCK) == F.col("_k_block")
         for key in self._keys:
             match = match & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
-        joined = inside.join(carried, match, "inner")
+        # Blocks are contiguous, so there are at most hot keys + blocks carried rows.
+        joined = inside.join(F.broadcast(carried), match, "inner")
         merged = {n: _merge(s, F.col(n), F.col(f"_in_{n}"), F.col(_ROW)) for n, s in scans.items()}
         return joined.withColumns(merged).select(*self._blocks.columns, *scans)
 
+    def _summaries(self, scans: dict[str, Scan], block) -> DataFrame:
+        """One row per key and block with what the block hands on."""
+        totals = {n: _block_total(s, self._position) for n, s in scans.items()}
+        if all(total is not None for total in totals.values()):
+            aggregates = [total.alias(f"_out_{n}") for n, total in totals.items()]
+            return self._blocks.groupBy(*self._keys, BLOCK).agg(*aggregates)
+        columns = {f"_out_{n}": _handed_on(s, block) for n, s in scans.items()}
+        last = F.lead(F.lit(1)).over(block).isNull()
+        return self._blocks.withColumns({_LAST: last, **columns}).filter(_LAST)
+
 
 def _upto(window, inclusive: bool):
     return window.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
@@ -156,6 +166,20 @@ def _within(scan: Scan, window) -> Column:
             return F.max(expr).over(_upto(window, inclusive))
 
 
+def _block_total(scan: Scan, position: Column | None) -> Column | None:
+    """The same as ``_handed_on`` as an aggregate, which needs no sorted block; None if there is none."""
+    match scan:
+        case RunningSum(expr):
+            return F.sum(expr)
+        case RunningMax(expr):
+            return F.max(expr)
+        case RunningLast(expr) if position is not None:
+            return F.max_by(expr, F.when(expr.isNotNull(), position))
+        case Previous(expr, 1) if position is not None:
+            return F.array(F.max_by(F.struct(expr.alias("v")), position))
+    return None
+
+
 def _handed_on(scan: Scan, window) -> Column:
     """What the last row of a block knows about the whole block."""
     match scan:
@@ -170,7 +194,7 @@ def _handed_on(scan: Scan, window) -> Column:
             return F.max(expr).over(_upto(window, True))
 
 
-def _carry(scan: Scan, out: Column, across, keys: list[str]) -> Column:
+def _carry(scan: Scan, out: Column, across) -> Column:
     """Combine the summaries of all earlier blocks of the key."""
     match scan:
         case Previous(_, offset):
