@@ -37,7 +37,7 @@ def line_item_queries():
     """The series operators over ``lineitem`` taken as samples."""
     return {
         "li_pairwise": lambda s: aggregate.downsample_pairwise(s, KEYS, MONTH, TIE),
-        "li_mean": lambda s: aggregate.downsample_mean(s, KEYS, MONTH, TIE),
+        "li_mean": lambda s: aggregate.downsample_mean(s, KEYS, MONTH),
         "li_delta": lambda s: series.delta_encode(s, KEYS, ORDER),
         "li_rate": lambda s: series.counter_rate(s, KEYS, ORDER),
         "li_alerts": lambda s: alerting.alerts(s, KEYS, TIE, F.col("value") > 50_000, F.lit(timedelta(days=30))),

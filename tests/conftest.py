@@ -31,7 +31,7 @@ def split_everything(spark):
     """Settings under which almost every key counts as too long for one task."""
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.tidegauge.rowsPerTask", "7")
-    spark.conf.set("spark.sql.shuffle.partitions", "150")
+    spark.conf.set("spark.sql.shuffle.partitions", "80")
     yield
     spark.conf.unset("spark.tidegauge.rowsPerTask")
     spark.conf.set("spark.sql.shuffle.partitions", before)

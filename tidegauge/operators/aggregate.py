@@ -37,8 +37,13 @@ def downsample_pairwise(samples: DataFrame, keys: list[str], step: timedelta, ti
     return ranked.groupBy(*group).agg(folded.alias("value"), F.count(F.lit(1)).alias("points"))
 
 
-def downsample_mean(samples: DataFrame, keys: list[str], step: timedelta, tie: list[str]) -> DataFrame:
-    """Mean, extremes, sum, count and last value per bucket."""
+def downsample_mean(samples: DataFrame, keys: list[str], step: timedelta, tie: list[str] | None = None) -> DataFrame:
+    """Mean, extremes, sum and count per bucket; with tie columns also the last value.
+
+    The last value needs a compound order, which Spark aggregates by sorting;
+    without it the whole aggregation is hashed.
+    """
+    last = [] if tie is None else [F.max_by("value", F.struct("ts", *tie)).alias("last")]
     return (
         bucketed(samples, step)
         .groupBy(*keys, "bucket")
@@ -48,7 +53,7 @@ def downsample_mean(samples: DataFrame, keys: list[str], step: timedelta, tie: l
             F.max("value").alias("high"),
             F.sum("value").alias("total"),
             F.count(F.lit(1)).alias("points"),
-            F.max_by("value", F.struct("ts", *tie)).alias("last"),
+            *last,
         )
     )
 
@@ -62,13 +67,17 @@ def range_query(
     tie: list[str],
     how: str = "pairwise",
 ) -> DataFrame:
-    """Select by name, time and labels, group by series, downsample to the step."""
+    """Select by name, time and labels, group by series, downsample to the step.
+
+    ``how`` is ``pairwise``, ``mean`` (mean, extremes, sum, count) or ``last``
+    (the same and the last value).
+    """
     chosen = selection(samples, names, matchers, span)
     if as_micros(span.step) <= 0:
         return chosen.select(*keys, F.col("ts").alias("bucket"), "value", *tie)
     if how == "pairwise":
         return downsample_pairwise(chosen, keys, span.step, tie)
-    return downsample_mean(chosen, keys, span.step, tie)
+    return downsample_mean(chosen, keys, span.step, tie if how == "last" else None)
 
 
 def matrix(points: DataFrame, keys: list[str], step: timedelta, points_per_row: int = 1000) -> DataFrame:

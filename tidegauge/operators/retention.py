@@ -40,14 +40,14 @@ def removed_count(samples: DataFrame, as_of, tiers: Tiers) -> DataFrame:
     return samples.filter(F.col("ts") < instant(as_of - tiers.keep)).agg(F.count(F.lit(1)).alias("removed"))
 
 
-def compacted(samples: DataFrame, keys: list[str], as_of, tiers: Tiers, step: timedelta, tie: list[str]) -> DataFrame:
+def compacted(samples: DataFrame, keys: list[str], as_of, tiers: Tiers, step: timedelta) -> DataFrame:
     """Hot samples as they are, warm ones as bucket means: one view over both."""
     at = as_of - tiers.hot
     hot = samples.filter(F.col("ts") >= instant(at)).select(
         *keys, "ts", "value", F.lit(1).cast("bigint").alias("points"), F.lit("hot").alias("tier")
     )
     warm_rows = samples.filter((F.col("ts") < instant(at)) & (F.col("ts") >= instant(as_of - tiers.warm)))
-    warm = downsample_mean(warm_rows, keys, step, tie).select(
+    warm = downsample_mean(warm_rows, keys, step).select(
         *keys, F.col("bucket").alias("ts"), F.col("mean").alias("value"), "points", F.lit("warm").alias("tier")
     )
     return hot.unionByName(warm)

@@ -14,7 +14,7 @@ from tidegauge.plans.ordered import Ordered, RunningSum, asof
 
 def vector(samples: DataFrame, name: str, by: list[str], step: timedelta, tie: list[str], take: str = "last") -> DataFrame:
     """One value of a metric per label set and step."""
-    points = downsample_mean(by_name(samples, name), by, step, tie)
+    points = downsample_mean(by_name(samples, name), by, step, tie if take == "last" else None)
     return points.select(*by, "bucket", F.col(take).alias("value"))
 
 

@@ -274,7 +274,7 @@ def rule_boolean(spark, folder):
     SELECT name, node, bucket, mean > 60 AS mean_breach, low < 1 AS low_breach, high >= 200 AS high_breach FROM w"""
 )
 def rule_window_agg(spark, folder):
-    windows = downsample_mean(fx.metrics(spark, folder), fx.KEYS, timedelta(hours=6), fx.TIE)
+    windows = downsample_mean(fx.metrics(spark, folder), fx.KEYS, timedelta(hours=6))
     tests = {"mean_breach": ("mean", ">", 60.0), "low_breach": ("low", "<", 1.0), "high_breach": ("high", ">=", 200.0)}
     return windows.select(
         "name", "node", "bucket", *[al.compare(F.col(c), F.lit(op), F.lit(x)).alias(n) for n, (c, op, x) in tests.items()]

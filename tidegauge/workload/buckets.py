@@ -66,7 +66,7 @@ def group_series(spark, folder):
     FROM p GROUP BY 1, 2, 3"""
 )
 def matrix_result(spark, folder):
-    points = ag.downsample_mean(fx.metrics(spark, folder), fx.KEYS, DAY, fx.TIE)
+    points = ag.downsample_mean(fx.metrics(spark, folder), fx.KEYS, DAY)
     rows = ag.matrix(points.select(*fx.KEYS, "bucket", F.col("high").alias("value")), fx.KEYS, DAY, points_per_row=10)
     text = F.transform(
         "samples",

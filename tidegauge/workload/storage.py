@@ -197,7 +197,7 @@ def tier_classify(spark, folder):
 )
 def compact_range(spark, folder):
     samples = fx.metrics(spark, folder)
-    view = rt.compacted(samples, fx.KEYS, fx.newest(samples), TIERS, timedelta(hours=1), fx.TIE)
+    view = rt.compacted(samples, fx.KEYS, fx.newest(samples), TIERS, timedelta(hours=1))
     return view.withColumn("value", fx.comparable(F.col("value")))
 
 
