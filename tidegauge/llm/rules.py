@@ -132,10 +132,15 @@ def _qualified(condition: str, of: str) -> str:
 
 
 def ledger(documents: DataFrame, text: str = "text", name: str = LEDGER) -> DataFrame:
-    """The documents with a struct of all measurements and ``failed``, one bit per rule that a document fails."""
+    """The documents with a struct of all measurements and ``failed``, one bit per rule that a document fails.
+
+    The struct comes out of a one-element ``explode``: a later filter on it then
+    stays above it instead of being rewritten in terms of the text, which would
+    evaluate every rule again and again.
+    """
     columns = [F.col(c) for c in documents.columns]
     return measured(documents.select(F.struct(*columns).alias("_row"), F.col(text).alias("_text")), "_text").select(
-        "_row.*", F.struct("_m.*", _bits("_m").alias("failed")).alias(name)
+        "_row.*", F.explode(F.array(F.struct("_m.*", _bits("_m").alias("failed")))).alias(name)
     )
 
 
