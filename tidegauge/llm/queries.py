@@ -7,12 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import bpe, decontaminate, neardup, rules, secretscan
+from tidegauge.llm import bloomlm, bpe, chat, decontaminate, idcodes, neardup, rules, secretscan, sharding, warc
+from tidegauge.plans import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(sql: str | None = None):
@@ -162,3 +164,182 @@ def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of near duplicates over all documents."""
     found = neardup.near_duplicates(table(spark, folder, "documents"))
     return found.withColumnRenamed("component", "component_id")
+
+
+_OP2_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS last FROM conversations),
+reply AS (SELECT conv_id, text FROM t WHERE turn = last),
+r AS (SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown FROM t),
+p AS (
+  SELECT conv_id, count(*) FILTER (turn < last) AS n, coalesce(string_agg(shown, '' ORDER BY turn) FILTER (turn < last), '') AS prompt
+  FROM r WHERE last IS NOT NULL GROUP BY conv_id),
+b AS (
+  SELECT p.*, reply.text AS good, coalesce(d.text, '') AS bad, reply.text = coalesce(d.text, '') AS same
+  FROM p JOIN reply USING (conv_id) LEFT JOIN reply d ON d.conv_id = p.conv_id + 1)
+SELECT conv_id, CAST(n + CAST(same AS INT) AS BIGINT) AS prefix_turns,
+       prompt || CASE WHEN same THEN '<|im_start|>assistant' || chr(10) || good || '<|im_end|>' || chr(10) ELSE '' END AS prompt,
+       CASE WHEN same THEN '' ELSE '<|im_start|>assistant' || chr(10) || good || '<|im_end|>' || chr(10) END AS chosen_text,
+       CASE WHEN same THEN '' ELSE '22:' || (32 + length(good)) END AS chosen_mask,
+       CASE WHEN same THEN '' ELSE '<|im_start|>assistant' || chr(10) || bad || '<|im_end|>' || chr(10) END AS rejected_text,
+       CASE WHEN same THEN '' ELSE '22:' || (32 + length(bad)) END AS rejected_mask
+FROM b"""
+
+
+@query(_OP2_SQL)
+def op2_preference_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """Each conversation up to its last answer, against the same turns with the last answer of the next conversation."""
+    turns = table(spark, folder, "conversations")
+    whole = chat.conversations(turns)
+    last = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1)))
+    ended = whole.withColumn("last", last).where("last IS NOT NULL")
+    answers = turns.where("role = 'assistant'").groupBy((F.col("conv_id") - 1).alias("before"))
+    answers = answers.agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("answer"))
+    reply = F.struct(F.lit("assistant").alias("role"), F.coalesce("answer.text", F.lit("")).alias("text"))
+    pairs = ended.join(answers, F.col("conv_id") == F.col("before"), "left").select(
+        "conv_id",
+        F.slice("turns", 1, F.col("last")).alias("chosen"),
+        F.concat(F.slice("turns", 1, F.col("last") - 1), F.array(reply)).alias("rejected"),
+    )
+
+    def mask(column: str):
+        return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias(column)
+
+    return chat.preference_format(pairs).withColumns({c: mask(c) for c in ("chosen_mask", "rejected_mask")})
+
+
+# The checksum of a text byte by byte, from the table that its polynomial gives.
+_CRC_SQL = r"""
+bits AS (
+  SELECT list(v ORDER BY i) AS crc_table FROM (
+    SELECT i, list_reduce(list_prepend(i::BIGINT, list_transform(range(8), lambda k: 0::BIGINT)),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i)))"""
+_OP3_SQL = (
+    "WITH "
+    + _CRC_SQL
+    + r""",
+d AS (
+  SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 8 AS size,
+         CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
+p AS (
+  SELECT *, CAST(sum(size) OVER (ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS pos, CAST(sum(size) OVER () AS BIGINT) AS total FROM d),
+s AS (SELECT *, CAST(pos * 24 // total AS INTEGER) AS shard FROM p),
+c AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(x, '..'), lambda b: CAST('0x' || b AS BIGINT))),
+         lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM (SELECT doc_id, hex(encode(t)) AS x FROM d), bits)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s JOIN c USING (doc_id)"""
+)
+
+
+@query(_OP3_SQL)
+def op3_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 24 shards of nearly equal bytes."""
+    placed = sharding.shard(table(spark, folder, "documents"))
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+@query()
+def op4_bloom_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents under a model of those outside fold 2."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = bloomlm.fold() == 2
+    model = bloomlm.train(documents.where(~held_out))
+    total = model.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
+    scores = bloomlm.scored(documents, model)
+    return scores.withColumns({"held_out": held_out, "train_tokens": F.lit(total).cast("long")})
+
+
+_URL_SQL = r"""
+canonical AS (
+  SELECT record_id,
+    CASE WHEN host <> '' THEN host || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS url_key
+  FROM (
+    SELECT record_id,
+      regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^www[0-9]*[.]', ''), ':(80|443)$', '') AS host,
+      regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+      list_sort(list_filter(string_split(regexp_extract(rest, '[?](.*)$', 1), '&'),
+        lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)='))) AS kept
+    FROM (SELECT record_id, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM records)))"""
+_OP10_SQL = (
+    r"""
+WITH records AS (
+  SELECT 2 * page_id AS record_id, url, page_id * 10 AS captured_at, 'response' AS kind, '"' || md5(html) || '"' AS etag,
+         CASE WHEN page_id % 4 <> 0 THEN 'day-' || page_id % 30 END AS last_modified, strlen(html) AS size, page_id FROM pages
+  UNION ALL
+  SELECT 2 * page_id + 1, CASE page_id % 3 WHEN 0 THEN url || '#again'
+           WHEN 1 THEN CASE WHEN url LIKE 'https:%' THEN 'http' || substr(url, 6) ELSE 'https' || substr(url, 5) END
+           ELSE url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_source=revisit' END,
+         page_id * 10 + CASE WHEN page_id % 11 = 0 THEN -5 ELSE 5 END, 'revisit',
+         CASE WHEN page_id % 5 = 0 THEN '"stale"' WHEN page_id % 7 = 0 THEN NULL
+              WHEN page_id % 13 = 0 THEN 'W/"' || md5(html) || '"' ELSE '"' || md5(html) || '"' END,
+         CASE WHEN page_id % 6 <> 0 THEN 'day-' || page_id % 30 END, 0, page_id FROM pages),"""
+    + _URL_SQL
+    + r""",
+k AS (SELECT * FROM records JOIN canonical USING (record_id)),
+j AS (
+  SELECT v.*, r.record_id AS rid, r.etag AS retag, r.last_modified AS rlm, r.size AS rsize
+  FROM (SELECT * FROM k WHERE kind = 'revisit') v
+  ASOF LEFT JOIN (SELECT * FROM k WHERE kind = 'response' AND url_key IS NOT NULL) r ON v.url_key = r.url_key AND v.captured_at > r.captured_at),
+s AS (
+  SELECT *, CASE WHEN rid IS NULL THEN 'missing'
+      WHEN (etag IS NULL OR retag IS NULL) AND (last_modified IS NULL OR rlm IS NULL) THEN 'unverified'
+      WHEN etag IS NOT NULL AND retag IS NOT NULL THEN
+        CASE WHEN regexp_replace(etag, '^W/', '') = regexp_replace(retag, '^W/', '') THEN 'resolved' ELSE 'mismatch' END
+      WHEN last_modified = rlm THEN 'resolved' ELSE 'mismatch' END AS state FROM j)
+SELECT record_id, url_key, captured_at, CASE WHEN state = 'resolved' THEN rid END AS response_id, state,
+  CASE WHEN state = 'resolved' THEN 'cache-control: max-age=600' || chr(10) || 'content-length: ' || rsize || chr(10)
+    || 'content-type: text/html; charset=utf-8' || chr(10) || 'date: tick-' || page_id || chr(10) || 'etag: ' || retag END AS headers
+FROM s"""
+)
+
+
+def crawl_records(pages: DataFrame) -> DataFrame:
+    """Two captures of every page: a full response, and a revisit by another spelling of the URL, some with stale or no validators, some too early."""
+    page, url = F.col("page_id"), F.col("url")
+    tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+    day = F.concat(F.lit("day-"), page % 30)
+    swapped = F.when(url.startswith("https:"), F.concat(F.lit("http"), F.expr("substring(url, 6)"))).otherwise(F.concat(F.lit("https"), F.expr("substring(url, 5)")))
+    asked = F.concat(url, F.when(url.contains("?"), "&").otherwise("?"), F.lit("utm_source=revisit"))
+    response = pages.select(
+        (2 * page).alias("record_id"),
+        url,
+        (page * 10).alias("captured_at"),
+        F.lit("response").alias("record_type"),
+        tag.alias("etag"),
+        F.when(page % 4 != 0, day).alias("last_modified"),
+        F.create_map(
+            F.lit("Content-Type"), F.lit("text/html; charset=utf-8"), F.lit("Content-Length"), F.octet_length("html").cast("string"), F.lit("ETag"), tag, F.lit("Cache-Control"), F.lit("max-age=60")
+        ).alias("headers"),
+    )
+    revisit = pages.select(
+        (2 * page + 1).alias("record_id"),
+        F.when(page % 3 == 0, F.concat(url, F.lit("#again"))).when(page % 3 == 1, swapped).otherwise(asked).alias("url"),
+        (page * 10 + F.when(page % 11 == 0, -5).otherwise(5)).alias("captured_at"),
+        F.lit("revisit").alias("record_type"),
+        F.when(page % 5 == 0, F.lit('"stale"')).when(page % 7 == 0, F.lit(None)).when(page % 13 == 0, F.concat(F.lit("W/"), tag)).otherwise(tag).alias("etag"),
+        F.when(page % 6 != 0, day).alias("last_modified"),
+        F.create_map(
+            F.lit("cache-control"), F.lit("max-age=600"), F.lit("Date"), F.concat(F.lit("tick-"), page), F.lit("Content-Length"), F.lit("0"), F.lit("Set-Cookie"), F.lit("a=b")
+        ).alias("headers"),
+    )
+    return response.unionByName(revisit)
+
+
+@query(_OP10_SQL)
+def op10_revisit_resolution(spark: SparkSession, folder: str) -> DataFrame:
+    """Revisits of all pages, each resolved to the response that it stands for."""
+    resolved = warc.resolve(crawl_records(table(spark, folder, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws(": ", e["key"], e["value"]))
+    return resolved.withColumn("headers", F.array_join(lines, "\n"))
+
+
+@query()
+def op9_direct_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all documents, written to files of directly addressable codes and read back."""
+    path = scratch.new_folder(spark, "ids")
+    idcodes.write(table(spark, folder, "documents"), path, WORD_BPE)
+    return idcodes.read(spark, path)
