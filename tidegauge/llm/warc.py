@@ -11,8 +11,8 @@ revisit that a not-modified answer may change.
 Defined cases: null or empty URLs match nothing; responses captured at the very
 time of a revisit are not earlier; of several at one time the greatest record id
 counts; repeated revisits are each resolved; a null capture time resolves to
-nothing and serves nothing; header names are compared in lower case and the last
-of equal names counts; null headers are none.
+nothing and serves nothing; header names are compared in lower case, and of names
+that differ only in case the one that sorts last counts; null headers are none.
 """
 
 from __future__ import annotations
@@ -43,7 +43,8 @@ def canonical_url(url: Column) -> Column:
 
 def _lowered(headers: Column) -> Column:
     """Header map with names in lower case."""
-    entries = F.transform(F.map_entries(F.coalesce(headers, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    entries = F.transform(F.array_sort(F.map_entries(F.coalesce(headers, none))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
     return F.map_from_entries(last)
 
