@@ -15,10 +15,12 @@ their full sets is at least ``threshold`` per cent of the union.
 4. In each bucket every member is compared with the smallest member only: a
    star, so pairs never outnumber bucket rows.  Pairs are confirmed on full sets.
 5. A link between two members that the star's centre does not tie together
-   would be lost, so buckets with members of different components go on: their
-   keys are joined with other bands' keys, which leaves small buckets, and in
-   those up to ``CENTRES`` members at a time are centres of stars, each member
-   once, until no bucket has an uncompared pair of different components.
+   would be lost, so buckets with members of different components go on: each
+   key is joined with several other bands' keys, which parts texts that share a
+   passage and keeps similar ones together, again and again for buckets of more
+   than ``CENTRES`` members.  In the small buckets that are left every member
+   is a centre.  Should all bands agree for many members, ``CENTRES`` of them at
+   a time are centres until each has been.
 
 Sets are made from the text when a pair is to be confirmed and travel to the
 pair's centre; a centre with many members is dealt out in chunks of
@@ -36,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.llm.components import components
 from tidegauge.llm.textbatch import mix, sliced, words
@@ -47,7 +49,7 @@ THRESHOLD = 75
 BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
-CENTRES = 16
+CENTRES = 64
 CHUNK = 256
 #: Other bands that a mixed bucket's key is joined with.
 JOINED = 6
@@ -221,34 +223,45 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
 def _rest(documents: DataFrame, classes: DataFrame, buckets: DataFrame, links: DataFrame, id: str, text: str, threshold: int) -> DataFrame:
     """Links that the first stars could not see."""
     roots = components(links)
-    mixed = _mixed(buckets.select("key", "rep", "band"), roots)
-    # The centre has been compared; with it or without, two members at least are left.
-    keys = classes.select("rep", "n", "keys")
-    others = F.transform(F.sequence(F.lit(1), F.lit(JOINED)), lambda j: F.get("keys", (F.col("band") + j) % BANDS))
-    open_rows = mixed.join(keys, "rep").select("rep", "n", F.explode(F.transform(others, lambda other: F.xxhash64("key", other))).alias("key"))
-    open_rows = scratch.cut(open_rows.distinct())
-    while True:
-        open_rows = scratch.cut(_mixed(open_rows, roots))
-        if open_rows.isEmpty():
-            return links
-        place = F.row_number().over(_within("key", "rep"))
-        centres = scratch.cut(open_rows.withColumn("_place", place).where(F.col("_place") <= CENTRES).drop("_place"))
-        left = centres.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-        pairs = (
-            open_rows.join(left, "key")
-            .where((F.col("rep") > F.col("a")) & (F.col("root") != F.col("root_a")) & _alike(F.col("n"), F.col("n_a"), threshold))
-            .select("a", F.col("rep").alias("b"))
-            .distinct()
-        )
-        links = scratch.cut(links.unionByName(linked(documents, pairs, id, text, threshold)))
-        roots = components(links)
-        open_rows = open_rows.drop("root").join(centres.select("key", "rep"), ["key", "rep"], "left_anti")
-
-
-def _within(key: str, order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(order)
+    pairs = None
+    # The bands that a key has not met yet, in groups of JOINED.
+    refinements = [range(j, j + JOINED) for j in range(1, BANDS - JOINED, JOINED)]
+    rows = scratch.cut(_mixed(buckets.select("rep", "n", "band", "key"), roots))
+    while refinements and not rows.isEmpty():
+        rows = scratch.cut(_mixed(_refined(rows, classes, refinements.pop(0)), roots))
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+        sized = rows.join(sizes, "key")
+        small = _starred(sized.where(F.col("members") <= CENTRES), threshold)
+        pairs = scratch.cut(small if pairs is None else pairs.unionByName(small).distinct())
+        rows = scratch.cut(sized.where(F.col("members") > CENTRES).drop("members"))
+    while not rows.isEmpty():
+        # As many hashes as there are agree, and still there are many: some centres at a time.
+        ranked = scratch.cut(rows.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "rep"), "rep"))))
+        centres = ranked.where(F.col("place") <= CENTRES)
+        pairs = scratch.cut(pairs.unionByName(_pairs(centres.drop("place"), rows, threshold)).distinct())
+        rows = scratch.cut(_mixed(ranked.where(F.col("place") > CENTRES).drop("place", "root"), roots))
+    if pairs is None:
+        return links
+    return links.unionByName(linked(documents, pairs.distinct(), id, text, threshold))
+
+
+def _refined(rows: DataFrame, classes: DataFrame, bands: range) -> DataFrame:
+    """Each row again for several other bands, its key joined with theirs."""
+    others = F.transform(F.array(*[F.lit(j) for j in bands]), lambda j: F.get("keys", (F.col("band") + j) % BANDS))
+    keyed = rows.select("rep", "n", "band", "key").join(classes.select("rep", "keys"), "rep")
+    return keyed.select("rep", "n", "band", F.explode(F.transform(others, lambda other: F.xxhash64("key", other))).alias("key")).distinct()
+
+
+def _starred(rows: DataFrame, threshold: int) -> DataFrame:
+    """Stars around every member of buckets of bounded size."""
+    return _pairs(rows, rows, threshold)
+
+
+def _pairs(centres: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
+    """(a, b), a < b, of centres and members of a bucket that are in different components and of like size."""
+    left = centres.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+    met = rows.join(left, "key").where((F.col("rep") != F.col("a")) & (F.col("root") != F.col("root_a")) & _alike(F.col("n"), F.col("n_a"), threshold))
+    return met.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
 
 
 def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
