@@ -185,9 +185,10 @@ def test_forest_score_equals_walking_all_trees(spark):
     pool = forest.training_pool(rows, ["series"], ["id"], trees=5, sample=64)
     steps = forest.train(pool, ["series"], trees=5, sample=64)
     scored = {r["id"]: r["score"] for r in forest.score(rows, steps, ["series"], ["id"], sample=64).collect()}
-    drawn = pool.orderBy("_draw").collect()
-    rng = np.random.default_rng([0, drawn[0]["_hash"] & 0x7FFFFFFFFFFFFFFF])
-    trees = [literal_tree(sorted(r["value"] for r in drawn), 0, 6, rng.random) for _ in range(5)]
+    drawn = pool.orderBy("_tree", "_draw").collect()
+    assert len(drawn) == 5 * 40
+    rng = np.random.default_rng([0, drawn[0]["_hash"]])
+    trees = [literal_tree(sorted(r["value"] for r in drawn if r["_tree"] == t), 0, 6, rng.random) for t in range(5)]
     for r in rows.collect():
         path = sum(literal_path(t, r["value"]) for t in trees) / 5
         assert scored[r["id"]] == pytest.approx(2 ** (-path / forest.expected_path(64)))
@@ -198,6 +199,7 @@ def test_forest_does_not_depend_on_partitions(spark, split, request):
     random.seed(6)
     rows = points(spark, [random.uniform(0, 9) for _ in range(300)])
     once = forest.training_pool(rows.repartition(3), ["series"], ["id"], 2, 50).collect()
+    assert all(sum(r["_tree"] == t for r in once) == 50 for t in range(2))
     if split:
         request.getfixturevalue("split_everything")
     twice = forest.training_pool(rows.repartition(8), ["series"], ["id"], 2, 50).collect()
@@ -361,3 +363,20 @@ def test_many_subscriptions_are_salted(spark, monkeypatch):
     monkeypatch.setattr(feed, "_SMALL_BYTES", -1)
     many = sorted(feed.delivered(messages, subscriptions).select("client", "data").collect())
     assert few == many and len(few) == 40
+
+
+def test_online_score_of_large_values(spark):
+    rows = points(spark, [1e9 + i % 2 for i in range(40)])
+    scored = anomaly.zscore_online(rows, ["series"], ["ts", "id"]).orderBy("ts").collect()
+    assert scored[-1]["stddev"] == pytest.approx(0.5, rel=1e-2) and scored[-1]["mean"] == pytest.approx(1e9 + 0.5)
+
+
+def test_correlation_sees_only_its_window(spark):
+    """Earlier values, huge or not a number, must not reach a window that doesn't hold them."""
+    values = [float("nan")] + [1e15] * 500 + [5.3]
+    rows = points(spark, values, timedelta(hours=1))
+    last = rows.orderBy(F.col("ts").desc()).first()
+    events = spark.createDataFrame([(1, last["series"], last["ts"])], "event long, series string, ts timestamp_ntz")
+    events = events.withColumn("ts", F.col("ts").cast(rows.schema["ts"].dataType))
+    found = vectors.correlate(events, rows, ["series"], "event", timedelta(minutes=30), ["id"]).first()
+    assert (found["samples_before"], found["mean_before"], found["samples_after"], found["mean_after"]) == (1, 5.3, 1, 5.3)

@@ -39,7 +39,7 @@ def shuffled(spark, tmp_path_factory):
 def all_parquet(monkeypatch):
     import tidegauge.workload.streams as st
 
-    monkeypatch.setattr(st, "read_events", lambda spark, folder: read_events(spark, folder, "*.parquet"))
+    monkeypatch.setattr(st, "read_events", lambda spark, folder, *_: read_events(spark, folder, "*.parquet"))
 
 
 DELAY = timedelta(hours=12)

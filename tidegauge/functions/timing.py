@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, functions as F
 
@@ -18,6 +18,25 @@ def instant(moment: datetime) -> Column:
     return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def utc_day(moment: datetime) -> date:
+    """The day of a point in time in UTC; without a zone it is one already."""
+    return (moment if moment.tzinfo is None else moment.astimezone(timezone.utc)).date()
+
+
+def utc_date(ts: Column, kind: str) -> Column:
+    """The day in UTC of a column of type ``kind``, whatever the session's time zone."""
+    if kind == "timestamp_ntz":
+        return F.to_date(ts)
+    day = 86_400_000_000
+    us = F.unix_micros(ts)
+    return F.date_from_unix_date(((us - F.pmod(us, F.lit(day))) / F.lit(day)).cast("int"))
+
+
+def bucket_origin(step: timedelta) -> timedelta:
+    """Where the buckets of ``time_bucket`` begin, as the distance of the first one from 1970-01-01."""
+    return -timedelta(days=_DAYS_TO_EPOCH) % step
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since 1970-01-01 (session time zone must be UTC for NTZ input)."""
     return F.unix_micros(ts.cast("timestamp"))
@@ -40,10 +59,6 @@ def time_bucket(ts: Column, step: timedelta) -> Column:
     return ts - F.lit(_MICRO) * F.pmod(shifted, F.lit(width))
 
 
-def plus(ts: Column, span: timedelta) -> Column:
-    return ts + F.lit(span)
-
-
 def time_normalise(text: Column, as_of: Column, default: Column) -> Column:
     """Mixed time texts to timestamps.
 

@@ -42,7 +42,6 @@ DEFAULT_RULES = (
 # List order of severities; anything else comes last.
 SEVERITIES = ("critical", "warning", "info")
 
-NOTIFY_COOLDOWN = timedelta(minutes=5)
 HISTORY_LIMIT = 50
 
 

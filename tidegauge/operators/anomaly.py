@@ -50,10 +50,15 @@ def zscore_detect(samples: DataFrame, model: DataFrame, keys: list[str], limit:
 
 
 def zscore_online(samples: DataFrame, keys: list[str], order: list[str], limit: float = 3.0) -> DataFrame:
-    """Score each sample against all earlier ones of its series, once there are enough."""
-    value = F.col("value")
+    """Score each sample against all earlier ones of its series, once there are enough.
+
+    Sums are taken of the distances from the series' smallest value, which keeps
+    their squares as small as the spread and so the difference of the two exact.
+    """
+    low = samples.groupBy(*keys).agg(F.min("value").alias("_low"))
+    value = F.col("value") - F.col("_low")
     past = (
-        Ordered(samples, keys, order)
+        Ordered(attach(samples, low, keys), keys, order)
         .scan(
             n=RunningSum(F.lit(1), inclusive=False),
             _s=RunningSum(value, inclusive=False),
@@ -62,10 +67,10 @@ def zscore_online(samples: DataFrame, keys: list[str], order: list[str], limit:
         .filter(F.col("n") >= MIN_SAMPLES)
         .frame()
     )
-    mean = F.col("_s") / F.col("n")
-    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / F.col("n") - mean * mean))
+    off = F.col("_s") / F.col("n")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / F.col("n") - off * off))
     flag, score = _zscore(limit)
-    known = past.withColumns({"mean": mean, "stddev": spread}).drop("_s", "_q")
+    known = past.withColumns({"mean": F.col("_low") + off, "stddev": spread}).drop("_low", "_s", "_q")
     return known.withColumns({"is_anomaly": flag, "score": score})
 
 

@@ -4,15 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidegauge.plans.skew import input_bytes
-from tidegauge.plans.small import spec_table
-
-# Message types; the topic "all" stands for every one of them.
-MESSAGE_TYPES = ("metrics", "alert", "node_status")
+# Fixed value: the topic that stands for every message type.
 ALL = "all"
 
-_SMALL_BYTES = 10 * 1024 * 1024
-
 
 def envelope(rows: DataFrame, kind: str, ts: Column, node: Column, data: list[str]) -> DataFrame:
     """type, ts, node_id and the payload as JSON."""
@@ -28,17 +22,14 @@ def merged(parts: list[DataFrame]) -> DataFrame:
 
 
 def delivered(feed: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Messages per subscribed client, each once.
+    """Messages of any type per client subscribed to that type or to ``all``, each once.
 
-    ``all`` is first spelled out as the known types, which makes the match a
-    plain equi-join without duplicates.
+    A client of ``all`` needs no other topic, so no message can match a client
+    twice and the match is a plain equi-join.
     """
-    spelled = spec_table(feed.sparkSession, [(ALL, t) for t in MESSAGE_TYPES] + [(t, t) for t in MESSAGE_TYPES], "topic string, type string")
-    wanted = subscriptions.join(spelled, "topic").select("client", "type").distinct()
-    if input_bytes(subscriptions) <= _SMALL_BYTES:
-        return feed.join(F.broadcast(wanted), "type")
-    # Too many clients to broadcast: three types are too few join keys, so salt both sides.
-    salts = int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = feed.withColumn("_salt", F.pmod(F.xxhash64("ts", "node_id", "data"), F.lit(salts)).cast("int"))
-    copies = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, ["type", "_salt"]).drop("_salt")
+    wanted = subscriptions.select("client", "topic").distinct()
+    every = wanted.filter(F.col("topic") == ALL)
+    typed = wanted.filter(F.col("topic") != ALL).join(every.select("client"), "client", "left_anti")
+    topics = F.array_distinct(F.array("type", F.lit(ALL)))
+    addressed = feed.withColumn("topic", F.explode(topics))
+    return addressed.join(every.unionByName(typed), "topic").select("client", *feed.columns)

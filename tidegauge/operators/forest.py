@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.operators.anomaly import MIN_SAMPLES
 from tidegauge.operators.select import newest_per_group
-from tidegauge.plans.groups import top_n
+from tidegauge.plans.groups import attach, top_n
 from tidegauge.plans.ordered import asof
 
 # Forest shape, anomaly limit, rows kept for retraining per sample row.
@@ -25,6 +25,9 @@ SAMPLE = 256
 LIMIT = 0.6
 KEPT_SAMPLES = 10
 _EULER = 0.5772156649
+# Rows that go on to a tree's draw, per row it takes, and the range of its hashes.
+MARGIN = 2
+_RANGE = 1 << 40
 
 
 def expected_path(n: int) -> float:
@@ -44,37 +47,41 @@ def retained(samples: DataFrame, keys: list[str], order: list[str], sample: int
 def training_pool(
     samples: DataFrame, keys: list[str], ident: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = 0
 ) -> DataFrame:
-    """Enough uniformly drawn rows per series to fill every tree: those with the smallest identity hashes.
+    """Each tree's own ``sample`` rows of each series: those with the smallest hashes of identity and tree.
 
-    The draw depends on seed and data only, not on partitions or retries.
+    The draw depends on seed and data only, not on partitions, retries or the
+    length of the series.  Rows whose hash is too large to be among a tree's
+    smallest are never shuffled: of n rows those below ``MARGIN * sample / n``
+    of the range go on, twice as many as are needed (fewer than ``sample`` of
+    them would be 14 standard deviations off).
     """
-    hashed = samples.select(*keys, "value", F.xxhash64(F.lit(seed), *keys, *ident).alias("_hash"))
-    return top_n(hashed, keys, [F.col("_hash"), F.col("value")], trees * sample, "_draw")
+    counts = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hashed = attach(samples.select(*keys, "value", F.xxhash64(F.lit(seed), *keys, *ident).alias("_row")), counts, keys)
+    limit = F.lit(float(MARGIN * sample * _RANGE)) / F.col("_n")
+    draws = F.transform(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.pmod(F.xxhash64("_row", t), F.lit(_RANGE)).alias("hash"))
+    )
+    drawn = hashed.select(*keys, "value", "_row", F.explode(F.filter(draws, lambda d: d["hash"] < limit)).alias("_d"))
+    rows = drawn.select(*keys, "value", "_row", F.col("_d.tree").alias("_tree"), F.col("_d.hash").alias("_hash"))
+    return top_n(rows, [*keys, "_tree"], [F.col("_hash"), F.col("_row"), F.col("value")], sample, "_draw").drop("_row")
 
 
 def train(pool: DataFrame, keys: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = 0) -> DataFrame:
     """Steps of the averaged forest per series: (keys, from_value, path), the first step from -infinity.
 
-    A group is at most ``trees * sample`` rows.  A series that fills the pool
-    deals every tree its own rows; a shorter one draws per tree.
+    A group is at most ``trees * sample`` rows.
     """
     depth = math.ceil(math.log2(sample))
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) < MIN_SAMPLES:
+        if (rows["_tree"] == rows["_tree"].iloc[0]).sum() < MIN_SAMPLES:
             return pd.DataFrame(columns=[*keys, "from_value", "path"])
-        rows = rows.sort_values("_draw")
-        values = rows["value"].to_numpy(dtype=float)
+        rows = rows.sort_values(["_tree", "_draw"])
         # The first hash differs between series and seeds; it seeds the splits.
-        random = np.random.default_rng([seed, int(rows["_hash"].iloc[0]) & 0x7FFFFFFFFFFFFFFF])
+        random = np.random.default_rng([seed, int(rows["_hash"].iloc[0])])
         starts, changes = [], []
-        for tree in range(trees):
-            if len(values) >= trees * sample:
-                drawn = values[tree::trees]
-            elif len(values) > sample:
-                drawn = random.choice(values, sample, replace=False)
-            else:
-                drawn = values
+        for _, drawn in rows.groupby("_tree")["value"]:
+            drawn = drawn.to_numpy(dtype=float)
             at, path = _leaves(np.sort(drawn), depth, random)
             starts.append(at)
             changes.append(np.diff(path, prepend=0.0))
@@ -88,7 +95,7 @@ def train(pool: DataFrame, keys: list[str], trees: int = TREES, sample: int = SA
 
     fields = {f.name: f.dataType.simpleString() for f in pool.schema}
     schema = ", ".join([f"{k} {fields[k]}" for k in keys] + ["from_value double", "path double"])
-    slim = pool.select(*keys, "value", "_hash", "_draw")
+    slim = pool.select(*keys, "value", "_tree", "_hash", "_draw")
     return slim.groupBy(*keys).applyInPandas(grow, schema)
 
 

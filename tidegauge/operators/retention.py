@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.functions.timing import as_micros, instant, micros
 from tidegauge.operators.aggregate import downsample_mean
+from tidegauge.operators.select import in_range
 
 
 @dataclass(frozen=True)
@@ -32,21 +33,20 @@ def tier(as_of, tiers: Tiers, ts: str = "ts") -> Column:
 
 
 def kept(samples: DataFrame, as_of, tiers: Tiers) -> DataFrame:
-    """Samples not older than the retention period; the comparison reaches the scan."""
-    return samples.filter(F.col("ts") >= instant(as_of - tiers.keep))
+    """Samples not older than the retention period; older days of a stored table are not even listed."""
+    return in_range(samples, as_of - tiers.keep, None)
 
 
-def removed_count(samples: DataFrame, as_of, tiers: Tiers) -> DataFrame:
-    return samples.filter(F.col("ts") < instant(as_of - tiers.keep)).agg(F.count(F.lit(1)).alias("removed"))
+def expired(samples: DataFrame, as_of, tiers: Tiers) -> DataFrame:
+    """Samples older than the retention period, from the days that can hold any."""
+    return in_range(samples, None, as_of - tiers.keep, open_end=True)
 
 
 def compacted(samples: DataFrame, keys: list[str], as_of, tiers: Tiers, step: timedelta) -> DataFrame:
     """Hot samples as they are, warm ones as bucket means: one view over both."""
     at = as_of - tiers.hot
-    hot = samples.filter(F.col("ts") >= instant(at)).select(
-        *keys, "ts", "value", F.lit(1).cast("bigint").alias("points"), F.lit("hot").alias("tier")
-    )
-    warm_rows = samples.filter((F.col("ts") < instant(at)) & (F.col("ts") >= instant(as_of - tiers.warm)))
+    hot = in_range(samples, at, None).select(*keys, "ts", "value", F.lit(1).cast("bigint").alias("points"), F.lit("hot").alias("tier"))
+    warm_rows = in_range(samples, as_of - tiers.warm, at, open_end=True)
     warm = downsample_mean(warm_rows, keys, step).select(
         *keys, F.col("bucket").alias("ts"), F.col("mean").alias("value"), "points", F.lit("warm").alias("tier")
     )

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.functions.labels import Matcher, label, matching
-from tidegauge.functions.timing import instant
+from tidegauge.functions.timing import instant, utc_day
 from tidegauge.plans.groups import top_n
 
 # What a range query uses for arguments that are left out.
@@ -38,11 +38,22 @@ def by_name(samples: DataFrame, *names: str) -> DataFrame:
     return samples.filter(F.col("name") == names[0] if len(names) == 1 else F.col("name").isin(*names))
 
 
-def in_range(samples: DataFrame, start: datetime, end: datetime, ts: str = "ts") -> DataFrame:
-    """Both ends included; in a table with a ``date`` folder column other days are not even listed."""
-    chosen = samples.filter(F.col(ts).between(instant(start), instant(end)))
+def in_range(samples: DataFrame, start: datetime | None, end: datetime | None, ts: str = "ts", open_end: bool = False) -> DataFrame:
+    """Both ends included (the end not, if ``open_end``); None leaves a side open.
+
+    In a table with a ``date`` folder column, which holds the day in UTC, other
+    days are not even listed.
+    """
+    chosen = samples
+    if start is not None:
+        chosen = chosen.filter(F.col(ts) >= instant(start))
+    if end is not None:
+        chosen = chosen.filter(F.col(ts) < instant(end) if open_end else F.col(ts) <= instant(end))
     if "date" in samples.columns:
-        chosen = chosen.filter(F.col("date").between(F.lit(start.date()), F.lit(end.date())))
+        if start is not None:
+            chosen = chosen.filter(F.col("date") >= F.lit(utc_day(start)))
+        if end is not None:
+            chosen = chosen.filter(F.col("date") <= F.lit(utc_day(end)))
     return chosen
 
 

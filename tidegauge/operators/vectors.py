@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidegauge.functions.timing import time_bucket
+from tidegauge.functions.timing import as_micros, micros, time_bucket
 from tidegauge.operators.aggregate import downsample_mean
 from tidegauge.operators.select import by_name
 from tidegauge.plans.ordered import Ordered, RunningSum, asof
@@ -55,10 +55,10 @@ def correlate(
 ) -> DataFrame:
     """Count and mean of the samples in the ``around`` before and after each event, ends included.
 
-    An event contributes three marks (window start, its own time, window end);
-    running totals read at the marks give both halves by subtraction.  No
-    event-sample pairs are formed, so the cost is one sort however dense the
-    windows are.
+    An event contributes four marks: window start and end, and its own time for
+    either half.  Running totals within time slots, forwards and backwards, read
+    at the marks give both halves.  No event-sample pairs are formed, so the cost
+    is two sorts however dense the windows are.
     """
     value = F.col("value")
     stacked_samples = samples.select(
@@ -79,18 +79,21 @@ def correlate(
         F.lit(0).alias("_one"), F.lit(None).cast(tie_type).alias("_tie"), F.col("_m.mark").alias("_mark"), event_id,
         F.col("ts").alias("_event_ts"),
     )
-    totals = (
-        Ordered(stacked_samples.unionByName(stacked_events), keys, ["_at", "_rank", "_tie", event_id, "_mark"])
-        .scan(_n=RunningSum(F.col("_one")), _s=RunningSum(F.coalesce(F.col("_v"), F.lit(0.0))))
-        .frame()
-        .filter(F.col("_mark").isNotNull())
-    )
+    # Slots as wide as a window: each window is the end of one slot and the beginning of the next, so it is a sum of
+    # its own samples only; nothing before it can blur or spoil that sum.
+    slot = F.floor(micros(F.col("_at")) / F.lit(as_micros(around)))
+    stacked = stacked_samples.unionByName(stacked_events).withColumns({"_slot": slot, "_back": -micros(F.col("_at")), "_rank_back": -F.col("_rank")})
+    within = [*keys, "_slot"]
+    one, given = F.col("_one"), F.when(F.col("_one") == 1, F.coalesce(F.col("_v"), F.lit(0.0)))
+    upto = Ordered(stacked, within, ["_at", "_rank", "_tie", event_id, "_mark"]).scan(_n=RunningSum(one), _s=RunningSum(given)).frame()
+    onward = Ordered(upto, within, ["_back", "_rank_back", "_tie", event_id, "_mark"]).scan(_rn=RunningSum(one), _rs=RunningSum(given)).frame()
+    totals = onward.filter(F.col("_mark").isNotNull())
 
     def at(mark: str, column: str) -> Column:
-        return F.max(F.when(F.col("_mark") == mark, F.col(column)))
+        return F.coalesce(F.max(F.when(F.col("_mark") == mark, F.col(column))), F.lit(0))
 
-    before_n, after_n = at("upto", "_n") - at("open", "_n"), at("close", "_n") - at("before", "_n")
-    before_s, after_s = at("upto", "_s") - at("open", "_s"), at("close", "_s") - at("before", "_s")
+    before_n, after_n = at("open", "_rn") + at("upto", "_n"), at("before", "_rn") + at("close", "_n")
+    before_s, after_s = at("open", "_rs") + at("upto", "_s"), at("before", "_rs") + at("close", "_s")
     return totals.groupBy(event_id, *keys).agg(
         F.max("_event_ts").alias("ts"),
         before_n.alias("samples_before"),

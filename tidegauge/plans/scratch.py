@@ -2,11 +2,13 @@
 
 Executors come and go, so nothing intermediate may sit on one machine: the
 folder is the one the session names in ``spark.checkpoint.dir``.  A temporary
-folder is used only when that setting is absent, which happens in tests.
+folder is used only when that setting is absent and everything runs in one
+process, as in tests; on a cluster the missing setting is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,7 +22,11 @@ def root(spark: SparkSession) -> str:
     if folder:
         return folder.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
-    return known.rstrip("/") if known else tempfile.mkdtemp(prefix="tidegauge-")
+    if known:
+        return known.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError(f"{_CONF} must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="tidegauge-")
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:

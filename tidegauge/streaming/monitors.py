@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from tidegauge.functions.timing import as_micros, micros
+from tidegauge.functions.timing import as_micros, bucket_origin, micros
 from tidegauge.operators.fleet import OFFLINE_AFTER
 from tidegauge.streaming.inorder import run_in_order
 
@@ -24,7 +24,7 @@ def deduplicated(samples: DataFrame, key: list[str], delay: timedelta) -> DataFr
 
 def downsampled(samples: DataFrame, keys: list[str], step: timedelta, delay: timedelta) -> DataFrame:
     """Mean, extremes and count per bucket, emitted once a bucket is complete."""
-    window = F.window("ts", text(step))
+    window = F.window("ts", text(step), startTime=text(bucket_origin(step)))
     grouped = samples.withWatermark("ts", text(delay)).groupBy(*keys, window).agg(
         F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("points")
     )
@@ -72,7 +72,7 @@ def growths(counters: DataFrame, keys: list[str], tie: str, delay: timedelta) ->
 def sliding_rate(counters: DataFrame, keys: list[str], tie: str, span: timedelta, every: timedelta, delay: timedelta) -> DataFrame:
     """Per-second growth over a look-back span, emitted for each completed window."""
     grown = growths(counters, keys, tie, delay)
-    windows = grown.groupBy(*keys, F.window("ts", text(span), text(every))).agg(F.sum("increase").alias("increase"))
+    windows = grown.groupBy(*keys, F.window("ts", text(span), text(every), text(bucket_origin(every)))).agg(F.sum("increase").alias("increase"))
     rate = F.col("increase") / F.lit(as_micros(span) / 1e6)
     return windows.select(*keys, F.col("window.end").alias("window_end"), rate.alias("rate"))
 

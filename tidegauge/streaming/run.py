@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from threading import Condition
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tidegauge import schema
 from tidegauge.plans import scratch
@@ -27,14 +28,47 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def _state_settings(spark: SparkSession) -> dict[str, str]:
-    """State in RocksDB, in a few partitions per core: each costs a store and, for Python state, a worker."""
-    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return {
-        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
-        "spark.sql.streaming.numRecentProgressUpdates": "100000",
-        "spark.sql.shuffle.partitions": str(min(wanted, 2 * spark.sparkContext.defaultParallelism)),
-    }
+def _state_settings() -> dict[str, str]:
+    """State in RocksDB; its number of partitions is the session's, and the checkpoint keeps it."""
+    return {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+
+
+class ProgressTotals(StreamingQueryListener):
+    """Late and seen rows of the streams that run inside the block, added up as each batch reports them.
+
+    Spark keeps only the most recent reports of a query; the sums here are of
+    all of them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.late = self.seen = 0
+        self._spark, self._running, self._ended = spark, 0, Condition()
+
+    def onQueryStarted(self, event) -> None:
+        with self._ended:
+            self._running += 1
+
+    def onQueryProgress(self, event) -> None:
+        self.seen += event.progress.numInputRows
+        self.late += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self._ended:
+            self._running -= 1
+            self._ended.notify_all()
+
+    def __enter__(self) -> "ProgressTotals":
+        self._spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        # Reports arrive after the query has ended.
+        with self._ended:
+            self._ended.wait_for(lambda: self._running == 0, timeout=60)
+        self._spark.streams.removeListener(self)
 
 
 def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet", files_per_trigger: int = 1) -> DataFrame:
@@ -60,7 +94,7 @@ def drain(stream: DataFrame, purpose: str, partition_by: tuple[str, ...] = ()) -
     """Run an append stream over everything available into a Parquet table and return the table."""
     spark = stream.sparkSession
     out = scratch.new_folder(spark, purpose)
-    with settings(spark, _state_settings(spark)):
+    with settings(spark, _state_settings()):
         query = (
             stream.writeStream.outputMode("append")
             .option("checkpointLocation", scratch.new_folder(spark, f"{purpose}-state"))
@@ -81,7 +115,7 @@ def drain_updates(stream: DataFrame, purpose: str) -> tuple[DataFrame, Streaming
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    with settings(spark, _state_settings(spark)):
+    with settings(spark, _state_settings()):
         query = (
             stream.writeStream.outputMode("update")
             .option("checkpointLocation", scratch.new_folder(spark, f"{purpose}-state"))

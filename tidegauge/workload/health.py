@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidegauge import fixtures as fx
 from tidegauge.functions.timing import instant
 from tidegauge.operators import feed, fleet, report
+from tidegauge.operators.select import by_name
 from tidegauge.plans.small import spec_table
 from tidegauge.workload.buckets import ALERTS, STATUS, checked_nodes, error_alerts
 from tidegauge.workload.registry import AS_OF, METRICS, NODES, query
@@ -114,9 +115,14 @@ def message_feed(spark, folder):
 
 
 @query(
-    f"""WITH {FEED}, sub AS (SELECT * FROM (VALUES ('a', 'all'), ('a', 'alert'), ('b', 'alert'), ('b', 'node_status'), ('c', 'ping')) t(client, topic))
-    SELECT DISTINCT client, type, ts, node_id, data FROM feed JOIN sub ON sub.topic = feed.type OR sub.topic = 'all'"""
+    f"""WITH {FEED}, sub AS (SELECT * FROM (VALUES ('a', 'all'), ('a', 'alert'), ('b', 'alert'), ('b', 'node_status'), ('c', 'ping'), ('d', 'deploy'), ('d', 'alert')) t(client, topic)),
+    more AS (SELECT type, ts, node_id, data FROM feed UNION ALL
+      SELECT 'deploy', ts, node, '{{"event_id":' || event_id || '}}' FROM m WHERE name = 'purchase')
+    SELECT DISTINCT client, type, ts, node_id, data FROM more JOIN sub ON sub.topic = more.type OR sub.topic = 'all'"""
 )
 def topic_filter(spark, folder):
-    rows = [("a", "all"), ("a", "alert"), ("b", "alert"), ("b", "node_status"), ("c", "ping")]
-    return feed.delivered(_feed(spark, folder), spec_table(spark, rows, "client string, topic string"))
+    """Messages of a type that the feed did not know before reach who asks for it, and who asks for all."""
+    rows = [("a", "all"), ("a", "alert"), ("b", "alert"), ("b", "node_status"), ("c", "ping"), ("d", "deploy"), ("d", "alert")]
+    deploys = by_name(fx.metrics(spark, folder), "purchase")
+    every = feed.merged([_feed(spark, folder), feed.envelope(deploys, "deploy", F.col("ts"), F.col("node"), ["event_id"])])
+    return feed.delivered(every, spec_table(spark, rows, "client string, topic string"))

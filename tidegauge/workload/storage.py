@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
@@ -10,8 +10,9 @@ from tidegauge import fixtures as fx
 from tidegauge.functions import labels as lb
 from tidegauge.functions.timing import micros
 from tidegauge.operators import retention as rt
+from tidegauge.operators.select import in_range
 from tidegauge.plans import scratch
-from tidegauge.sources import export as ex, ingest as ing
+from tidegauge.sources import export as ex, ingest as ing, tables
 from tidegauge.workload.registry import AS_OF, METRICS, q6, query
 from tidegauge.workload.selection import END, START
 
@@ -153,12 +154,14 @@ def archive_cold(spark, folder):
 
 
 @query(
-    f"WITH {METRICS}, f AS (SELECT unnest(['parquet', 'json', 'csv', 'orc']) AS form) SELECT form, event_id, ts, name, node, value FROM m, f"
+    f"WITH {METRICS}, f AS (SELECT unnest(['parquet', 'json', 'csv', 'orc']) AS form) SELECT form, event_id, ts, name, node, value, usr || '\"' AS user_label FROM m, f"
 )
 def export_files(spark, folder):
-    samples = fx.metrics(spark, folder).select("event_id", "ts", "name", "node", "value")
+    """Samples with a label map, of which one value holds a quote."""
+    labels = F.create_map(F.lit("node"), "node", F.lit("user"), F.concat("usr", F.lit('"')))
+    samples = fx.metrics(spark, folder).select("event_id", "ts", "name", "node", "value", labels.alias("labels"))
     copies = [ex.export(samples, scratch.new_folder(spark, f"export-{f}"), f).withColumn("form", F.lit(f)) for f in ex.FORMATS]
-    return ing.union_collectors(copies)
+    return ing.union_collectors(copies).withColumn("user_label", F.col("labels")["user"]).drop("labels")
 
 
 @query(
@@ -184,6 +187,43 @@ def retention_delete(spark, folder):
     return rt.kept(samples, fx.newest(samples), TIERS)
 
 
+@query(
+    f"""WITH {METRICS}, d AS (SELECT event_id, ts >= CAST(CAST({AS_OF} AS DATE) - 20 AS TIMESTAMP) AS stays FROM m)
+    SELECT event_id, (SELECT count(*) FROM d WHERE NOT stays) AS removed FROM d WHERE stays"""
+)
+def retention_purge(spark, folder):
+    """What a stored table still holds once the days before the last twenty are removed, and how many samples went."""
+    path = scratch.new_folder(spark, "hot")
+    samples = fx.metrics(spark, folder).select("event_id", "ts", "name", "value")
+    tables.store(samples, path)
+    before = fx.newest(samples).date() - timedelta(days=20)
+    removed = tables.delete_expired(spark, path, before).first()["removed"]
+    return tables.load(spark, path).select("event_id", F.lit(removed).alias("removed"))
+
+
+@query(f"WITH {METRICS} SELECT event_id, CASE WHEN {IN_ARCHIVE} THEN 'archive' ELSE 'hot' END AS place, (SELECT count(*) FROM m WHERE {IN_ARCHIVE}) AS moved FROM m")
+def archive_move(spark, folder):
+    """Every sample of a stored table after whole days were moved to an archive, and where it is."""
+    hot, cold = scratch.new_folder(spark, "hot"), scratch.new_folder(spark, "archive")
+    tables.store(fx.metrics(spark, folder).select("event_id", "ts", "name", "value"), hot)
+    moved = ex.move_to_archive(spark, hot, START.date(), END.date(), cold).first()["moved"]
+    parts = [tables.load(spark, path).select("event_id", F.lit(place).alias("place")) for path, place in ((hot, "hot"), (cold, "archive"))]
+    return parts[0].unionByName(parts[1]).withColumn("moved", F.lit(moved))
+
+
+@query(
+    f"""WITH {METRICS} SELECT event_id, ts FROM m
+    WHERE ts >= TIMESTAMP '2024-01-05 22:30:00' AND ts <= TIMESTAMP '2024-01-09 00:30:00'"""
+)
+def stored_range(spark, folder):
+    """A range given in another time zone, read from a stored table with its days pruned."""
+    path = scratch.new_folder(spark, "stored")
+    tables.store(fx.metrics(spark, folder).select("event_id", "ts", "name", "value"), path)
+    zone = timezone(timedelta(hours=2))
+    start, end = datetime(2024, 1, 6, 0, 30, tzinfo=zone), datetime(2024, 1, 9, 2, 30, tzinfo=zone)
+    return in_range(tables.load(spark, path), start, end).select("event_id", "ts")
+
+
 @query(f"WITH {METRICS} SELECT event_id, {TIER} AS tier FROM m")
 def tier_classify(spark, folder):
     samples = fx.metrics(spark, folder)

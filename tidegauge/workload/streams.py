@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tidegauge import fixtures as fx
 from tidegauge.operators.fleet import latest_rows
+from tidegauge.plans import scratch
 from tidegauge.streaming import monitors as mo
-from tidegauge.streaming.run import drain, drain_updates, read_events
+from tidegauge.streaming.run import ProgressTotals, drain, drain_updates, read_events
 from tidegauge.workload.buckets import ALERTS
 from tidegauge.workload.models import EWMA
 from tidegauge.workload.health import SESSIONS
@@ -25,8 +26,8 @@ ERROR_WATERMARK = "(date_trunc('milliseconds', (SELECT max(ts) FROM events WHERE
 WATERMARK = f"(date_trunc('milliseconds', {AS_OF}) - INTERVAL 1 HOUR)"
 
 
-def samples(spark, folder):
-    return read_events(spark, folder).select(
+def samples(spark, folder, *reading):
+    return read_events(spark, folder, *reading).select(
         "event_id", "ts", "value", F.col("event_type").alias("name"),
         F.concat(F.lit("node-"), F.col("user_id") % 10).alias("node"),
         F.concat(F.lit("node-"), F.col("user_id")).alias("machine"),
@@ -119,19 +120,36 @@ def health_stream(spark, folder):
     return plain(latest_rows(changes.withColumn("rank", rank), ["machine"], ["last_seen", "rank"], ["status", "last_seen"]))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS late_rows, count(*) AS rows_seen FROM events")
+CUT = "(SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events)"
+
+
+@query(
+    f"""SELECT count(*) FILTER (ts < {CUT} AND ts < date_trunc('milliseconds', (SELECT max(ts) FROM events WHERE ts >= {CUT} AND event_id % 2 = 0)) - INTERVAL 1 HOUR) AS late_rows,
+    count(*) AS rows_seen FROM events"""
+)
 def stream_late(spark, folder):
-    """Rows that came behind the watermark, from the streaming progress; one ordered file has none."""
-    return late_report(samples(spark, folder), HOUR)
+    """The earlier half of the events arrives last, after the watermark has passed it.
+
+    Arrival files are written one slice after another; late rows are judged by
+    the watermark of the batch before the previous one, hence three slices.
+    """
+    events = fx.table(spark, folder, "events")
+    ends = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    late = F.col("ts") < F.lit(ends["a"] + (ends["b"] - ends["a"]) / 2)
+    arrivals = scratch.new_folder(spark, "arrivals")
+    for part in (~late & (F.col("event_id") % 2 == 0), ~late & (F.col("event_id") % 2 != 0), late):
+        events.filter(part).repartition(SLICE_FILES, "event_id").write.mode("append").parquet(arrivals)
+    return late_report(samples(spark, arrivals, "*.parquet", SLICE_FILES), HOUR)
+
+
+SLICE_FILES = 4
 
 
 def late_report(rows, delay):
-    """Late and seen row counts of a de-duplicated ingest.
+    """Late and seen row counts of a de-duplicated ingest, added up batch by batch.
 
     De-duplication sees single rows; an aggregation would count late groups.
     """
-    _, finished = drain_updates(mo.deduplicated(rows, ["event_id"], delay), "late")
-    progress = finished.recentProgress
-    late = sum(int(op["numRowsDroppedByWatermark"]) for p in progress for op in p["stateOperators"])
-    seen = sum(int(p["numInputRows"]) for p in progress)
-    return rows.sparkSession.createDataFrame([(late, seen)], "late_rows bigint, rows_seen bigint")
+    with ProgressTotals(rows.sparkSession) as totals:
+        drain_updates(mo.deduplicated(rows, ["event_id"], delay), "late")
+    return rows.sparkSession.createDataFrame([(totals.late, totals.seen)], "late_rows bigint, rows_seen bigint")
