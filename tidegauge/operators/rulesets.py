@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidegauge.functions.labels import Matcher, render
 from tidegauge.functions.timing import as_micros
 from tidegauge.operators.alerting import alerts, compare
+from tidegauge.operators.select import by_name
 from tidegauge.operators.series import increase_window
 from tidegauge.operators.vectors import paired, vector
 from tidegauge.plans.small import spec_table
@@ -125,26 +126,32 @@ def rule_columns(samples: DataFrame, rules) -> DataFrame:
     )
 
 
-def conditions(samples: DataFrame, rules, by: list[str], tie: list[str], every: timedelta) -> DataFrame:
+def conditions(
+    samples: DataFrame, rules, by: list[str], tie: list[str], every: timedelta, series: list[str] | None = None
+) -> DataFrame:
     """(rule, labels, ts, tie, value, breach) for every rule of the set.
 
     Samples carry ``name``, ``ts``, ``value``, the tie columns, the labels in
-    ``by`` and any label a matcher asks for.
+    ``by`` and any label a matcher asks for.  ``series`` names all labels that
+    tell counters apart (``by`` if left out): growth is taken counter by counter
+    and then summed by the labels of the alert.
     """
-    parts = []
+    parts, series = [], series or by
     plain = [r for r in rules if isinstance(r.source, Threshold)]
     if plain:
         parts.append(_thresholds(samples, plain, by, tie))
     growth = [r for r in rules if isinstance(r.source, Growth)]
     for span in sorted({r.source.span for r in growth}):
-        parts.append(_growths(samples, [r for r in growth if r.source.span == span], by, tie, span, every))
-    parts += [_pair(samples, r, by, tie, every) for r in rules if isinstance(r.source, Pair)]
+        parts.append(_growths(samples, [r for r in growth if r.source.span == span], by, series, tie, span, every))
+    parts += [_pair(samples, r, by, series, tie, every) for r in rules if isinstance(r.source, Pair)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def ruleset_alerts(samples: DataFrame, rules, by: list[str], tie: list[str], every: timedelta) -> DataFrame:
+def ruleset_alerts(
+    samples: DataFrame, rules, by: list[str], tie: list[str], every: timedelta, series: list[str] | None = None
+) -> DataFrame:
     """Alerts of the whole set, one scan per (rule, labels)."""
-    rows = conditions(samples, rules, by, tie, every)
+    rows = conditions(samples, rules, by, tie, every, series)
     held = rows.join(rule_columns(samples, rules).select("rule", "hold_us", "severity"), "rule")
     hold = F.lit(timedelta(microseconds=1)) * F.col("hold_us")
     return alerts(held, ["rule", *by], ["tie"], F.col("breach"), hold, carry=["severity"])
@@ -162,9 +169,16 @@ def _thresholds(samples: DataFrame, rules, by: list[str], tie: list[str]) -> Dat
     )
 
 
-def _growths(samples: DataFrame, rules, by: list[str], tie: list[str], span: timedelta, every: timedelta) -> DataFrame:
-    wanted = samples.filter(F.col("name").isin(*[r.source.metric for r in rules]))
-    grown = increase_window(wanted, ["name", *by], ["ts", *tie], span, every)
+def _grown(samples: DataFrame, names: list[str], by: list[str], series: list[str], tie: list[str], span: timedelta, every: timedelta) -> DataFrame:
+    """Growth per name, labels and window, of each counter for itself and then summed."""
+    grown = increase_window(by_name(samples, *names), ["name", *series], ["ts", *tie], span, every)
+    if set(series) == set(by):
+        return grown
+    return grown.groupBy("name", *by, "window_end").agg(F.sum("increase").alias("increase"))
+
+
+def _growths(samples: DataFrame, rules, by: list[str], series: list[str], tie: list[str], span: timedelta, every: timedelta) -> DataFrame:
+    grown = _grown(samples, sorted({r.source.metric for r in rules}), by, series, tie, span, every)
     per_second = F.col("increase") / F.lit(as_micros(span) / 1e6)
     hits = []
     for rule in rules:
@@ -177,12 +191,11 @@ def _growths(samples: DataFrame, rules, by: list[str], tie: list[str], span: tim
     )
 
 
-def _pair(samples: DataFrame, rule: SetRule, by: list[str], tie: list[str], every: timedelta) -> DataFrame:
+def _pair(samples: DataFrame, rule: SetRule, by: list[str], series: list[str], tie: list[str], every: timedelta) -> DataFrame:
     source = rule.source
     step_end = F.col("bucket") + F.lit(every)
     if source.left_growth:
-        wanted = samples.filter(F.col("name") == source.left)
-        grown = increase_window(wanted, ["name", *by], ["ts", *tie], 5 * MINUTE, every)
+        grown = _grown(samples, [source.left], by, series, tie, 5 * MINUTE, every)
         left = grown.select(*by, F.col("window_end").alias("ts"), (F.col("increase") / 300.0).alias("left"))
         right = vector(samples, source.right, by, every, tie).select(*by, step_end.alias("ts"), F.col("value").alias("right"))
         both = left.join(right, [*by, "ts"])

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tidegauge.functions.timing import as_micros, seconds_between, time_bucket
+from tidegauge.functions.timing import as_micros, micros, seconds_between, time_bucket
 from tidegauge.plans.groups import top_n
 from tidegauge.plans.ordered import Ordered, Previous, RunningSum
 
@@ -47,8 +47,9 @@ def increase_window(counters: DataFrame, keys: list[str], order: list[str], span
     """Growth over a look-back ``span`` ending at each multiple of ``every``.
 
     ``span`` must be a multiple of ``every``.  Growth is first summed into
-    panes one ``every`` wide, and only the panes are copied into the
-    ``span / every`` windows they belong to, not the samples.
+    panes one ``every`` wide; a window is a sum over the panes of its span.
+    Rows are added only for windows that end where there is no pane, so a series
+    with samples in every pane is not multiplied.
     """
     if as_micros(span) % as_micros(every):
         raise ValueError("span must be a multiple of every")
@@ -59,12 +60,22 @@ def increase_window(counters: DataFrame, keys: list[str], order: list[str], span
         .groupBy(*keys, "_pane")
         .agg(F.sum("increase").alias("_grown"), F.count(F.lit(1)).alias("_n"))
     )
-    step = F.explode(F.sequence(F.lit(1), F.lit(copies)))
-    ends = panes.withColumn("_i", step).withColumn("window_end", F.col("_pane") + F.lit(every) * F.col("_i"))
-    return (
-        ends.groupBy(*keys, "window_end")
-        .agg(F.sum("_grown").alias("increase"), F.sum("_n").alias("samples"))
-        .withColumn("window_start", F.col("window_end") - F.lit(span))
+    pane, width = micros(F.col("_pane")), F.lit(as_micros(every))
+    following = F.lead(pane).over(Window.partitionBy(*keys).orderBy("_pane"))
+    empty = F.least(F.coalesce((following - pane) / width, F.lit(copies)).cast("int") - 1, F.lit(copies - 1))
+    ends = (
+        panes.withColumn("_empty", empty)
+        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_empty"))))
+        .withColumns({"_at": pane + width * F.col("_i"), "window_end": F.col("_pane") + F.lit(every) * (F.col("_i") + 1)})
+    )
+    covered = Window.partitionBy(*keys).orderBy("_at").rangeBetween(as_micros(every) - as_micros(span), 0)
+    own = F.col("_i") == 0
+    return ends.select(
+        *keys,
+        "window_end",
+        F.sum(F.when(own, F.col("_grown"))).over(covered).alias("increase"),
+        F.sum(F.when(own, F.col("_n"))).over(covered).alias("samples"),
+        (F.col("window_end") - F.lit(span)).alias("window_start"),
     )
 
 

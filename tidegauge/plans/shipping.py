@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -27,4 +28,7 @@ def ship(spark: SparkSession) -> None:
         for file in sorted(package.rglob("*.py")):
             out.write(file, file.relative_to(package.parent).as_posix())
     context.addPyFile(str(archive))
+    # Stateful stream operators are first set up by a worker beside the driver, which sees no shipped files.
+    known = context.environment.get("PYTHONPATH")
+    context.environment["PYTHONPATH"] = os.pathsep.join([str(package.parent), *([known] if known else [])])
     setattr(context, _DONE, True)

@@ -288,7 +288,7 @@ SPEED = 720
 FAST_SQL = f"""{COUNTERS}, fast AS (
   SELECT e.event_id, TIMESTAMP '2024-01-01 00:00:00' + to_microseconds((epoch_us(e.ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) // {SPEED}) AS ts,
          event_type AS kind, 'node-' || (user_id % 10) AS node, e.value, ct.value AS counter, k,
-         CASE user_id % 4 WHEN 0 THEN '/tmp' ELSE '/data' END AS mount
+         CASE user_id % 4 WHEN 0 THEN '/tmp' ELSE '/data' END AS mount, CASE user_id % 3 WHEN 0 THEN 'a' ELSE 'b' END AS container
   FROM events e JOIN ct USING (event_id) JOIN mk USING (event_id))"""
 
 
@@ -301,6 +301,7 @@ def _fast(spark, folder):
         F.col("event_type").alias("kind"),
         F.concat(F.lit("node-"), F.col("user_id") % 10).alias("node"),
         F.when(F.col("user_id") % 4 == 0, "/tmp").otherwise("/data").alias("mount"),
+        F.when(F.col("user_id") % 3 == 0, "a").otherwise("b").alias("container"),
         "value",
         fx.k_of(F.col("props")).alias("k"),
     )
@@ -315,14 +316,14 @@ def _played(spark, folder, plan):
         for kind, rows in plan.items()
     ]
     rows = _fast(spark, folder).withColumn("_s", F.explode(F.coalesce(*choices)))
-    return rows.select("event_id", "ts", "node", "mount", "_s.*")
+    return rows.select("event_id", "ts", "node", "mount", "container", "_s.*")
 
 
-def growth_sql(name: str, kind: str, every: int) -> str:
+def growth_sql(name: str, kind: str, every: int, series: str = "node, mount") -> str:
     """Windowed growth of the counter behind ``kind``: (node, mount, ts, increase)."""
     copies = 300 // every
     return f"""{name}_d AS (SELECT node, mount, ts, counter, counter - lag(counter) OVER w AS dv, lag(ts) OVER w AS before FROM fast WHERE kind = '{kind}'
-    WINDOW w AS (PARTITION BY node, mount ORDER BY ts, event_id)),
+    WINDOW w AS (PARTITION BY {series} ORDER BY ts, event_id)),
   {name} AS (SELECT node, mount, time_bucket(INTERVAL {every} SECOND, ts) + i * INTERVAL {every} SECOND AS ts,
     sum(CASE WHEN dv < 0 THEN counter ELSE dv END) AS increase
     FROM {name}_d, (SELECT unnest(range(1, {copies + 1})) AS i) WHERE before IS NOT NULL GROUP BY 1, 2, 3)"""
@@ -363,7 +364,8 @@ def ruleset_system(spark, folder):
     return rows.withColumn("value", fx.comparable(F.col("value"))).drop("severity")
 
 
-KUBE_COND = f"""{FAST_SQL}, {growth_sql("restarts", "error", 30)}, {growth_sql("cpu", "view", 30)},
+COUNTER_OF = "node, mount, container"
+KUBE_COND = f"""{FAST_SQL}, {growth_sql("restarts", "error", 30, COUNTER_OF)}, {growth_sql("cpu", "view", 30, COUNTER_OF)},
   {last_sql("cores", "click", 30)}, {last_sql("mem", "view", 30)}, {last_sql("memlimit", "click", 30)},
   {last_sql("capacity", "purchase", 30)}, {last_sql("allocatable", "signup", 30)}, cond AS (
   SELECT 'K8sPodCrashLooping' AS rule, node, mount, ts, 0 AS tie, increase AS value, increase > 3 AS breach, 120 AS hold_s FROM restarts
@@ -385,6 +387,7 @@ KUBE_COND = f"""{FAST_SQL}, {growth_sql("restarts", "error", 30)}, {growth_sql("
     SELECT rule, node, mount, active_at, fired_at, resolved_at, samples, state, {q6("value")} AS value FROM alerts"""
 )
 def ruleset_kubernetes(spark, folder):
+    """A pod's two containers each have counters of their own, which the rules sum."""
     value, counter, k = F.col("value"), F.col("counter"), F.col("k")
     plan = {
         "error": [("kube_pod_container_status_restarts_total", counter), ("kubernetes_pod_restarts_total", value)],
@@ -395,7 +398,7 @@ def ruleset_kubernetes(spark, folder):
     }
     shaped = {kind: [(n, v, _labels(n)[0], _labels(n)[1]) for n, v in rows] for kind, rows in plan.items()}
     samples = _played(spark, folder, shaped)
-    rows = rs.ruleset_alerts(samples, rs.KUBERNETES_RULES, ["node", "mount"], fx.TIE, rs.KUBERNETES_EVERY)
+    rows = rs.ruleset_alerts(samples, rs.KUBERNETES_RULES, ["node", "mount"], fx.TIE, rs.KUBERNETES_EVERY, ["node", "mount", "container"])
     return rows.withColumn("value", fx.comparable(F.col("value"))).drop("severity")
 
 
