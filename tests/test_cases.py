@@ -380,3 +380,15 @@ def test_correlation_sees_only_its_window(spark):
     events = events.withColumn("ts", F.col("ts").cast(rows.schema["ts"].dataType))
     found = vectors.correlate(events, rows, ["series"], "event", timedelta(minutes=30), ["id"]).first()
     assert (found["samples_before"], found["mean_before"], found["samples_after"], found["mean_after"]) == (1, 5.3, 1, 5.3)
+
+
+def test_default_ensemble_is_the_weighted_mean_of_its_two(spark):
+    from tidegauge.operators import detectors
+
+    random.seed(9)
+    known, asked = points(spark, [random.gauss(50, 2) for _ in range(120)]), points(spark, [50.0, 90.0, 51.0])
+    pair = [(detectors.Ewma(["series"], ["ts", "id"]), 0.6), (detectors.Forest(["series"], ["id"]), 0.4)]
+    both = {r["id"]: r["score"] for r in anomaly.run_detectors(known, asked, pair, ["id"], 0.6).collect()}
+    single = [{r["id"]: r["score"] for r in d.score(asked, d.fit(known)).select("id", "score").collect()} for d, _ in pair]
+    for i, score in both.items():
+        assert score == pytest.approx(0.6 * single[0][i] + 0.4 * single[1][i])

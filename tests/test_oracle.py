@@ -43,7 +43,7 @@ def test_split_plans_agree_with_sql(spark, connection, split_everything, key):
 def test_every_query_has_a_home():
     assert set(ORACLES) <= set(QUERIES) <= set(entry_points.queries())
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
-    assert set(QUERIES) - set(ORACLES) == {"iforest_train", "iforest_score"}
+    assert set(QUERIES) - set(ORACLES) == {"iforest_train", "iforest_score", "default_ensemble"}
 
 
 def test_entry(spark):

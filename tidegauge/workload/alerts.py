@@ -351,6 +351,29 @@ SYSTEM_COND = f"""{FAST_SQL}, {growth_sql("oom", "error", 10)}, {growth_sql("net
     SELECT rule, node, mount, active_at, fired_at, resolved_at, samples, state, {q6("value")} AS value FROM alerts"""
 )
 def ruleset_system(spark, folder):
+    return _system_alerts(spark, folder).withColumn("value", fx.comparable(F.col("value"))).drop("severity")
+
+
+TEXTS = """CASE rule WHEN 'HighCPUUsage' THEN 'High CPU usage on ' || node WHEN 'HighMemoryUsage' THEN 'High memory usage on ' || node
+    WHEN 'LowDiskSpace' THEN 'Low disk space on ' || mount || ' (' || node || ')' WHEN 'CriticalDiskSpace' THEN 'Critical disk space on ' || mount || ' (' || node || ')'
+    WHEN 'HighLoadAverage' THEN 'High load average on ' || node WHEN 'SystemOOMKills' THEN 'OOM kills detected on ' || node
+    WHEN 'HighNetworkErrors' THEN 'High network errors on  (' || node || ')' WHEN 'HighTCPRetransmits' THEN 'High TCP retransmits on ' || node END"""
+
+
+@query(
+    f"""WITH {SYSTEM_COND}, {alerts_sql("cond", "rule, node, mount, hold_s", "hold_s * INTERVAL 1 SECOND")}
+    SELECT rule, node, mount, active_at, state, CASE WHEN rule IN ('SystemOOMKills', 'CriticalDiskSpace') THEN 'critical' ELSE 'warning' END AS severity,
+    {TEXTS} AS summary FROM alerts"""
+)
+def ruleset_texts(spark, folder):
+    """Alerts of the system rules with the texts that a receiver gets; labels an alert lacks are empty."""
+    found = _system_alerts(spark, folder)
+    labels = F.create_map(F.lit("node"), "node", F.lit("mount"), "mount")
+    shown = rs.rendered(found, rs.SYSTEM_RULES, labels, F.col("value").cast("string"))
+    return shown.select("rule", "node", "mount", "active_at", "state", "severity", "summary")
+
+
+def _system_alerts(spark, folder):
     value, counter = F.col("value"), F.col("counter")
     plan = {
         "error": [("system_cpu_usage", value), ("system_oom_kills", counter)],
@@ -360,8 +383,7 @@ def ruleset_system(spark, folder):
         "signup": [("system_cpu_cores", value)],
     }
     samples = _played(spark, folder, plan)
-    rows = rs.ruleset_alerts(samples, rs.SYSTEM_RULES, ["node", "mount"], fx.TIE, rs.SYSTEM_EVERY)
-    return rows.withColumn("value", fx.comparable(F.col("value"))).drop("severity")
+    return rs.ruleset_alerts(samples, rs.SYSTEM_RULES, ["node", "mount"], fx.TIE, rs.SYSTEM_EVERY)
 
 
 COUNTER_OF = "node, mount, container"

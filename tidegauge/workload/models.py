@@ -139,6 +139,16 @@ def detector_plugin(spark, folder):
     return q6cols(combined, "score")
 
 
+@query()
+def default_ensemble(spark, folder):
+    """The weighted average and the forest at their default weights, trained before the cut and asked after it."""
+    samples = fx.metrics(spark, folder)
+    cut = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    pair = {"ewma": detectors.Ewma(fx.KEYS, ORDER), "forest": detectors.Forest(fx.KEYS, fx.TIE)}
+    chosen = [(pair[name], weight) for name, weight in an.ENSEMBLE_WEIGHTS.items()]
+    return an.run_detectors(samples.filter(F.col("ts") < cut), samples.filter(F.col("ts") >= cut), chosen, ["event_id"], fo.LIMIT)
+
+
 MODEL = f"""{METRICS}, ix AS (SELECT *, row_number() OVER (PARTITION BY name, node ORDER BY ts, event_id) - 1 AS x FROM m),
   tr AS (SELECT name, node, count(*) AS n, regr_slope(value, x) AS slope, regr_intercept(value, x) AS intercept, max(ts) AS last_ts FROM ix GROUP BY 1, 2 HAVING count(*) >= 10),
   rs AS (SELECT ix.name, ix.node, hour(ts) AS h, ts, value - intercept - slope * x AS res FROM ix JOIN tr USING (name, node)),
