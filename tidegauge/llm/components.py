@@ -1,13 +1,15 @@
 """Connected components of an edge table, by hooking every node to its smallest neighbour.
 
 All state is tables: nothing about nodes or edges reaches the driver but row
-counts.  Each round maps every node to the smallest id next to it, jumps twice
-along those pointers and contracts the edges, so long chains shrink by a
+counts.  Each round maps every node to the smallest id next to it, jumps once
+more along those pointers and contracts the edges, so long chains shrink by a
 factor and stars vanish at once.  Rounds are stored in the shared folder.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.plans import scratch
@@ -16,14 +18,16 @@ from tidegauge.plans import scratch
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); the root is the smallest node it can reach."""
     rest = scratch.cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = None
+    steps = []
     while not rest.isEmpty():
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parents = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
-        parents = scratch.cut(_followed(_followed(parents, parents), parents))
-        labels = scratch.cut(parents if labels is None else _followed(labels, parents))
+        parents = scratch.cut(_followed(parents, parents))
+        steps.append(parents)
         rest = scratch.cut(_contracted(rest, parents))
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+    if not steps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+    return scratch.cut(reduce(_followed, steps))
 
 
 def _followed(labels: DataFrame, parents: DataFrame) -> DataFrame:

@@ -16,11 +16,10 @@ their full sets is at least ``threshold`` per cent of the union.
    star, so pairs never outnumber bucket rows.  Pairs are confirmed on full sets.
 5. A link between two members that the star's centre does not tie together
    would be lost, so buckets with members of different components go on: each
-   key is joined with several other bands' keys, which parts texts that share a
-   passage and keeps similar ones together, again and again for buckets of more
-   than ``CENTRES`` members.  In the small buckets that are left every member
-   is a centre.  Should all bands agree for many members, ``CENTRES`` of them at
-   a time are centres until each has been.
+   key is joined with ``JOINED`` other bands' keys and with the set's size,
+   which parts texts that merely share a passage.  In these smaller buckets
+   ``CENTRES`` members, drawn anew in each round, are centres of stars to
+   members of other components, until a round finds no further link.
 
 Sets are made from the text when a pair is to be confirmed and travel to the
 pair's centre; a centre with many members is dealt out in chunks of
@@ -33,6 +32,8 @@ a null id is never linked and its row is kept; repeated rows are each returned.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,10 +50,10 @@ THRESHOLD = 75
 BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
-CENTRES = 64
 CHUNK = 256
-#: Other bands that a mixed bucket's key is joined with.
-JOINED = 6
+#: Other bands that a mixed bucket's key is joined with, and centres of a round's stars there.
+JOINED = 2
+CENTRES = 4
 #: Ids that may be broadcast (16 bytes each in the hashed relation); more are shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -221,40 +222,34 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
 
 
 def _rest(documents: DataFrame, classes: DataFrame, buckets: DataFrame, links: DataFrame, id: str, text: str, threshold: int) -> DataFrame:
-    """Links that the first stars could not see."""
+    """The links, with those that the first stars could not see."""
     roots = components(links)
-    pairs = None
-    # The bands that a key has not met yet, in groups of JOINED.
-    refinements = [range(j, j + JOINED) for j in range(1, BANDS - JOINED, JOINED)]
-    rows = scratch.cut(_mixed(buckets.select("rep", "n", "band", "key"), roots))
-    while refinements and not rows.isEmpty():
-        rows = scratch.cut(_mixed(_refined(rows, classes, refinements.pop(0)), roots))
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
-        sized = rows.join(sizes, "key")
-        small = _starred(sized.where(F.col("members") <= CENTRES), threshold)
-        pairs = scratch.cut(small if pairs is None else pairs.unionByName(small).distinct())
-        rows = scratch.cut(sized.where(F.col("members") > CENTRES).drop("members"))
-    while not rows.isEmpty():
-        # As many hashes as there are agree, and still there are many: some centres at a time.
-        ranked = scratch.cut(rows.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "rep"), "rep"))))
-        centres = ranked.where(F.col("place") <= CENTRES)
-        pairs = scratch.cut(pairs.unionByName(_pairs(centres.drop("place"), rows, threshold)).distinct())
-        rows = scratch.cut(_mixed(ranked.where(F.col("place") > CENTRES).drop("place", "root"), roots))
-    if pairs is None:
-        return links
-    return links.unionByName(linked(documents, pairs.distinct(), id, text, threshold))
-
-
-def _refined(rows: DataFrame, classes: DataFrame, bands: range) -> DataFrame:
-    """Each row again for several other bands, its key joined with theirs."""
-    others = F.transform(F.array(*[F.lit(j) for j in bands]), lambda j: F.get("keys", (F.col("band") + j) % BANDS))
+    rows = _refined(_mixed(buckets.select("rep", "n", "band", "key"), roots), classes, threshold)
+    for turn in itertools.count():
+        rows = scratch.cut(_mixed(rows, roots))
+        order = Window.partitionBy("key").orderBy(F.xxhash64("key", "rep", F.lit(turn)), "rep")
+        centres = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= CENTRES)
+        pairs = scratch.cut(_pairs(centres, rows, threshold))
+        if pairs.isEmpty():
+            return links
+        found = scratch.cut(linked(documents, pairs, id, text, threshold))
+        if found.isEmpty():
+            return links
+        links = links.unionByName(found)
+        roots = components(links)
+
+
+def _refined(rows: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Each row again for some other bands, its key joined with theirs and with the size of its set.
+
+    A size belongs to two steps of a geometric scale, so that any two sets of
+    like size have a step in common.
+    """
+    others = F.array(*[F.get("keys", (F.col("band") + j) % BANDS) for j in range(1, JOINED + 1)])
+    step = F.floor(F.log("n") / F.lit(math.log(100 / threshold)))
     keyed = rows.select("rep", "n", "band", "key").join(classes.select("rep", "keys"), "rep")
-    return keyed.select("rep", "n", "band", F.explode(F.transform(others, lambda other: F.xxhash64("key", other))).alias("key")).distinct()
-
-
-def _starred(rows: DataFrame, threshold: int) -> DataFrame:
-    """Stars around every member of buckets of bounded size."""
-    return _pairs(rows, rows, threshold)
+    joined = keyed.select("rep", "n", "key", step.alias("step"), F.explode(others).alias("other"))
+    return joined.select("rep", "n", F.explode(F.array(*[F.xxhash64("key", "other", F.col("step") + i) for i in (0, 1)])).alias("key")).distinct()
 
 
 def _pairs(centres: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
@@ -265,11 +260,11 @@ def _pairs(centres: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
 
 
 def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows, with their component ``root``, of buckets whose members are in different components."""
-    rows = rows.drop("root")
+    """Rows of buckets whose members are in different components, with the component ``root`` and the bucket's ``members``."""
+    rows = rows.drop("root", "members")
     known = rows.join(roots, rows["rep"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "rep"))
-    several = known.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high").select("key")
-    return known.join(several, "key", "left_semi")
+    buckets = known.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("members"))
+    return known.join(buckets.where("_low < _high").select("key", "members"), "key")
 
 
 def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
