@@ -42,7 +42,7 @@ PROBES = 5
 PRIOR = 100.0
 MODEL_BYTES = 192 << 20
 #: Pairs that a task gathers before it hands them on.
-GATHERED = 4_000_000
+GATHERED = 1_500_000
 MAX_LEVEL = 100
 
 _BEGIN, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -107,6 +107,7 @@ def _counted(texts: DataFrame, shift: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["part", "kind", "keys", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _MODELS.clear()  # of an earlier query in this worker
         held: dict[int, list] = {1: [], 2: []}
         size = 0
 
@@ -197,19 +198,18 @@ def _short(raw: bytes) -> np.ndarray:
 
 
 class Model:
-    """Some parts of the model: exact counts of their words, and their filters."""
-
-    def __init__(self, rows: list[dict]):
-        rows = sorted(rows, key=lambda r: r["part"])
-        self.shift = np.uint64(rows[0]["shift"] if rows else 63)
-        self._words = np.concatenate([np.frombuffer(r["vocabulary"], np.uint64) for r in rows] or [np.zeros(0, np.uint64)])
-        self._counts = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in rows] or [np.zeros(0, np.int64)])
-        self._bits = np.concatenate([np.frombuffer(r["filter"], np.uint8) for r in rows] or [np.zeros(0, np.uint8)])
-        sizes = [len(r["filter"]) for r in rows]
+    """Some parts of the model: exact counts of their words, and their filters; the arrays are views of the broadcast."""
+
+    def __init__(self, pieces: dict):
+        self.shift = np.uint64(pieces["shift"])
+        self._words = np.frombuffer(pieces["vocabulary"], np.uint64)
+        self._counts = np.frombuffer(pieces["counts"], "<i8")
+        self._bits = np.frombuffer(pieces["filter"], np.uint8)
         parts = 1 << (64 - int(self.shift))
         self._size, self._start = np.zeros(parts, np.int64), np.zeros(parts, np.int64)
-        for row, size, start in zip(rows, sizes, np.cumsum([0, *sizes])):
-            self._size[row["part"]], self._start[row["part"]] = 8 * size, 8 * start
+        starts = np.cumsum([0, *(size for _, size in pieces["sizes"])])
+        for (part, size), start in zip(pieces["sizes"], starts):
+            self._size[part], self._start[part] = 8 * size, 8 * start
 
     def exact(self, hashes: np.ndarray) -> np.ndarray:
         """Training counts of words; 0 for words of other parts or of none."""
@@ -264,9 +264,15 @@ def _groups(model: DataFrame, limit: int) -> list[list[int]]:
 
 
 def _shared(model: DataFrame, parts: list[int]):
-    """A group of pieces, bounded by the caller, as a broadcast."""
-    rows = model.where(F.col("part").isin(parts)).select("part", "shift", "vocabulary", "counts", "filter").collect()
-    return model.sparkSession.sparkContext.broadcast([r.asDict() for r in rows])
+    """A group of pieces, bounded by the caller, as a broadcast; gathered column by column."""
+    chosen = model.where(F.col("part").isin(parts))
+    pieces = {"shift": 63, "sizes": []}
+    for column in ("vocabulary", "counts", "filter"):
+        rows = sorted(chosen.select("part", "shift", column).collect(), key=lambda r: r["part"])
+        pieces[column] = b"".join(r[column] for r in rows)
+        if rows:
+            pieces["shift"], pieces["sizes"] = rows[0]["shift"], [(r["part"], len(r[column])) for r in rows]
+    return model.sparkSession.sparkContext.broadcast(pieces)
 
 
 def _lookups(tokens: Tokens, known: Model) -> tuple[np.ndarray, ...]:
