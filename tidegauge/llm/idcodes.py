@@ -12,7 +12,8 @@ the bitmap in 64-bit words, the set bits before every 512 bits (32 bits each)
 and those before every word within them (16 bits each).
 
 Documents are range-partitioned and sorted by id, encoded by the tokenizers
-library word by word (its pipeline never looks across white space), and written
+library word by word (its pipeline never looks across white space, nor across
+the stop or comma at a word's end), and written
 as files of about ``FILE_IDS`` ids: rows of a Parquet table, so that they live
 wherever Spark can write.  ``export`` puts the images into plain files.
 
@@ -25,22 +26,27 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidegauge.llm.bpe import gathered, vocabulary_text
-from tidegauge.llm.textbatch import sliced, words
+from tidegauge.llm.textbatch import LOWER, sliced, words
 
 FORMAT = "directly addressable codes, 8-bit chunks"
 MAGIC = 0x31434144
 END_ID = 2
 FILE_IDS = 1 << 20
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 _KEEP_CASE = np.arange(256, dtype=np.uint8)
+#: Marks that the library always parts from the letter before them.
+_STOPS = np.zeros(256, dtype=bool)
+_STOPS[[ord("."), ord(",")]] = True
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -110,18 +116,21 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_str(file)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._known: dict[bytes, np.ndarray] = {}
+        self._known: dict[bytes, bytes] = {}
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a slice of texts, each followed by the end id, and the first id of each row (with the end)."""
-        found = words(column, mapped=_KEEP_CASE)
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
-        new = [w for w in found.distinct if w not in self._known]
-        made = self._tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        self._known.update((w, np.array(e.ids, np.uint32)) for w, e in zip(new, made))
-        pieces = [self._known[w] for w in found.distinct] + [np.array([END_ID], np.uint32)]
-        flat, ends = np.concatenate(pieces), np.cumsum([0, *map(len, pieces)])
+        # The library writes letters in lower case itself, but only after it has cut out its special tokens.
+        special = pc.any(pc.match_substring(column, "<|")).as_py()
+        found = words(column, mapped=_KEEP_CASE if special else LOWER, ending=_STOPS)
+        known = self._known
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = [w for w in found.distinct if w not in known]
+        made = self._tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, made))
+        pieces = [known[w] for w in found.distinct] + [array("I", [END_ID]).tobytes()]
+        flat, ends = np.frombuffer(b"".join(pieces), np.uint32), np.cumsum([0, *map(len, pieces)]) // 4
         codes = np.insert(found.codes, found.docs[1:], len(pieces) - 1)
         ids, positions = gathered(flat, ends, codes)
         return ids, positions[found.docs + np.arange(len(found.docs))]
