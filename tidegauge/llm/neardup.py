@@ -246,7 +246,7 @@ def _refined(rows: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     like size have a step in common.
     """
     others = F.array(*[F.get("keys", (F.col("band") + j) % BANDS) for j in range(1, JOINED + 1)])
-    step = F.floor(F.log("n") / F.lit(math.log(100 / threshold)))
+    step = F.floor(F.log("n") / F.lit(math.log(100 / min(threshold, 99))))
     keyed = rows.select("rep", "n", "band", "key").join(classes.select("rep", "keys"), "rep")
     joined = keyed.select("rep", "n", "key", step.alias("step"), F.explode(others).alias("other"))
     return joined.select("rep", "n", F.explode(F.array(*[F.xxhash64("key", "other", F.col("step") + i) for i in (0, 1)])).alias("key")).distinct()

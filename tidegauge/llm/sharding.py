@@ -6,8 +6,8 @@ over the texts stores key, size and checksum; all later steps read that narrow
 table:
 
 1. Keys are drawn with probability proportional to their size, about
-   ``SAMPLES`` in all whatever the input; every ``n``-th of the sorted draws is
-   a splitter, which cuts the key order into ``shards * PIECES`` ranges.
+   ``DRAWS`` for each of ``shards * PIECES`` ranges whatever the input; the
+   quantiles of the sorted draws are the splitters between the ranges.
 2. Every range's rows and bytes are summed.  A range with more than
    ``OVERFULL`` times the mean rows or bytes is subdivided by a draw of its own,
    again and again while that makes progress; single rows cannot be cut.
