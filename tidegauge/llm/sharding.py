@@ -55,11 +55,10 @@ def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
-def _splitters(rows: DataFrame, asked: list[dict]) -> list:
-    """Keys that cut each asked range (with its bytes) into about so many pieces, from a size-weighted draw."""
-    ranges = _table(rows.sparkSession, asked, "range:bigint,bytes:bigint,pieces:int")
+def _splitters(rows: DataFrame) -> list:
+    """Keys that cut each range, which has so many ``bytes``, into about so many ``pieces``, from a size-weighted draw."""
     uniform = F.pmod(F.xxhash64(*_KEY), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    drawn = rows.join(F.broadcast(ranges), "range").where(uniform < F.col("pieces") * DRAWS * F.col("size") / F.col("bytes"))
+    drawn = rows.where(uniform < F.col("pieces") * DRAWS * F.col("size") / F.col("bytes"))
     by_range = Window.partitionBy("range")
     ranked = drawn.withColumns({"at": F.row_number().over(by_range.orderBy(*_KEY)), "n": F.count(F.lit(1)).over(by_range)})
     quantile = F.floor(F.col("at") * F.col("pieces") / F.col("n")) > F.floor((F.col("at") - 1) * F.col("pieces") / F.col("n"))
@@ -79,23 +78,24 @@ def _place(keys: list, kinds: dict) -> Column:
 
 def _cut(rows: DataFrame, shards: int) -> tuple[DataFrame, list]:
     """The rows with their range (ordered as the keys are), and every range's rows and bytes."""
-    kinds = {c: rows.schema[c].dataType for c in _KEY}
+    spark, kinds = rows.sparkSession, {c: rows.schema[c].dataType for c in _KEY}
     total = rows.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     fair = shards * PIECES
     cut, keys, sums = rows.withColumn("range", F.lit(0).cast("long")), [], []
-    asked = [{"range": 0, "bytes": total["bytes"], "pieces": fair}]
-    while asked:
-        more = _splitters(cut, asked)
+    asked = cut.withColumns({"bytes": F.lit(total["bytes"]), "pieces": F.lit(fair)})
+    while asked is not None:
+        more = _splitters(asked)
         if not more:
             break
         keys = sorted(keys + [r["key"] for r in more], key=lambda key: [(key[c] is not None, key[c]) for c in _KEY])
         cut = rows.withColumn("range", _place(keys, kinds))
         sums = cut.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
-        asked = [
+        over = [
             {"range": r["range"], "bytes": r["bytes"], "pieces": 1 + int(max(r["n"] * fair / total["n"], r["bytes"] * fair / total["bytes"]))}
             for r in sums
             if r["n"] > 1 and max(r["n"] * fair / total["n"], r["bytes"] * fair / total["bytes"]) > OVERFULL
         ]
+        asked = cut.join(F.broadcast(_table(spark, over, "range:bigint,bytes:bigint,pieces:int")), "range") if over else None
     return cut, sums or [{"range": 0, "bytes": total["bytes"], "n": total["n"]}]
 
 
