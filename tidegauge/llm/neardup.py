@@ -274,4 +274,4 @@ def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", t
     """
     found = near_duplicates(documents, id, text, threshold)
     gone = found.where(~F.col("kept")).select(F.col(id).alias("_gone")).distinct()
-    return documents.join(gone, F.col(id) == F.col("_gone"), "left_anti")
+    return documents.join(_small(scratch.cut(gone)), F.col(id) == F.col("_gone"), "left_anti")
