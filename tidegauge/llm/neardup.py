@@ -249,13 +249,18 @@ def _refined(rows: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     step = F.floor(F.log("n") / F.lit(math.log(100 / min(threshold, 99))))
     keyed = rows.select("rep", "n", "band", "key").join(classes.select("rep", "keys"), "rep")
     joined = keyed.select("rep", "n", "key", step.alias("step"), F.explode(others).alias("other"))
-    return joined.select("rep", "n", F.explode(F.array(*[F.xxhash64("key", "other", F.col("step") + i) for i in (0, 1)])).alias("key")).distinct()
+    keys = [F.struct(F.xxhash64("key", "other", F.col("step") + i).alias("key"), F.lit(i == 0).alias("own")) for i in (0, 1)]
+    return joined.select("rep", "n", F.inline(F.array(*keys))).distinct()
 
 
 def _pairs(centres: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
-    """(a, b), a < b, of centres and members of a bucket that are in different components and of like size."""
-    left = centres.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    met = rows.join(left, "key").where((F.col("rep") != F.col("a")) & (F.col("root") != F.col("root_a")) & _alike(F.col("n"), F.col("n_a"), threshold))
+    """(a, b), a < b, of centres and members of a bucket that are in different components and of like size.
+
+    Two members of the step below the bucket's meet in their own step's bucket too, and only there.
+    """
+    left = centres.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("own").alias("own_a"))
+    differ = (F.col("rep") != F.col("a")) & (F.col("root") != F.col("root_a"))
+    met = rows.join(left, "key").where(differ & (F.col("own") | F.col("own_a")) & _alike(F.col("n"), F.col("n_a"), threshold))
     return met.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
 
 
