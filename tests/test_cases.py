@@ -356,13 +356,16 @@ def test_stored_table_prunes_by_name_and_day(spark, tmp_path):
     assert stored.select(rows.columns).exceptAll(rows).count() == 0
 
 
-def test_many_subscriptions_are_salted(spark, monkeypatch):
-    messages = spark.createDataFrame([("alert", T0, "n", str(i)) for i in range(20)], "type string, ts timestamp_ntz, node_id string, data string")
-    subscriptions = spark.createDataFrame([("a", "all"), ("a", "alert"), ("b", "metrics"), ("c", "alert")], "client string, topic string")
+def test_subscriptions_of_any_number_and_type(spark):
+    rows = [("alert", T0, "n", str(i)) for i in range(20)] + [("deploy", T0, "n", "d"), ("all", T0, "n", "e")]
+    messages = spark.createDataFrame(rows, "type string, ts timestamp_ntz, node_id string, data string")
+    subscriptions = spark.createDataFrame([("a", "all"), ("a", "alert"), ("b", "metrics"), ("c", "alert"), ("d", "deploy")], "client string, topic string")
     few = sorted(feed.delivered(messages, subscriptions).select("client", "data").collect())
-    monkeypatch.setattr(feed, "_SMALL_BYTES", -1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     many = sorted(feed.delivered(messages, subscriptions).select("client", "data").collect())
-    assert few == many and len(few) == 40
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert few == many and len(few) == 22 + 20 + 1
 
 
 def test_online_score_of_large_values(spark):
