@@ -135,7 +135,7 @@ def test_levels_are_never_too_low():
     counts = np.arange(1, 3000) ** 2
     bits = bloomlm._built({1: (keys, counts), 2: (keys & np.uint64(2**48 - 1), counts)})
     mine = keys[(keys >> np.uint64(63)) == 0]
-    model = bloomlm.Model({"shift": 63, "vocabulary": b"", "counts": b"", "filter": bits.tobytes(), "sizes": [(0, len(bits))]})
+    model = bloomlm.Model(63, [(0, len(bits))], b"", b"", bits.tobytes())
     assert (model.level(mine, 1) >= bloomlm.levels_of(counts[(keys >> np.uint64(63)) == 0])).all()
     absent = bloomlm.mix(np.arange(10_000, 40_000, dtype=np.uint64))
     absent = absent[(absent >> np.uint64(63)) == 0]

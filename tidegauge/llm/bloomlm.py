@@ -44,6 +44,8 @@ MODEL_BYTES = 192 << 20
 #: Pairs that a task gathers before it hands them on.
 GATHERED = 1_500_000
 MAX_LEVEL = 100
+#: Bytes of the model that are fetched at a time.
+FETCHED_BYTES = 24 << 20
 
 _BEGIN, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LEVEL_STARTS = BASE ** np.arange(MAX_LEVEL)
@@ -200,15 +202,14 @@ def _short(raw: bytes) -> np.ndarray:
 class Model:
     """Some parts of the model: exact counts of their words, and their filters; the arrays are views of the broadcast."""
 
-    def __init__(self, pieces: dict):
-        self.shift = np.uint64(pieces["shift"])
-        self._words = np.frombuffer(pieces["vocabulary"], np.uint64)
-        self._counts = np.frombuffer(pieces["counts"], "<i8")
-        self._bits = np.frombuffer(pieces["filter"], np.uint8)
+    def __init__(self, shift: int, sizes: list[tuple[int, int]], vocabulary: bytes, counts: bytes, filter: bytes):
+        self.shift = np.uint64(shift)
+        self._words = np.frombuffer(vocabulary, np.uint64)
+        self._counts = np.frombuffer(counts, "<i8")
+        self._bits = np.frombuffer(filter, np.uint8)
         parts = 1 << (64 - int(self.shift))
         self._size, self._start = np.zeros(parts, np.int64), np.zeros(parts, np.int64)
-        starts = np.cumsum([0, *(size for _, size in pieces["sizes"])])
-        for (part, size), start in zip(pieces["sizes"], starts):
+        for (part, size), start in zip(sizes, np.cumsum([0, *(size for _, size in sizes)])):
             self._size[part], self._start[part] = 8 * size, 8 * start
 
     def exact(self, hashes: np.ndarray) -> np.ndarray:
@@ -242,10 +243,10 @@ class Model:
 _MODELS: dict[str, Model] = {}
 
 
-def _model(name: str, shared) -> Model:
+def _model(name: str, shared: dict) -> Model:
     if name not in _MODELS:
         _MODELS.clear()
-        _MODELS[name] = Model(shared.value)
+        _MODELS[name] = Model(shared["shift"], shared["sizes"], *(shared[c].value for c in ("vocabulary", "counts", "filter")))
     return _MODELS[name]
 
 
@@ -263,16 +264,23 @@ def _groups(model: DataFrame, limit: int) -> list[list[int]]:
     return groups
 
 
-def _shared(model: DataFrame, parts: list[int]):
-    """A group of pieces, bounded by the caller, as a broadcast; gathered column by column."""
-    chosen = model.where(F.col("part").isin(parts))
-    pieces = {"shift": 63, "sizes": []}
+def _shared(model: DataFrame, parts: list[int]) -> dict:
+    """A group of pieces, bounded by the caller, as one broadcast a column.
+
+    The driver holds one column at a time, and gathers it a few parts at a time.
+    """
+    shared = {"shift": 63, "sizes": []}
+    fetches = [some for some in _groups(model.where(F.col("part").isin(parts)), FETCHED_BYTES) if some]
     for column in ("vocabulary", "counts", "filter"):
-        rows = sorted(chosen.select("part", "shift", column).collect(), key=lambda r: r["part"])
-        pieces[column] = b"".join(r[column] for r in rows)
-        if rows:
-            pieces["shift"], pieces["sizes"] = rows[0]["shift"], [(r["part"], len(r[column])) for r in rows]
-    return model.sparkSession.sparkContext.broadcast(pieces)
+        gathered, shared["sizes"] = bytearray(), []
+        for some in fetches:
+            rows = model.where(F.col("part").isin(some)).select("part", "shift", column).collect()
+            for row in sorted(rows, key=lambda r: r["part"]):
+                shared["shift"] = row["shift"]
+                shared["sizes"].append((row["part"], len(row[column])))
+                gathered += row[column]
+        shared[column] = model.sparkSession.sparkContext.broadcast(gathered)
+    return shared
 
 
 def _lookups(tokens: Tokens, known: Model) -> tuple[np.ndarray, ...]:
