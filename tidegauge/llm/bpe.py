@@ -90,7 +90,7 @@ class Vocabulary:
         self._pairs, self._ranks, self._made = pairs[order], order, made
         self._classes = _classes()
         self._splits = re.compile(b"|".join(re.escape(c) for c in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self._known: dict[bytes, np.ndarray] = {}
+        self._known: dict[bytes, bytes] = {}
         self._piece_data = np.frombuffer(b"".join(self.pieces), np.uint8)
         self._piece_ends = np.cumsum([0, *map(len, self.pieces)])
 
@@ -223,14 +223,13 @@ class Vocabulary:
         if len(known) > REMEMBERED:
             known.clear()
         new = [t for t in distinct if t not in known]
-        known.update(zip(new, self.merge(new)))
+        known.update((t, ids.astype(np.uint32).tobytes()) for t, ids in zip(new, self.merge(new)))
         for content, number in self.special.items():
-            known[content] = np.array([number], np.int64)
+            known[content] = np.array([number], np.uint32).tobytes()
         pieces = [known[t] for t in distinct]
-        flat, ends = np.concatenate(pieces), np.cumsum([0, *map(len, pieces)])
-        codes = encoded.indices.to_numpy()
-        ids, positions = gathered(flat, ends, codes)
-        return ids.astype(np.uint32), positions[rows]
+        flat, ends = np.frombuffer(b"".join(pieces), np.uint32), np.cumsum([0, *map(len, pieces)]) // 4
+        ids, positions = gathered(flat, ends, encoded.indices.to_numpy())
+        return ids, positions[rows]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """The text of each row of ids; bytes that are no text become U+FFFD."""
