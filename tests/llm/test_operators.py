@@ -269,6 +269,21 @@ def test_near_duplicates_of_edited_copies(spark):
     assert got == brute_components(rows)
 
 
+def test_near_duplicates_among_pages_of_one_template(spark, monkeypatch):
+    """A few pairs whose buckets are full of smaller ids that are not similar enough to either."""
+    monkeypatch.setattr(neardup, "BLOCK", 64, raising=False)
+    random.seed(5)
+    word = lambda: random.choice("abcdefghijklmnopqrst") + str(random.randint(0, 30_000))
+    template = [word() for _ in range(60)]
+    own = [[word() for _ in range(11)] for _ in range(1500)]
+    rows = [(i, " ".join(words + template)) for i, words in enumerate(own)]
+    twins = [(5000 + i, " ".join([word() if j in (4, 8) else w for j, w in enumerate(own[i])] + template)) for i in range(700, 1500, 40)]
+    assert brute_components(rows[700::40] + twins) == {d: d % 5000 for d, _ in rows[700::40] + twins}
+    documents = spark.createDataFrame(rows + twins, "doc_id long, text string")
+    got = {r.doc_id: r.component for r in neardup.near_duplicates(documents).collect()}
+    assert {d for d, c in got.items() if c != d % 5000} == set()
+
+
 def test_near_duplicates_on_odd_rows(spark, odd, nothing):
     assert neardup.near_duplicates(nothing).count() == 0
     got = neardup.near_duplicates(odd)

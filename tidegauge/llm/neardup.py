@@ -18,8 +18,13 @@ their full sets is at least ``threshold`` per cent of the union.
    would be lost, so buckets with members of different components go on: each
    key is joined with ``JOINED`` other bands' keys and with the set's size,
    which parts texts that merely share a passage.  In these smaller buckets
-   ``CENTRES`` members, drawn anew in each round, are centres of stars to
-   members of other components, until a round finds no further link.
+   all members of different components are compared by sketch: one byte of each
+   bin's value, eight bit planes of which a pair's differing bins are counted.
+   First each member meets the earlier member most like it, which leaves few
+   components; then all remaining pairs whose sketches allow the similarity are
+   confirmed.  At the threshold a pair's agreement falls short of the least that
+   is confirmed by 5.5 standard deviations.  Large buckets are dealt out in
+   tiles of two blocks of ``BLOCK`` members; nobody is left out.
 
 Sets are made from the text when a pair is to be confirmed and travel to the
 pair's centre; a centre with many members is dealt out in chunks of
@@ -32,7 +37,6 @@ a null id is never linked and its row is kept; repeated rows are each returned.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -51,9 +55,11 @@ BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
 CHUNK = 256
-#: Other bands that a mixed bucket's key is joined with, and centres of a round's stars there.
+#: Other bands that a mixed bucket's key is joined with.
 JOINED = 2
-CENTRES = 4
+#: Members of a mixed bucket in a block, and pairs compared at a time.
+BLOCK = 4096
+SLAB = 1 << 18
 #: Ids that may be broadcast (16 bytes each in the hashed relation); more are shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -112,24 +118,32 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """The low byte of every bin as eight bit planes."""
+    low = values.astype(np.uint8)
+    return np.packbits(low[None, :] >> np.arange(8, dtype=np.uint8)[:, None] & 1, axis=1).tobytes()
+
+
 def signatures(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, digest, n_shingles, keys) per document row."""
+    """(doc, digest, n_shingles, keys, sketch) per document row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            digests, sizes, keys = [], [], []
+            digests, sizes, keys, sketches = [], [], [], []
             for digest, hashes in shingles(batch.column("text")):
                 digests.append(digest)
                 sizes.append(len(hashes))
-                keys.append(band_keys(signature(hashes)) if len(hashes) else None)
+                values = signature(hashes) if len(hashes) else None
+                keys.append(None if values is None else band_keys(values))
+                sketches.append(None if values is None else sketch(values))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc", "digest", "n_shingles", "keys"],
+                [batch.column("doc"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["doc", "digest", "n_shingles", "keys", "sketch"],
             )
 
     source = documents.select(F.col(id).alias("doc"), F.col(text).alias("text"))
     kind = source.schema["doc"].dataType.simpleString()
-    return source.mapInArrow(sign, f"doc {kind}, digest binary, n_shingles bigint, keys array<bigint>")
+    return source.mapInArrow(sign, f"doc {kind}, digest binary, n_shingles bigint, keys array<bigint>, sketch binary")
 
 
 def _chunks(pairs: DataFrame) -> DataFrame:
@@ -202,7 +216,9 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
     signed = scratch.cut(signatures(documents, id, text))
     with_id = signed.where("doc IS NOT NULL AND digest IS NOT NULL")
     classes = scratch.cut(
-        with_id.groupBy("digest").agg(F.min("doc").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+        with_id.groupBy("digest").agg(
+            F.min("doc").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")
+        )
     )
     copies = with_id.join(classes.select("digest", "rep"), "digest").where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     rows = classes.select("rep", "n", F.posexplode("keys").alias("band", "key"))
@@ -225,18 +241,16 @@ def _rest(documents: DataFrame, classes: DataFrame, buckets: DataFrame, links: D
     """The links, with those that the first stars could not see."""
     roots = components(links)
     rows = _refined(_mixed(buckets.select("rep", "n", "band", "key"), roots), classes, threshold)
-    for turn in itertools.count():
+    rows = rows.join(classes.select("rep", "sketch"), "rep")
+    for best in (True, False):
         rows = scratch.cut(_mixed(rows, roots))
-        order = Window.partitionBy("key").orderBy(F.xxhash64("key", "rep", F.lit(turn)), "rep")
-        centres = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= CENTRES)
-        pairs = scratch.cut(_pairs(centres, rows, threshold))
+        pairs = scratch.cut(_compared(rows, threshold, best))
         if pairs.isEmpty():
             return links
-        found = scratch.cut(linked(documents, pairs, id, text, threshold))
-        if found.isEmpty():
-            return links
-        links = links.unionByName(found)
-        roots = components(links)
+        links = scratch.cut(links.unionByName(linked(documents, pairs, id, text, threshold)))
+        if best:
+            roots = components(links)
+    return links
 
 
 def _refined(rows: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
@@ -249,19 +263,93 @@ def _refined(rows: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     step = F.floor(F.log("n") / F.lit(math.log(100 / min(threshold, 99))))
     keyed = rows.select("rep", "n", "band", "key").join(classes.select("rep", "keys"), "rep")
     joined = keyed.select("rep", "n", "key", step.alias("step"), F.explode(others).alias("other"))
-    keys = [F.struct(F.xxhash64("key", "other", F.col("step") + i).alias("key"), F.lit(i == 0).alias("own")) for i in (0, 1)]
+    keys = [F.struct(F.xxhash64("key", "other", F.col("step") + i).alias("key")) for i in (0, 1)]
     return joined.select("rep", "n", F.inline(F.array(*keys))).distinct()
 
 
-def _pairs(centres: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
-    """(a, b), a < b, of centres and members of a bucket that are in different components and of like size.
+def _compared(rows: DataFrame, threshold: int, best: bool) -> DataFrame:
+    """(a, b), a < b, of all members of a bucket that are in different components and of like size and sketch.
 
-    Two members of the step below the bucket's meet in their own step's bucket too, and only there.
+    With ``best`` only the likest earlier member for each member and tile.
+    """
+    count = F.ceil(F.col("members") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("rep"), count).cast("int")
+    placed = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    tile = F.xxhash64("key", F.greatest("block", "other"), F.least("block", "other")).alias("tile")
+    whole, late = (F.col("block") == F.col("other")).alias("whole"), (F.col("block") >= F.col("other")).alias("late")
+    dealt = placed.select(tile, whole, late, "rep", "n", "root", "sketch").repartition("tile").sortWithinPartitions("tile", "late", "rep")
+    least = _least_agreeing(threshold)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _unbroken(batches, "tile"):
+            tiles, whole, late, sizes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "whole", "late", "n"))
+            root = batch.column("root").dictionary_encode().indices.to_numpy()
+            planes = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, 8, BINS // 64).transpose(1, 2, 0).copy()
+            at = np.arange(len(tiles))
+            first = np.append(True, tiles[1:] != tiles[:-1])
+            number = np.cumsum(first) - 1
+            start = np.flatnonzero(first)[number]
+            early = np.bincount(number, ~late)[number].astype(np.int64)
+            before = np.append(0, np.cumsum(np.where(whole, at - start, np.where(late, early, 0))))
+            i = 0
+            while i < len(at):
+                j = max(i + 1, int(np.searchsorted(before, before[i] + SLAB, side="right")) - 1)
+                a = np.repeat(at[i:j], np.diff(before[i : j + 1]))
+                b = start[a] + np.arange(before[i], before[j]) - before[a]
+                i = j
+                n_a, n_b = sizes[a], sizes[b]
+                kept = (root[a] != root[b]) & (100 * np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b))
+                a, b = a[kept], b[kept]
+                agreeing = _agreeing(planes, a, b)
+                kept = agreeing >= least
+                a, b, agreeing = a[kept], b[kept], agreeing[kept]
+                if best:
+                    order = np.lexsort((b, -agreeing, a))
+                    order = order[np.unique(a[order], return_index=True)[1]]
+                    a, b = a[order], b[order]
+                if len(a):
+                    rep = batch.column("rep")
+                    yield pa.RecordBatch.from_arrays([rep.take(pa.array(a)), rep.take(pa.array(b))], ["a", "b"])
+
+    kind = rows.schema["rep"].dataType.simpleString()
+    met = dealt.mapInArrow(compare, f"a {kind}, b {kind}")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _unbroken(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The sorted rows again, those of one value of ``column`` in one batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(column).to_numpy()
+        if held and held[-1].column(column)[-1].as_py() != values[0]:
+            yield pa.concat_batches(held)
+            held = []
+        ends = np.flatnonzero(values[1:] != values[:-1]) + 1
+        if len(ends):
+            yield pa.concat_batches([*held, batch.slice(0, ends[-1])])
+            held = []
+        held.append(batch.slice(ends[-1] if len(ends) else 0))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _agreeing(planes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bins the sketches a and b are equal."""
+    differ = np.zeros((BINS // 64, len(a)), np.uint64)
+    for plane in planes:
+        differ |= plane[:, a] ^ plane[:, b]
+    return BINS - np.bitwise_count(differ).sum(axis=0, dtype=np.int64)
+
+
+def _least_agreeing(threshold: int) -> int:
+    """Equal bins without which a pair is not confirmed: 5.5 standard deviations below the threshold.
+
+    Bins that copy others make the variance up to half as large again as that of independent bins.
     """
-    left = centres.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("own").alias("own_a"))
-    differ = (F.col("rep") != F.col("a")) & (F.col("root") != F.col("root_a"))
-    met = rows.join(left, "key").where(differ & (F.col("own") | F.col("own_a")) & _alike(F.col("n"), F.col("n_a"), threshold))
-    return met.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+    share = threshold / 100
+    return max(0, math.floor(BINS * share - 5.5 * math.sqrt(1.5 * BINS * share * (1 - share))))
 
 
 def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
