@@ -284,6 +284,34 @@ def test_near_duplicates_among_pages_of_one_template(spark, monkeypatch):
     assert {d for d, c in got.items() if c != d % 5000} == set()
 
 
+def test_near_duplicates_just_above_the_threshold(spark):
+    """Pairs of similarity 58 / 76, which share few bands, beside smaller ids of the same template."""
+    random.seed(6)
+    word = lambda: random.choice("abcdefghijklmnopqrst") + str(random.randint(0, 30_000))
+    template = [word() for _ in range(60)]
+    own = [[word() for _ in range(11)] for _ in range(800)]
+    rows = [(i, " ".join(words + template)) for i, words in enumerate(own)]
+    rows += [(5000 + i, " ".join([word() if j in (4, 8) else w for j, w in enumerate(words)] + template)) for i, words in enumerate(own)]
+    assert brute_components(rows[::20]) == {d: d % 5000 for d, _ in rows[::20]}
+    got = {r.doc_id: r.component for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d for d, c in got.items() if c != d % 5000} == set()
+
+
+def test_sketches_pass_what_is_similar():
+    """No pair at the threshold falls below the least agreement, whatever the set sizes, and pairs well below it do."""
+    random.seed(13)
+
+    def passed(common, own):
+        shared = [random.getrandbits(64) for _ in range(common)]
+        sides = [np.unique(np.array(shared + [random.getrandbits(64) for _ in range(own)], np.uint64)) for _ in range(2)]
+        equal, filled = neardup._agreement(neardup._planes([neardup.sketch(x) for x in sides]), np.array([1]), np.array([0]))
+        return equal[0] >= neardup._least(filled, np.array([2 * (common + own)]), 75)[0]
+
+    for own in (1, 5, 10, 25, 50, 150, 500):
+        assert all(passed(6 * own, own) for _ in range(300))
+        assert own < 5 or sum(passed(2 * own, own) for _ in range(300)) < 15
+
+
 def test_near_duplicates_on_odd_rows(spark, odd, nothing):
     assert neardup.near_duplicates(nothing).count() == 0
     got = neardup.near_duplicates(odd)

@@ -15,15 +15,16 @@ their full sets is at least ``threshold`` per cent of the union.
 4. In each bucket every member is compared with the smallest member only: a
    star, so pairs never outnumber bucket rows.  Pairs are confirmed on full sets.
 5. A link between two members that the star's centre does not tie together
-   would be lost, so buckets with members of different components go on: each
-   key is joined with ``JOINED`` other bands' keys and with the set's size,
-   which parts texts that merely share a passage.  In these smaller buckets
-   all members of different components are compared by sketch: one byte of each
-   bin's value, eight bit planes of which a pair's differing bins are counted.
+   would be lost, so in buckets with members of different components all such
+   members are compared by sketch: ``SKETCH`` bins, not densified, four bits of
+   each and whether it is filled, as bit planes.
    First each member meets the earlier member most like it, which leaves few
    components; then all remaining pairs whose sketches allow the similarity are
-   confirmed.  At the threshold a pair's agreement falls short of the least that
-   is confirmed by 5.5 standard deviations.  Large buckets are dealt out in
+   confirmed.  Of a union of U shingles the E filled bins show E drawn without
+   replacement, so equal bins are hypergeometric; what is confirmed begins 5.5
+   standard deviations below the threshold (a pair there falls short with
+   probability 2e-8) and, with few shingles unseen, at the least possible count.
+   The recall of this step is that of the bands.  Large buckets are dealt out in
    tiles of two blocks of ``BLOCK`` members; nobody is left out.
 
 Sets are made from the text when a pair is to be confirmed and travel to the
@@ -43,7 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.llm.components import components
 from tidegauge.llm.textbatch import mix, sliced, words
@@ -55,10 +56,9 @@ BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
 CHUNK = 256
-#: Other bands that a mixed bucket's key is joined with.
-JOINED = 2
-#: Members of a mixed bucket in a block, and pairs compared at a time.
+#: Members of a mixed bucket in a block, bins of a sketch, and pairs compared at a time.
 BLOCK = 4096
+SKETCH = 512
 SLAB = 1 << 18
 #: Ids that may be broadcast (16 bytes each in the hashed relation); more are shuffled.
 BROADCAST_IDS = 2_000_000
@@ -118,10 +118,13 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sketch(values: np.ndarray) -> bytes:
-    """The low byte of every bin as eight bit planes."""
-    low = values.astype(np.uint8)
-    return np.packbits(low[None, :] >> np.arange(8, dtype=np.uint8)[:, None] & 1, axis=1).tobytes()
+def sketch(hashes: np.ndarray) -> bytes:
+    """Bit planes of a sorted set's bins: the low four bits of the smallest value, and whether there is one."""
+    bins = (hashes >> np.uint64(65 - SKETCH.bit_length())).astype(np.int64)
+    values = np.zeros(SKETCH, np.uint8)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    values[bins[first]] = (hashes[first] & np.uint64(15)).astype(np.uint8) | 16
+    return np.packbits(values[None, :] >> np.arange(5, dtype=np.uint8)[:, None] & 1, axis=1).tobytes()
 
 
 def signatures(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -133,9 +136,8 @@ def signatures(documents: DataFrame, id: str = "doc_id", text: str = "text") ->
             for digest, hashes in shingles(batch.column("text")):
                 digests.append(digest)
                 sizes.append(len(hashes))
-                values = signature(hashes) if len(hashes) else None
-                keys.append(None if values is None else band_keys(values))
-                sketches.append(None if values is None else sketch(values))
+                keys.append(band_keys(signature(hashes)) if len(hashes) else None)
+                sketches.append(sketch(hashes) if len(hashes) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
                 ["doc", "digest", "n_shingles", "keys", "sketch"],
@@ -221,7 +223,7 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
         )
     )
     copies = with_id.join(classes.select("digest", "rep"), "digest").where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    rows = classes.select("rep", "n", F.posexplode("keys").alias("band", "key"))
+    rows = classes.select("rep", "n", F.explode("keys").alias("key"))
     buckets = scratch.cut(
         rows.join(rows.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("_top")).where("centre < _top").drop("_top"), "key")
     )
@@ -240,8 +242,7 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
 def _rest(documents: DataFrame, classes: DataFrame, buckets: DataFrame, links: DataFrame, id: str, text: str, threshold: int) -> DataFrame:
     """The links, with those that the first stars could not see."""
     roots = components(links)
-    rows = _refined(_mixed(buckets.select("rep", "n", "band", "key"), roots), classes, threshold)
-    rows = rows.join(classes.select("rep", "sketch"), "rep")
+    rows = _mixed(buckets.select("rep", "n", "key"), roots).join(classes.select("rep", "sketch", "keys"), "rep")
     for best in (True, False):
         rows = scratch.cut(_mixed(rows, roots))
         pairs = scratch.cut(_compared(rows, threshold, best))
@@ -253,38 +254,25 @@ def _rest(documents: DataFrame, classes: DataFrame, buckets: DataFrame, links: D
     return links
 
 
-def _refined(rows: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Each row again for some other bands, its key joined with theirs and with the size of its set.
-
-    A size belongs to two steps of a geometric scale, so that any two sets of
-    like size have a step in common.
-    """
-    others = F.array(*[F.get("keys", (F.col("band") + j) % BANDS) for j in range(1, JOINED + 1)])
-    step = F.floor(F.log("n") / F.lit(math.log(100 / min(threshold, 99))))
-    keyed = rows.select("rep", "n", "band", "key").join(classes.select("rep", "keys"), "rep")
-    joined = keyed.select("rep", "n", "key", step.alias("step"), F.explode(others).alias("other"))
-    keys = [F.struct(F.xxhash64("key", "other", F.col("step") + i).alias("key")) for i in (0, 1)]
-    return joined.select("rep", "n", F.inline(F.array(*keys))).distinct()
-
-
 def _compared(rows: DataFrame, threshold: int, best: bool) -> DataFrame:
     """(a, b), a < b, of all members of a bucket that are in different components and of like size and sketch.
 
-    With ``best`` only the likest earlier member for each member and tile.
+    With ``best`` only the likest earlier member for each member and tile; otherwise
+    a pair is given by the first of the buckets that it shares.
     """
     count = F.ceil(F.col("members") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("rep"), count).cast("int")
     placed = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
     tile = F.xxhash64("key", F.greatest("block", "other"), F.least("block", "other")).alias("tile")
     whole, late = (F.col("block") == F.col("other")).alias("whole"), (F.col("block") >= F.col("other")).alias("late")
-    dealt = placed.select(tile, whole, late, "rep", "n", "root", "sketch").repartition("tile").sortWithinPartitions("tile", "late", "rep")
-    least = _least_agreeing(threshold)
+    dealt = placed.select(tile, whole, late, "key", "rep", "n", "root", "sketch", "keys").repartition("tile").sortWithinPartitions("tile", "late", "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _unbroken(batches, "tile"):
             tiles, whole, late, sizes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "whole", "late", "n"))
             root = batch.column("root").dictionary_encode().indices.to_numpy()
-            planes = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, 8, BINS // 64).transpose(1, 2, 0).copy()
+            planes = _planes(batch.column("sketch").to_pylist())
+            key, keys = batch.column("key").to_numpy(), batch.column("keys").flatten().to_numpy().reshape(-1, BANDS)
             at = np.arange(len(tiles))
             first = np.append(True, tiles[1:] != tiles[:-1])
             number = np.cumsum(first) - 1
@@ -300,13 +288,18 @@ def _compared(rows: DataFrame, threshold: int, best: bool) -> DataFrame:
                 n_a, n_b = sizes[a], sizes[b]
                 kept = (root[a] != root[b]) & (100 * np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b))
                 a, b = a[kept], b[kept]
-                agreeing = _agreeing(planes, a, b)
-                kept = agreeing >= least
-                a, b, agreeing = a[kept], b[kept], agreeing[kept]
+                equal, filled = _agreement(planes, a, b)
+                kept = equal >= _least(filled, sizes[a] + sizes[b], threshold)
+                a, b, share = a[kept], b[kept], equal[kept] / filled[kept]
                 if best:
-                    order = np.lexsort((b, -agreeing, a))
+                    order = np.lexsort((b, -share, a))
                     order = order[np.unique(a[order], return_index=True)[1]]
                     a, b = a[order], b[order]
+                else:
+                    shared = keys[a] == keys[b]
+                    here = keys[a, shared.argmax(axis=1)] == key[a]
+                    kept = here | ~shared.any(axis=1)
+                    a, b = a[kept], b[kept]
                 if len(a):
                     rep = batch.column("rep")
                     yield pa.RecordBatch.from_arrays([rep.take(pa.array(a)), rep.take(pa.array(b))], ["a", "b"])
@@ -335,21 +328,28 @@ def _unbroken(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Rec
         yield pa.concat_batches(held)
 
 
-def _agreeing(planes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """In how many bins the sketches a and b are equal."""
-    differ = np.zeros((BINS // 64, len(a)), np.uint64)
-    for plane in planes:
-        differ |= plane[:, a] ^ plane[:, b]
-    return BINS - np.bitwise_count(differ).sum(axis=0, dtype=np.int64)
+def _planes(sketches: list[bytes]) -> np.ndarray:
+    """(plane, word, row) of sketches."""
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(-1, 5, SKETCH // 64).transpose(1, 2, 0).copy()
+
 
+def _agreement(planes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In how many bins the sketches a and b are equal, of how many that either fills."""
+    differ = np.zeros((SKETCH // 64, len(a)), np.uint64)
+    for plane in planes:
+        left, right = plane[:, a], plane[:, b]
+        differ |= left ^ right
+    filled = np.bitwise_count(left | right).sum(axis=0, dtype=np.int64)
+    return filled - np.bitwise_count(differ).sum(axis=0, dtype=np.int64), filled
 
-def _least_agreeing(threshold: int) -> int:
-    """Equal bins without which a pair is not confirmed: 5.5 standard deviations below the threshold.
 
-    Bins that copy others make the variance up to half as large again as that of independent bins.
-    """
+def _least(filled: np.ndarray, sizes: np.ndarray, threshold: int) -> np.ndarray:
+    """Equal bins without which a pair is not confirmed, by the filled bins and the sum of the set sizes."""
     share = threshold / 100
-    return max(0, math.floor(BINS * share - 5.5 * math.sqrt(1.5 * BINS * share * (1 - share))))
+    union = sizes / (1 + share)
+    unseen = np.maximum(union - filled, 0)
+    deviation = np.sqrt(share * (1 - share) * unseen * np.minimum(filled / union, 1))
+    return share * filled - np.minimum((1 - share) * unseen, 5.5 * deviation) - 1e-6
 
 
 def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
