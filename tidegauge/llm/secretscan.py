@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and formats learnt from what those patterns find.
 
 One pass over the texts finds the spans of the base patterns and all other
-candidates, runs ``[A-Za-z0-9+/_=-]`` of ``CANDIDATE`` or more characters that
-touch no base span.  The values of the base spans are the labelled credentials:
+candidates, runs ``[A-Za-z0-9+/_.=-]`` (the characters of labelled values) of
+``CANDIDATE`` or more characters; base spans are cut out of a run, and what is
+left on either side is a run.  The values of the base spans are the labelled credentials:
 for each kind a sample of at most ``SAMPLE`` distinct values (and as many of
 the candidates as the background) is turned into a probabilistic automaton.  Then every candidate of every document is scored: it is a span of
 kind ``format`` if some kind's automaton finds it more likely than the
@@ -39,7 +40,7 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
 _HEX = re.compile("[0-9a-f]{24,}")
-_CANDIDATE = re.compile(f"[A-Za-z0-9+/_=-]{{{CANDIDATE},}}")
+_CANDIDATE = re.compile(f"[A-Za-z0-9+/_.=-]{{{CANDIDATE},}}")
 _ASSIGN_LEAST = 6
 
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
@@ -58,16 +59,12 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, base: list[Span]) -> list[Span]:
-    """Long runs outside the base spans."""
-    out, i = [], 0
-    ordered = sorted((s, e) for s, _, e, _ in base)
-    reach = -1
-    for m in _CANDIDATE.finditer(text):
-        while i < len(ordered) and ordered[i][0] < m.end():
-            reach = max(reach, ordered[i][1])
-            i += 1
-        if reach <= m.start():
-            out.append((m.start(), 3, m.end(), m.group()))
+    """Long runs outside the base spans, which are cut out of them."""
+    out, at = [], 0
+    for start, end in [*sorted((s, e) for s, _, e, _ in base), (len(text), len(text))]:
+        if start > at:
+            out += [(m.start(), 3, m.end(), m.group()) for m in _CANDIDATE.finditer(text, at, start)]
+        at = max(at, end)
     return out
 
 
