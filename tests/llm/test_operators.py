@@ -329,6 +329,13 @@ def test_sketches_pass_what_is_similar():
         assert own < 5 or sum(passed(2 * own, own) for _ in range(300)) < 15
 
 
+def test_only_bare_ids_are_broadcast(spark, small, monkeypatch):
+    seen = []
+    monkeypatch.setattr(neardup, "_small", lambda ids: seen.append(ids.columns) or ids)
+    assert neardup.deduplicated(small).count() > 0
+    assert seen and all(len(columns) == 1 for columns in seen)
+
+
 def test_near_duplicates_on_odd_rows(spark, odd, nothing):
     assert neardup.near_duplicates(nothing).count() == 0
     got = neardup.near_duplicates(odd)

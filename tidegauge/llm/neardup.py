@@ -168,17 +168,16 @@ def _small(ids: DataFrame) -> DataFrame:
 def linked(documents: DataFrame, pairs: DataFrame, id: str, text: str, threshold: int = THRESHOLD) -> DataFrame:
     """Those pairs (a, b) of ids whose full sets are similar enough."""
     places = scratch.cut(_chunks(pairs))
-    wanted = places.groupBy("doc").agg(F.collect_list(F.struct("centre", "chunk", "member")).alias("places"))
-    source = documents.select(F.col(id).alias("doc"), F.col(text).alias("text")).join(_small(scratch.cut(wanted)), "doc")
+    wanted = scratch.cut(places.select("doc").distinct())
+    source = documents.select(F.col(id).alias("doc"), F.col(text).alias("text")).join(_small(wanted), "doc")
     kind = source.schema["doc"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             made = pa.array([hashes.tobytes() for _, hashes in shingles(batch.column("text"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("places"), made], ["doc", "places", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), made], ["doc", "hashes"])
 
-    made = source.mapInArrow(sets, f"doc {kind}, places {source.schema['places'].dataType.simpleString()}, hashes binary")
-    rows = made.select("doc", "hashes", F.explode("places").alias("p")).select("p.*", "doc", "hashes")
+    rows = source.mapInArrow(sets, f"doc {kind}, hashes binary").join(places, "doc").select("centre", "chunk", "member", "doc", "hashes")
     dealt = rows.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", "member")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
