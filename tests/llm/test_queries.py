@@ -28,7 +28,7 @@ def test_query_agrees_with_sql(spark, connection, key):
 
 
 def test_all_are_registered():
-    assert {int(k[2:].split("_")[0]) for k in entry_points.queries() if re.match(r"op\d+_", k)} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in entry_points.queries() if re.match(r"op\d+_", k)} == set(range(1, 14))
     assert "pipeline" in entry_points.queries()
 
 

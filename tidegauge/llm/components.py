@@ -1,9 +1,11 @@
 """Connected components of an edge table, by hooking every node to its smallest neighbour.
 
 All state is tables: nothing about nodes or edges reaches the driver but row
-counts.  Each round maps every node to the smallest id next to it, jumps once
-more along those pointers and contracts the edges, so long chains shrink by a
-factor and stars vanish at once.  Rounds are stored in the shared folder.
+counts and the few heaviest nodes.  Each round maps every node to the smallest
+id next to it, jumps once more along those pointers and contracts the edges, so
+long chains shrink by a factor and stars vanish at once.  Rounds are stored in
+the shared folder.  A node at which a good part of the edges meet is looked up
+by broadcast, so its edges are not brought into one task.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidegauge.llm.lookups import looked_up
 from tidegauge.plans import scratch
 
 
@@ -21,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
     steps = []
     while not rest.isEmpty():
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parents = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
+        parents = scratch.cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
         parents = scratch.cut(_followed(parents, parents))
         steps.append(parents)
         rest = scratch.cut(_contracted(rest, parents))
@@ -32,13 +35,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _followed(labels: DataFrame, parents: DataFrame) -> DataFrame:
     """Labels one pointer further."""
-    step = parents.select(F.col("node").alias("_at"), F.col("root").alias("_to"))
-    return labels.join(step, labels["root"] == step["_at"], "left").select("node", F.coalesce("_to", "root").alias("root"))
+    step = parents.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    return looked_up(labels, "root", step, "left").select("node", F.coalesce("_to", "root").alias("root"))
 
 
 def _contracted(edges: DataFrame, parents: DataFrame) -> DataFrame:
     """Edges between roots."""
-    left = parents.select(F.col("node").alias("a"), F.col("root").alias("_a"))
-    right = parents.select(F.col("node").alias("b"), F.col("root").alias("_b"))
-    mapped = edges.join(left, "a").join(right, "b").where("_a <> _b")
+    mapped = looked_up(edges, "a", parents.select(F.col("node").alias("a"), F.col("root").alias("_a")))
+    mapped = looked_up(mapped, "b", parents.select(F.col("node").alias("b"), F.col("root").alias("_b"))).where("_a <> _b")
     return mapped.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()

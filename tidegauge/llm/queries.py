@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import bloomlm, bpe, chat, decontaminate, idcodes, neardup, rules, secretscan, sharding, warc
+from tidegauge.llm import align, bloomlm, bpe, chat, decontaminate, idcodes, importance, neardup, rules, secretscan, sharding, simhash, warc
 from tidegauge.plans import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,6 +15,7 @@ ORACLES: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(sql: str | None = None):
@@ -343,3 +344,56 @@ def op9_direct_codes(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch.new_folder(spark, "ids")
     idcodes.write(table(spark, folder, "documents"), path, WORD_BPE)
     return idcodes.read(spark, path)
+
+
+_OP11_SQL = (
+    "WITH "
+    + _CRC_SQL
+    + rf""",
+dw AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+df AS (SELECT doc_id, unnest(w) AS f FROM dw),
+tf AS (SELECT unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+buckets AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda b: CAST('0x' || b AS BIGINT))),
+         lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT f FROM df UNION SELECT f FROM tf), bits),
+sc AS (SELECT bucket, count(*) AS s FROM df JOIN buckets USING (f) GROUP BY bucket),
+tc AS (SELECT bucket, count(*) AS t FROM tf JOIN buckets USING (f) GROUP BY bucket),
+g AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM df) + 10000)::DOUBLE
+                        / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM tf) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT DISTINCT bucket FROM buckets) LEFT JOIN sc USING (bucket) LEFT JOIN tc USING (bucket)),
+fg AS (SELECT f, gain FROM buckets JOIN g USING (bucket)),
+w AS (
+  SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM df JOIN fg USING (f) GROUP BY doc_id),
+s AS (
+  SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_features,
+         CAST(coalesce((total - ((total % n) + n) % n) // n, 0) AS BIGINT) AS weight,
+         CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || dw.doc_id), 1, 8) AS BIGINT) + 0.5)::DOUBLE / 4294967296))) AS BIGINT) AS noise
+  FROM dw LEFT JOIN w USING (doc_id)),
+r AS (
+  SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank, count(*) OVER () AS able FROM s WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score, rank
+FROM s LEFT JOIN (SELECT doc_id, rank FROM r WHERE rank <= 10 * able // 100) USING (doc_id)"""
+)
+
+
+@query(_OP11_SQL)
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """A tenth of the documents drawn towards the words of the benchmark."""
+    return importance.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query()
+def op12_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose fingerprints differ in at most two bits."""
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    shown = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return found.select("doc_id", shown.alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query()
+def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Links between the tokens of two vocabularies over all documents."""
+    return align.aligned(table(spark, folder, "documents"), BYTE_BPE, PIECE_BPE)
