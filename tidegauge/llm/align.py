@@ -13,7 +13,7 @@ one more in a vector as long as the vocabulary, of which each task hands out one
 Only links of other groups become pairs, counted once per slice of text before
 they are shuffled.
 
-Texts are encoded once.  A slice (a few megabytes) is stored as one row: what its
+Texts are encoded once.  A slice (a megabyte) is stored as one row: what its
 documents hold, A ids of identity links, and places of the other links in the
 slice's list of distinct pairs.  When all counts are known, the vector is
 broadcast (its length is that of the vocabulary) and the counts of a slice's
@@ -43,6 +43,8 @@ from tidegauge.llm.bpe import VOCABULARY_BYTES, Vocabulary, gathered, vocabulary
 from tidegauge.llm.textbatch import sliced, strings, text_bytes
 from tidegauge.plans import scratch
 
+#: Bytes of text aligned at a time: a task holds some hundred bytes of arrays for each.
+SLICE = 1 << 20
 REMEMBERED = 300_000
 REMEMBERED_BYTES = 256
 _BLANK = "▁"
@@ -243,7 +245,7 @@ def _slices(batches: Iterator[pa.RecordBatch], aligner: Aligner) -> Iterator[pa.
     number = TaskContext.get().partitionId() << 32
     vector = np.zeros(len(aligner.same), np.int64)
     kind = None
-    for batch in sliced(batches, "text"):
+    for batch in sliced(batches, "text", SLICE):
         kind = batch.column("doc").type
         found = aligner.align(batch.column("text"))
         a, b, same = found.link_a, found.link_b, found.identity
