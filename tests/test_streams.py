@@ -1,17 +1,21 @@
 """Streams fed in several files, out of order and with repeats, against batch results."""
 
 import random
-from datetime import timedelta
+from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
 from tidegauge import fixtures as fx
-from tidegauge.operators import alerting, anomaly
-from tidegauge.streaming import monitors as mo
+from tidegauge.operators import alerting, anomaly, fleet
+from tidegauge.streaming import machines, monitors as mo
+from tidegauge.streaming.inorder import SlotBuffer
 from tidegauge.sources import ingest
 from tidegauge.streaming.run import drain, read_batches, read_events
+from tidegauge.workload.alerts import rule_feed
 from tidegauge.workload.storage import batches, sessions
 from tidegauge.workload.streams import late_report, samples
 
@@ -81,6 +85,136 @@ def test_ewma_equals_batch(spark, shuffled):
     assert got == want and len(got) > 800
 
 
+def arrivals(spark, folder, count, lag_hours=10):
+    """The events in ``count`` files, delivered up to ``lag_hours`` after they happened."""
+    rng = random.Random(count)
+    rows = sorted(fx.table(spark, SMALL, "events").collect(), key=lambda r: r["ts"] + timedelta(hours=rng.uniform(0, lag_hours)))
+    size = -(-len(rows) // count)
+    for n in range(count):
+        part = rows[n * size : (n + 1) * size]
+        rng.shuffle(part)
+        spark.createDataFrame(part, fx.table(spark, SMALL, "events").schema).coalesce(1).write.mode("append").parquet(str(folder))
+    return str(folder)
+
+
+def cut_log(frame, limit, *columns):
+    """Rows up to the watermark, with times as the tables have them."""
+    stamps = [f.name for f in frame.schema if f.dataType.simpleString().startswith("timestamp")]
+    rows = frame.withColumns({c: F.col(c).cast("timestamp_ntz") for c in stamps}).filter(F.col("at") <= F.lit(limit)).select(*columns)
+    return sorted(map(tuple, rows.collect()), key=str)
+
+
+@pytest.mark.parametrize("files", [1, 3, 12])
+def test_health_log_does_not_depend_on_batches(spark, tmp_path, files):
+    """All outages, those before a later beat of the same batch too."""
+    log = drain(mo.health(samples(spark, arrivals(spark, tmp_path, files)), "machine", 6 * HOUR, DELAY), "t-health")
+    beats = fx.heartbeats(spark, SMALL)
+    limit = final_watermark(beats.select("ts").collect())
+    batch = fleet.transitions(beats, 6 * HOUR, fx.TIE, limit)
+    got = cut_log(log.withColumnRenamed("machine", "node"), limit, "node", "status", "at", "last_seen")
+    assert got == cut_log(batch, limit, "node", "status", "at", "last_seen")
+    assert {r[1] for r in got} == {"healthy", "unhealthy", "offline"} and len(got) > 1000
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_rules_change_inside_a_stream(spark, tmp_path, files):
+    """Six operators, own holds, rules put again, switched and deleted mid-stream: the log is that of the batch."""
+    rows = samples(spark, arrivals(spark, tmp_path, files))
+    log = drain(mo.rule_alerts(*rule_feed(rows), ["node"], "event_id", DELAY, lanes=3), "t-rules")
+    batch_rows = fx.metrics(spark, SMALL)
+    limit = final_watermark(batch_rows.select("ts").collect())
+    batch = alerting.alert_log(*rule_feed(batch_rows), ["node"], "event_id")
+    columns = ("name", "rule", "node", "transition", "at", "active_at")
+    got = cut_log(log, limit, *columns)
+    assert got == cut_log(batch, limit, *columns)
+    assert {r[3] for r in got} == {"pending", "firing", "resolved"} and len(got) > 100
+
+
+def test_sliding_rate_equals_windows_over_growths(spark, tmp_path):
+    every, span = 6 * HOUR, 24 * HOUR
+    rows = samples(spark, arrivals(spark, tmp_path, 4)).drop("value").withColumnRenamed("k", "value")
+    rates = drain(mo.sliding_rate(rows, fx.KEYS, "event_id", span, every, DELAY), "t-sliding")
+    counters = fx.counts_k(spark, SMALL).withColumnRenamed("k", "value").collect()
+    limit = final_watermark(counters)
+    last, want = {}, {}
+    for r in sorted(counters, key=lambda r: (r["ts"], r["event_id"])):
+        key, before = (r["name"], r["node"]), last.get((r["name"], r["node"]))
+        last[key] = r["value"]
+        if before is None:
+            continue
+        grown = r["value"] if r["value"] < before else r["value"] - before
+        start = datetime(2024, 1, 1) + (r["ts"] - datetime(2024, 1, 1)) // every * every
+        for n in range(1, 5):
+            want[(*key, start + n * every)] = want.get((*key, start + n * every), 0) + grown
+    got = {(r["name"], r["node"], r["window_end"]): r["rate"] for r in rates.withColumn("window_end", F.col("window_end").cast("timestamp_ntz")).collect()}
+    assert got == {k: pytest.approx(v / 86400) for k, v in want.items() if k[2] <= limit} and len(got) > 1000
+
+
+class Counted(dict):
+    """A map state that counts what is read."""
+
+    reads = 0
+
+    def getValue(self, key):
+        Counted.reads += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+
+def test_a_timer_reads_its_own_slot_only():
+    """Reads of a timer are the same whether one row or a thousand slots wait behind it."""
+    reads = []
+    for waiting in (0, 10, 1000):
+        buffer = SlotBuffer(Counted(), Counted(), 1000, ["us", "tie"])
+        rows = pd.DataFrame({"us": [1500, 1200, 1700], "tie": [1, 2, 3], "value": [1.0, 2.0, 3.0]})
+        assert buffer.add(rows) == [1200]
+        if waiting:
+            buffer.add(pd.DataFrame({"us": 5000 + 1000 * np.arange(waiting), "tie": 0, "value": 0.0}))
+        buffer.add(pd.DataFrame({"us": [1500], "tie": [0], "value": [4.0]}))
+        Counted.reads = 0
+        due, following = buffer.due(1200, 1600)
+        assert due["value"].tolist() == [2.0, 4.0, 1.0] and following == 1700
+        reads.append(Counted.reads)
+        due, following = buffer.due(1700, 9999)
+        assert due["value"].tolist() == [3.0] and following is None
+        assert buffer.due(1700, 9999) == (None, None)
+    assert len(set(reads)) == 1
+
+
+def test_transitions_equal_a_loop():
+    rng = np.random.default_rng(4)
+    for hold in (0, 7, 30):
+        for _ in range(60):
+            n, k = int(rng.integers(1, 40)), 4
+            series = np.sort(rng.integers(0, k, n))
+            us = np.sort(rng.integers(50, 150, n))
+            breach = rng.random(n) < 0.7
+            active = np.where(rng.random(k) < 0.5, rng.integers(0, 50, k), -1)
+            fired = (active >= 0) & (rng.random(k) < 0.5)
+            us = np.concatenate([np.sort(us[series == s]) for s in range(k)])
+            want, now, told = [], active.copy(), fired.copy()
+            for i in range(n):
+                s = series[i]
+                if breach[i]:
+                    if now[s] < 0:
+                        now[s], told[s] = us[i], False
+                        want += [(i, "pending", us[i])] * (hold > 0)
+                    if not told[s] and us[i] - now[s] >= hold:
+                        told[s] = True
+                        want.append((i, "firing", now[s]))
+                elif now[s] >= 0:
+                    want.append((i, "resolved", now[s]))
+                    now[s], told[s] = -1, False
+            at, names, starts, open_since, announced = machines.transitions(series, us, breach, active, fired, hold)
+            assert list(zip(at.tolist(), names.tolist(), starts.tolist())) == want
+            assert open_since.tolist() == now.tolist() and announced.tolist() == told.tolist()
+
+
 def test_late_rows_are_counted(spark, tmp_path):
     """An early slice of the events is delivered after everything else."""
     events = fx.table(spark, SMALL, "events")

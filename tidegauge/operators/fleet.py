@@ -55,6 +55,36 @@ def recoveries(beats: DataFrame, timeout: timedelta, tie: list[str], node: str =
     return seen.filter(silence > as_micros(timeout)).withColumn("silence_us", silence)
 
 
+def transitions(beats: DataFrame, timeout: timedelta, tie: list[str], as_of, node: str = "node") -> DataFrame:
+    """Every status change up to ``as_of``: (node, status, at, last_seen).
+
+    A node is healthy from its first beat on, unhealthy once it has been silent
+    longer than the timeout, offline after three, healthy again with the beat
+    that ends an outage.  ``at`` is when the silence got too long.
+    """
+    limit = as_micros(timeout)
+    steps = (("unhealthy", limit), ("offline", limit * OFFLINE_AFTER))
+    seen = Ordered(beats.select(node, "ts", *tie), [node], ["ts", *tie]).scan(_before=Previous(F.col("ts"))).frame()
+
+    def late(since: Column, status: str, after: int) -> Column:
+        lasts = F.struct(F.lit(status).alias("status"), (since + F.lit(timedelta(microseconds=after))).alias("at"), since.alias("last_seen"))
+        return F.struct(lasts.alias("row"), F.lit(after).alias("after"))
+
+    def changes(since: Column, silence: Column, *more: Column) -> Column:
+        found = F.filter(F.array(*[late(since, s, a) for s, a in steps]), lambda c: silence > c["after"])
+        return F.concat(F.transform(found, lambda c: c["row"]), F.array_compact(F.array(*more)))
+
+    silence = micros(F.col("ts")) - micros(F.col("_before"))
+    healthy = F.struct(F.lit("healthy").alias("status"), F.col("ts").alias("at"), F.col("ts").alias("last_seen"))
+    first = F.col("_before").isNull()
+    back = F.when(first | (silence > limit), healthy)
+    between = seen.filter(first | (silence > limit)).select(node, F.explode(changes(F.col("_before"), F.coalesce(silence, F.lit(0)), back)).alias("c"))
+    newest = beats.groupBy(node).agg(F.max("ts").alias("_last"))
+    open_ones = newest.select(node, F.explode(changes(F.col("_last"), micros(instant(as_of)) - micros(F.col("_last")))).alias("c"))
+    log = between.unionByName(open_ones).select(node, "c.status", "c.at", "c.last_seen")
+    return log.filter(F.col("at") <= instant(as_of))
+
+
 def sessions(beats: DataFrame, gap: timedelta, tie: list[str], node: str = "node") -> DataFrame:
     """Runs of heartbeats no further apart than the gap; a session ends one gap after its last beat.
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from tidegauge.functions.timing import as_micros, bucket_origin, micros
 from tidegauge.operators.fleet import OFFLINE_AFTER
-from tidegauge.streaming.inorder import run_in_order
+from tidegauge.streaming import machines
+from tidegauge.streaming.inorder import SLOT, Folded, run_in_order
+
+#: Parts of a metric's series in a stream of rules; each sees every change of the metric's rules.
+LANES = 16
 
 
 def text(span: timedelta) -> str:
@@ -54,133 +56,89 @@ def _rows(samples: DataFrame, keys: list[str], tie: str, delay: timedelta) -> Da
     )
 
 
-def growths(counters: DataFrame, keys: list[str], tie: str, delay: timedelta) -> DataFrame:
+def growths(counters: DataFrame, keys: list[str], tie: str, delay: timedelta, slot: timedelta = SLOT) -> DataFrame:
     """Counter growth per sample, reset-aware, in event-time order."""
+    machine = Folded(keys, "last double", machines.growths, slot)
+    return run_in_order(_rows(counters, keys, tie, delay), keys, machine, "ts timestamp, increase double", "ts")
 
-    def advance(state, rows):
-        last, output = None if state is None else state[0], []
-        for us, _, value in rows:
-            if last is not None:
-                grown = value if value < last else value - last
-                output.append((pd.Timestamp(us, unit="us"), grown))
-            last = value
-        return (last,) if last is not None else state, output
-
-    return run_in_order(_rows(counters, keys, tie, delay), keys, "last double", advance, "ts timestamp, increase double", "ts")
 
-
-def sliding_rate(counters: DataFrame, keys: list[str], tie: str, span: timedelta, every: timedelta, delay: timedelta) -> DataFrame:
-    """Per-second growth over a look-back span, emitted for each completed window."""
-    grown = growths(counters, keys, tie, delay)
-    windows = grown.groupBy(*keys, F.window("ts", text(span), text(every), text(bucket_origin(every)))).agg(F.sum("increase").alias("increase"))
+def sliding_rate(
+    counters: DataFrame, keys: list[str], tie: str, span: timedelta, every: timedelta, delay: timedelta, slot: timedelta = SLOT
+) -> DataFrame:
+    """Per-second growth over a look-back span (a multiple of ``every``), emitted for each completed window."""
+    machine = machines.SlidingSums(keys, as_micros(span), as_micros(every), as_micros(bucket_origin(every)), slot)
+    windows = run_in_order(_rows(counters, keys, tie, delay), keys, machine, "window_us bigint, increase double")
     rate = F.col("increase") / F.lit(as_micros(span) / 1e6)
-    return windows.select(*keys, F.col("window.end").alias("window_end"), rate.alias("rate"))
+    return windows.select(*keys, F.timestamp_micros("window_us").alias("window_end"), rate.alias("rate"))
 
 
 def alert_transitions(
-    samples: DataFrame, keys: list[str], tie: str, threshold: float, hold: timedelta, delay: timedelta
+    samples: DataFrame, keys: list[str], tie: str, threshold: float, hold: timedelta, delay: timedelta, slot: timedelta = SLOT
 ) -> DataFrame:
     """One row whenever an alert of ``value > threshold`` becomes pending, firing or resolved."""
-    hold_us = as_micros(hold)
-
-    def advance(state, rows):
-        # State: start of the open run (-1 if none) and whether it has fired.
-        active, fired = (-1, False) if state is None else state
-        output = []
-
-        def emit(us, transition, value):
-            output.append((transition, us, active, value))
-
-        for us, _, value in rows:
-            if value > threshold:
-                if active < 0:
-                    active, fired = us, False
-                    emit(us, "pending" if hold_us else "firing", value)
-                    fired = hold_us == 0
-                if not fired and us - active >= hold_us:
-                    fired = True
-                    emit(us, "firing", value)
-            elif active >= 0:
-                emit(us, "resolved", value)
-                active, fired = -1, False
-        return (active, fired), output
-
+    machine = Folded(keys, "active bigint, fired boolean", machines.threshold(threshold, as_micros(hold)), slot)
     rows = run_in_order(
-        _rows(samples, keys, tie, delay), keys, "active bigint, fired boolean", advance,
-        "transition string, at_us bigint, active_us bigint, value double",
-    )
+        _rows(samples, keys, tie, delay), keys, machine, "transition string, at_us bigint, active_us bigint, value double"
+    )
     return rows.select(
         *keys, "transition", F.timestamp_micros("at_us").alias("at"), F.timestamp_micros("active_us").alias("active_at"), "value"
     )
 
 
-def ewma_scores(samples: DataFrame, keys: list[str], tie: str, alpha: float, limit: float, delay: timedelta) -> DataFrame:
-    """Detect with the past, then update; a series' first sample is not judged."""
+def rule_alerts(
+    samples: DataFrame, changes: DataFrame, keys: list[str], tie: str, delay: timedelta, slot: timedelta = SLOT, lanes: int = LANES
+) -> DataFrame:
+    """The alert log under rules that change while the samples stream in.
+
+    ``samples`` have ``name``, the keys, ``ts``, ``tie`` and ``value``; ``changes``
+    have ``ts``, ``tie``, ``name`` (the metric), ``rule``, ``op`` (put, delete,
+    enable, disable) and, for a put, ``operator``, ``threshold`` and ``hold_us``.
+    A rule belongs to one metric.  A metric's series are dealt to ``lanes``
+    state keys, so that a metric of many nodes is many tasks; the few changes go
+    to each of them.  Both streams share one watermark: a change that is later
+    than the delay is dropped as a sample would be.
+    """
+    series = F.to_json(F.struct(*[F.col(k).cast("string").alias(k) for k in keys]))
+    nothing = {"rule": "string", "op": "string", "operator": "string", "threshold": "double", "hold_us": "bigint"}
+    sampled = samples.select(
+        "name", F.pmod(F.xxhash64(series), F.lit(lanes)).cast("int").alias("lane"), "ts", F.lit(1).alias("kind"),
+        F.col(tie).cast("bigint").alias("tie"), series.alias("series"), F.col("value").cast("double").alias("value"),
+        *[F.lit(None).cast(kind).alias(c) for c, kind in nothing.items()],
+    )
+    changed = changes.select(
+        "name", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), "ts", F.lit(0).alias("kind"),
+        F.col(tie).cast("bigint").alias("tie"), F.lit(None).cast("string").alias("series"), F.lit(None).cast("double").alias("value"),
+        *[F.col(c).cast(kind).alias(c) for c, kind in nothing.items()],
+    )
+    both = sampled.unionByName(changed).withWatermark("ts", text(delay)).withColumn("us", micros(F.col("ts")))
+    log = run_in_order(
+        both, ["name", "lane"], machines.RuleTable(["name", "lane"], slot),
+        "rule string, series string, transition string, at_us bigint, active_us bigint, value double",
+    )
+    parts = F.from_json("series", ", ".join(f"`{k}` string" for k in keys))
+    named = log.withColumn("_s", parts).withColumns({k: F.col("_s")[k].cast(samples.schema[k].dataType) for k in keys})
+    return named.select(
+        "name", "rule", *keys, "transition", F.timestamp_micros("at_us").alias("at"), F.timestamp_micros("active_us").alias("active_at"),
+        F.nanvl("value", F.lit(None).cast("double")).alias("value"),
+    )
 
-    def advance(state, rows):
-        output = []
-        for us, ident, value in rows:
-            if state is None:
-                state = (value, 0.0)
-                continue
-            mean, var = state
-            spread = var**0.5
-            off = abs(value - mean)
-            score = off / (limit * spread) if spread > 0 else float(off != 0)
-            output.append((ident, us, mean, score, bool(off > limit * spread)))
-            state = (alpha * value + (1 - alpha) * mean, alpha * (value - mean) ** 2 + (1 - alpha) * var)
-        return state, output
 
+def ewma_scores(
+    samples: DataFrame, keys: list[str], tie: str, alpha: float, limit: float, delay: timedelta, slot: timedelta = SLOT
+) -> DataFrame:
+    """Detect with the past, then update; a series' first sample is not judged."""
+    machine = Folded(keys, "mean double, var double", machines.ewma(alpha, limit, tie), slot)
     rows = run_in_order(
-        _rows(samples, keys, tie, delay), keys, "mean double, var double", advance,
-        f"{tie} bigint, us bigint, mean_before double, score double, is_anomaly boolean",
-    )
+        _rows(samples, keys, tie, delay), keys, machine, f"{tie} bigint, us bigint, mean_before double, score double, is_anomaly boolean"
+    )
     return rows.withColumn("ts", F.timestamp_micros("us")).drop("us")
 
 
-class _Health(StatefulProcessor):
-    """Timers at one and at three timeouts after the newest heartbeat of a node."""
-
-    def __init__(self, node: str, timeout: timedelta):
-        self._node, self._limit = node, as_micros(timeout)
-
-    def init(self, handle) -> None:
-        self._handle = handle
-        self._seen = handle.getValueState("seen", "us bigint, status string")
-
-    def handleInputRows(self, key, rows, timerValues):
-        newest = max(int(part["us"].max()) for part in rows)
-        seen, status = self._seen.get() if self._seen.exists() else (None, "unknown")
-        if seen is not None and newest <= seen:
-            return iter([])
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
-        for after in (self._limit, self._limit * OFFLINE_AFTER):
-            self._handle.registerTimer((newest + after) // 1000 + 1)
-        self._seen.update((newest, "healthy"))
-        return self._changed(key, status, "healthy", newest)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        seen, status = self._seen.get()
-        silent = expiredTimerInfo.getExpiryTimeInMs() * 1000 - seen
-        now = "offline" if silent > self._limit * OFFLINE_AFTER else "unhealthy"
-        self._seen.update((seen, now))
-        return self._changed(key, status, now, seen)
-
-    def close(self) -> None:
-        pass
-
-    def _changed(self, key, before, now, seen):
-        if before == now:
-            return iter([])
-        row = pd.DataFrame({self._node: [key[0]], "status": [now], "last_seen_us": [seen]})
-        return iter([row])
-
-
-def health(beats: DataFrame, node: str, timeout: timedelta, delay: timedelta) -> DataFrame:
-    """Status changes of every node as heartbeats arrive or stay away."""
+def health(beats: DataFrame, node: str, timeout: timedelta, delay: timedelta, slot: timedelta = SLOT) -> DataFrame:
+    """Every status change of every node, (node, status, at, last_seen), whatever beats arrived together."""
     rows = beats.withWatermark("ts", text(delay)).select(node, "ts", micros(F.col("ts")).alias("us"))
-    changes = rows.groupBy(node).transformWithStateInPandas(
-        _Health(node, timeout), f"{node} string, status string, last_seen_us bigint", "Append", "EventTime"
+    machine = machines.Health(node, as_micros(timeout), OFFLINE_AFTER, slot)
+    changes = run_in_order(rows, [node], machine, "at_us bigint, status string, last_seen_us bigint")
+    return changes.select(
+        node, "status", F.timestamp_micros("at_us").alias("at"), F.timestamp_micros("last_seen_us").alias("last_seen")
     )
-    return changes.withColumn("last_seen", F.timestamp_micros("last_seen_us")).drop("last_seen_us")

@@ -250,6 +250,48 @@ def rule_admin(spark, folder):
     return al.current_rules(changes, NOON, ["ts", "event_id"])
 
 
+# Every 23rd event changes one of three rules on the metric of its type; the others are samples.
+VERSIONED = f"""{METRICS}, rc AS (SELECT name, 'rule-' || (event_id // 23 % 3) AS rule, ts, event_id AS tie,
+    CASE event_id // 23 // 3 % 7 WHEN 3 THEN 'disable' WHEN 4 THEN 'enable' WHEN 5 THEN 'delete' ELSE 'put' END AS op,
+    list_extract(['>', '<', '>=', '<=', '==', '!='], CAST(event_id // 23 % 6 + 1 AS BIGINT)) AS operator, value AS threshold, (event_id // 23 % 4) * 7200000000 AS hold_us
+    FROM m WHERE event_id % 23 = 0),
+  rk AS (SELECT *, last_value(CASE op WHEN 'put' THEN {{'o': operator, 't': threshold, 'h': hold_us, 'ok': true}} WHEN 'delete' THEN {{'o': NULL, 't': NULL, 'h': NULL, 'ok': false}} END IGNORE NULLS) OVER w AS known,
+    last_value(CASE op WHEN 'put' THEN true WHEN 'enable' THEN true WHEN 'disable' THEN false END IGNORE NULLS) OVER w AS switch, lead(ts) OVER (PARTITION BY name, rule ORDER BY ts, tie) AS until
+    FROM rc WINDOW w AS (PARTITION BY name, rule ORDER BY ts, tie ROWS UNBOUNDED PRECEDING)),
+  rv AS (SELECT name, rule, ts AS since, until, known.o AS operator, known.t AS threshold, known.h AS hold_us, coalesce(known.ok AND switch, false) AS alive FROM rk),
+  vj AS (SELECT m.name, rv.rule, m.node, m.ts, 1 AS kind, m.event_id, m.value, rv.hold_us, CASE rv.operator WHEN '>' THEN value > threshold WHEN '<' THEN value < threshold
+    WHEN '>=' THEN value >= threshold WHEN '<=' THEN value <= threshold WHEN '==' THEN value = threshold WHEN '!=' THEN value <> threshold ELSE false END AS breach
+    FROM m JOIN rv ON m.name = rv.name AND rv.alive AND m.ts >= rv.since AND (rv.until IS NULL OR m.ts < rv.until) WHERE event_id % 23 <> 0),
+  vall AS (SELECT *, CAST(0 AS BIGINT) AS dummy FROM vj UNION ALL
+    SELECT s.name, s.rule, s.node, e.since, 0, 0, NULL, 0, false, 0 FROM (SELECT DISTINCT name, rule, node FROM vj WHERE breach) s JOIN rv e ON e.name = s.name AND e.rule = s.rule AND NOT e.alive),
+  vsrc AS (SELECT name, rule, node, ts, kind * 1000000000 + event_id AS tie, value, breach, hold_us FROM vall)"""
+_VERSIONED_ALERTS = alerts_sql("vsrc", "name, rule, node", "to_microseconds(hold_us)")
+RULE_LOG = f"""{VERSIONED}, {_VERSIONED_ALERTS}, rule_log AS (
+    SELECT name, rule, node, 'pending' AS transition, active_at AS "at", active_at FROM alerts WHERE fired_at IS NULL OR fired_at > active_at
+    UNION ALL SELECT name, rule, node, 'firing', fired_at, active_at FROM alerts WHERE fired_at IS NOT NULL
+    UNION ALL SELECT name, rule, node, 'resolved', resolved_at, active_at FROM alerts WHERE resolved_at IS NOT NULL)"""
+
+
+def rule_feed(samples):
+    """Samples and rule changes out of rows with name, ts, event_id and value (batch or stream)."""
+    number = F.floor(F.col("event_id") / 23)
+    turn = F.floor(number / 3) % 7
+    op = F.when(turn == 3, "disable").when(turn == 4, "enable").when(turn == 5, "delete").otherwise("put")
+    operators = F.array(*[F.lit(o) for o in (">", "<", ">=", "<=", "==", "!=")])
+    changes = samples.filter(F.col("event_id") % 23 == 0).select(
+        "name", F.concat(F.lit("rule-"), number % 3).alias("rule"), "ts", "event_id", op.alias("op"), F.get(operators, (number % 6).cast("int")).alias("operator"),
+        F.col("value").alias("threshold"), ((number % 4) * 7_200_000_000).cast("bigint").alias("hold_us"),
+    )
+    return samples.filter(F.col("event_id") % 23 != 0), changes
+
+
+@query(f"WITH {RULE_LOG} SELECT * FROM rule_log")
+def alert_log(spark, folder):
+    """Alert transitions under rules that are put, switched off and on, and deleted while samples arrive."""
+    samples, changes = rule_feed(fx.metrics(spark, folder))
+    return al.alert_log(samples, changes, ["node"], "event_id")
+
+
 @query(
     f"""WITH {METRICS}, c AS (SELECT node, time_bucket(INTERVAL 6 HOUR, ts) AS bucket, max(value) FILTER (name = 'error') > 80 AS hot,
       min(value) FILTER (name = 'view') < 5 AS idle, max(value) FILTER (name = 'purchase') > 100 AS paid FROM m

@@ -47,6 +47,23 @@ def node_recovered(spark, folder):
     return fleet.recoveries(fx.heartbeats(spark, folder), GAP, fx.TIE).drop("status")
 
 
+def transitions_sql(as_of: str) -> str:
+    """CTE ``hl`` (node, status, at, last_seen): all status changes up to a point in time."""
+    return f"""hb AS (SELECT 'node-' || user_id AS node, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+  quiet AS (SELECT node, before AS since, ts - before AS silence FROM hb WHERE before IS NOT NULL
+    UNION ALL SELECT node, max(ts), {as_of} - max(ts) FROM hb GROUP BY node),
+  hl AS (SELECT * FROM (SELECT node, 'healthy' AS status, ts AS "at", ts AS last_seen FROM hb WHERE before IS NULL OR ts - before > INTERVAL 6 HOUR
+    UNION ALL SELECT node, 'unhealthy', since + INTERVAL 6 HOUR, since FROM quiet WHERE silence > INTERVAL 6 HOUR
+    UNION ALL SELECT node, 'offline', since + INTERVAL 18 HOUR, since FROM quiet WHERE silence > INTERVAL 18 HOUR) x WHERE x."at" <= {as_of})"""
+
+
+@query(f"WITH {transitions_sql(AS_OF)} SELECT * FROM hl")
+def health_log(spark, folder):
+    """Every status change of every node."""
+    beats = fx.heartbeats(spark, folder)
+    return fleet.transitions(beats, GAP, fx.TIE, fx.newest(beats))
+
+
 SESSIONS = """gaps AS (SELECT 'node-' || user_id AS node, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, user_id FROM events),
   numbered AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 6 HOUR THEN 1 ELSE 0 END)
     OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM gaps),

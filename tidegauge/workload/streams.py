@@ -17,7 +17,8 @@ from tidegauge.streaming import monitors as mo
 from tidegauge.streaming.run import ProgressTotals, drain, drain_updates, read_events
 from tidegauge.workload.buckets import ALERTS
 from tidegauge.workload.models import EWMA
-from tidegauge.workload.health import SESSIONS
+from tidegauge.workload.alerts import RULE_LOG, rule_feed
+from tidegauge.workload.health import SESSIONS, transitions_sql
 from tidegauge.workload.registry import AS_OF, METRICS, q6, query
 
 HOUR = timedelta(hours=1)
@@ -68,7 +69,7 @@ def stream_downsample(spark, folder):
 def stream_rate_sliding(spark, folder):
     """The event property k taken as a counter that often resets."""
     counters = samples(spark, folder).drop("value").withColumnRenamed("k", "value")
-    rates = mo.sliding_rate(counters, fx.KEYS, "event_id", DAY, timedelta(hours=6), HOUR)
+    rates = mo.sliding_rate(counters, fx.KEYS, "event_id", DAY, timedelta(hours=6), HOUR, DAY)
     rows = plain(drain(rates, "sliding-rate"))
     return rows.withColumn("rate", fx.comparable(F.col("rate") * 1000))
 
@@ -86,17 +87,25 @@ def stream_sessions(spark, folder):
 )
 def stream_alerts(spark, folder):
     errors = samples(spark, folder).filter(F.col("name") == "error")
-    changes = mo.alert_transitions(errors, ["node"], "event_id", 80.0, timedelta(hours=6), HOUR)
+    changes = mo.alert_transitions(errors, ["node"], "event_id", 80.0, timedelta(hours=6), HOUR, DAY)
     return plain(drain(changes, "alerts")).drop("value")
 
 
+@query(f"""WITH {RULE_LOG} SELECT * FROM rule_log l WHERE l."at" <= {WATERMARK}""")
+def stream_rules(spark, folder):
+    """Rules of every metric change while the samples stream in; the log is that of the batch."""
+    rows = samples(spark, folder)
+    log = mo.rule_alerts(*rule_feed(rows), ["node"], "event_id", HOUR, DAY)
+    return plain(drain(log, "rules")).drop("value")
+
+
 @query(
     f"""WITH {EWMA} SELECT event_id, {q6("mean_before")} AS mean_before, {q6("CASE WHEN var_before > 0 THEN abs(value - mean_before) / (3 * sqrt(var_before)) WHEN value <> mean_before THEN 1 ELSE 0 END")} AS score,
     abs(value - mean_before) > 3 * sqrt(var_before) AS is_anomaly FROM ew JOIN (SELECT event_id, ts FROM events) USING (event_id)
     WHERE mean_before IS NOT NULL AND ts <= {WATERMARK}"""
 )
 def stream_ewma(spark, folder):
-    scores = drain(mo.ewma_scores(samples(spark, folder), fx.KEYS, "event_id", 0.2, 3.0, HOUR), "ewma")
+    scores = drain(mo.ewma_scores(samples(spark, folder), fx.KEYS, "event_id", 0.2, 3.0, HOUR, DAY), "ewma")
     return scores.select(
         "event_id", fx.comparable(F.col("mean_before")).alias("mean_before"), fx.comparable(F.col("score")).alias("score"), "is_anomaly"
     )
@@ -109,15 +118,10 @@ def stream_live_last(spark, folder):
     return plain(latest_rows(updates, fx.KEYS, ["batch"], ["ts", "value"]))
 
 
-@query(
-    f"""SELECT 'node-' || user_id AS machine, CASE WHEN {WATERMARK} - max(ts) > INTERVAL 18 HOUR THEN 'offline'
-    WHEN {WATERMARK} - max(ts) > INTERVAL 6 HOUR THEN 'unhealthy' ELSE 'healthy' END AS status, max(ts) AS last_seen FROM events GROUP BY user_id"""
-)
+@query(f"""WITH {transitions_sql(WATERMARK)} SELECT node AS machine, status, "at", last_seen FROM hl""")
 def health_stream(spark, folder):
-    """Last announced status per node when the stream ends."""
-    changes = drain(mo.health(samples(spark, folder), "machine", timedelta(hours=6), HOUR), "health")
-    rank = F.when(F.col("status") == "offline", 2).when(F.col("status") == "unhealthy", 1).otherwise(0)
-    return plain(latest_rows(changes.withColumn("rank", rank), ["machine"], ["last_seen", "rank"], ["status", "last_seen"]))
+    """All status changes of every node, up to the final watermark."""
+    return plain(drain(mo.health(samples(spark, folder), "machine", timedelta(hours=6), HOUR, DAY), "health"))
 
 
 CUT = "(SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events)"
