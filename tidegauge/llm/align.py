@@ -39,16 +39,47 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidegauge.llm.bpe import VOCABULARY_BYTES, Vocabulary, gathered, vocabulary_text
+from tidegauge.llm.bpe import VOCABULARY_BYTES, _byte_names, gathered, vocabulary_text
 from tidegauge.llm.textbatch import sliced, strings, text_bytes
 from tidegauge.plans import scratch
 
 #: Bytes of text aligned at a time: a task holds some hundred bytes of arrays for each.
 SLICE = 1 << 20
-REMEMBERED = 300_000
-REMEMBERED_BYTES = 256
+REMEMBERED = 200_000
+REMEMBERED_BYTES = 64
 _BLANK = "▁"
 
+# Fixed value: how byte-level vocabularies of this family part a text.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class ByteTokens:
+    """A byte-level BPE file whose tokens are numbered in the order of their merges; no token is special."""
+
+    def __init__(self, file: str):
+        import tiktoken
+
+        parts = json.loads(file)
+        model, names = parts["model"], _byte_names()
+        if parts["normalizer"] or model["type"] != "BPE" or parts["pre_tokenizer"].get("type") != "ByteLevel" or parts["pre_tokenizer"]["add_prefix_space"]:
+            raise ValueError("a byte-level BPE file without normaliser and prefix space is needed")
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = [model["vocab"][a + b] for a, b in merges]
+        if any(a >= b for a, b in zip(made, made[1:])):
+            raise ValueError("tokens must be numbered in the order of their merges")
+        self.pieces = [b""] * (max(model["vocab"].values()) + 1)
+        for name, number in model["vocab"].items():
+            self.pieces[number] = bytes(names[c] for c in name)
+        # Tokens that no merge makes and that are no byte, such as special ones, never come out of a text.
+        usable = {*made, *(model["vocab"][c] for c in names)}
+        ranks = {self.pieces[number]: number for number in usable}
+        self._encoding = tiktoken.Encoding("bytes", pat_str=_PARTS, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, and the first id of each (with the end)."""
+        found = [np.array(self._encoding.encode_ordinary(t) if t else (), np.int64) for t in texts]
+        return np.concatenate([np.zeros(0, np.int64), *found]), np.concatenate(([0], np.cumsum([len(ids) for ids in found], dtype=np.int64)))
+
 
 class Pieces:
     """A SentencePiece model that puts a blank before a text and writes unknown characters as bytes."""
@@ -108,7 +139,7 @@ class Aligner:
     """Both tokenizers and the map of identical tokens."""
 
     def __init__(self, bpe: str, model: bytes):
-        self._a, self._b = Vocabulary(bpe), Pieces(model)
+        self._a, self._b = ByteTokens(bpe), Pieces(model)
         self.a, self.b = _Table(self._a.pieces, (",", "|")), _Table(self._b.pieces, (",", ";"))
         of_bytes = {piece: number for number, piece in reversed(list(enumerate(self._b.pieces)))}
         self.same = np.array([of_bytes.get(p, -1) for p in self._a.pieces], np.int64)
@@ -119,9 +150,9 @@ class Aligner:
         filled = pc.fill_null(column.cast(pa.string()), "")
         padded = pc.if_else(pc.equal(filled, ""), "", pc.binary_join_element_wise(" ", filled, ""))
         data, offsets = text_bytes(padded)
-        a, a_rows = self._a.encode(padded)
+        a, a_rows = self._a.encode(padded.to_pylist())
         b, b_rows = self._b.encode(data, offsets)
-        a, b = a.astype(np.int64), b.astype(np.int64)
+        b = b.astype(np.int64)
         good = self._spelt(self.a, a, a_rows, data, offsets) & self._spelt(self.b, b, b_rows, data, offsets)
         if not good.all():
             a, a_rows = _kept(a, a_rows, good)
@@ -192,11 +223,6 @@ def _loaded(name: str, shared) -> Aligner:
     return _LOADED[name]
 
 
-def _without_added(content: str) -> str:
-    """The vocabulary file with its added tokens as plain text."""
-    return json.dumps({**json.loads(content), "added_tokens": []})
-
-
 def _model_bytes(path: str) -> bytes:
     file = Path(path)
     if file.stat().st_size > VOCABULARY_BYTES:
@@ -210,7 +236,7 @@ _SLICE = "slice bigint, docs array<{kind}>, n_a array<int>, n_b array<int>, n_gr
 def aligned(documents: DataFrame, bpe: str, model: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) per document row."""
     spark = documents.sparkSession
-    files = _without_added(vocabulary_text(bpe)), _model_bytes(model)
+    files = vocabulary_text(bpe), _model_bytes(model)
     name = hashlib.sha256(files[0].encode() + files[1]).hexdigest()
     shared = spark.sparkContext.broadcast(files)
     rows = documents.select(F.col(id).alias("doc"), F.col(text).alias("text"))
