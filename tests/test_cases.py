@@ -395,3 +395,54 @@ def test_default_ensemble_is_the_weighted_mean_of_its_two(spark):
     single = [{r["id"]: r["score"] for r in d.score(asked, d.fit(known)).select("id", "score").collect()} for d, _ in pair]
     for i, score in both.items():
         assert score == pytest.approx(0.6 * single[0][i] + 0.4 * single[1][i])
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_online_zscore_survives_an_outlier(spark, split, request):
+    """Values near 1e9, then a zero far below them: no earlier row changes and the deviation stays exact."""
+    if split:
+        request.getfixturevalue("split_everything")
+    values = [1e9 + i % 2 for i in range(200)] + [0.0, 1e9, 1e9]
+    judged = {r["id"]: r for r in anomaly.zscore_online(points(spark, values), ["series"], ["ts", "id"]).collect()}
+    assert judged.keys() == set(range(10, len(values)))
+    for i, row in judged.items():
+        past = np.array(values[:i], dtype=np.longdouble)
+        assert row["n"] == i and row["mean"] == pytest.approx(float(past.mean()), rel=1e-12)
+        assert row["stddev"] == pytest.approx(float(past.std()), rel=1e-6)
+    assert judged[200]["is_anomaly"] and not judged[199]["is_anomaly"]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_seasons_follow_utc_whatever_the_session_zone(spark, kind):
+    stamps = [(int((T0 + i * timedelta(minutes=30) - datetime(1970, 1, 1)).total_seconds() * 1e6), i, float(i % 48 // 2)) for i in range(480)]
+    base = spark.createDataFrame(stamps, "us long, id long, value double").withColumn("series", F.lit("s"))
+    seasons, values = [], []
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            ts = F.timestamp_micros("us") if kind == "timestamp" else F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz") + F.expr("make_dt_interval(0, 0, 0, us / 1000000)")
+            rows = base.withColumn("ts", ts if kind == "timestamp" else F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, us / 1000000)"))
+            model = forecast.fit(rows, ["series"], ["ts", "id"])
+            seasons.append(model.first()["season"])
+            values.append(column(forecast.predict(model, ["series"], 24, timedelta(hours=1)), "value", "step"))
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert seasons[0] == pytest.approx(seasons[1]) and values[0] == pytest.approx(values[1])
+    assert seasons[0][23] - seasons[0][0] > 20
+
+
+def test_event_correlation_leaves_nulls_out(spark):
+    rows = [("s", T0, 1, 4.0), ("s", T0 + MINUTE, 2, None), ("s", T0 + 3 * MINUTE, 3, 6.0), ("s", T0 + 4 * MINUTE, 4, None)]
+    samples = spark.createDataFrame(rows, "series string, ts timestamp_ntz, id long, value double")
+    events = spark.createDataFrame([("s", T0 + 2 * MINUTE, 9)], "series string, ts timestamp_ntz, event long")
+    found = vectors.correlate(events, samples, ["series"], "event", timedelta(minutes=10), ["id"]).first()
+    assert (found["samples_before"], found["mean_before"], found["samples_after"], found["mean_after"]) == (1, 4.0, 1, 6.0)
+
+
+def test_ancestors_of_chains_diamonds_and_cycles(spark):
+    pairs = [(f"c{i}", f"c{i + 1}") for i in range(9)] + [("d", "l"), ("d", "r"), ("l", "t"), ("r", "t")]
+    pairs += [("x", "y"), ("y", "z"), ("z", "x"), ("y", "c8"), ("low", "z"), ("self", "self")]
+    found = {tuple(r) for r in alerting.ancestors(spark.createDataFrame(pairs, "child string, parent string")).collect()}
+    want = {(f"c{i}", f"c{j}") for i in range(9) for j in range(i + 1, 10)} | {("d", "l"), ("d", "r"), ("d", "t"), ("l", "t"), ("r", "t")}
+    want |= {(a, c) for a in "xyz" for c in ("c8", "c9")} | {("low", a) for a in ("x", "y", "z", "c8", "c9")}
+    assert found == want

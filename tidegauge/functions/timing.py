@@ -32,6 +32,13 @@ def utc_date(ts: Column, kind: str) -> Column:
     return F.date_from_unix_date(((us - F.pmod(us, F.lit(day))) / F.lit(day)).cast("int"))
 
 
+def utc_hour(ts: Column, kind: str) -> Column:
+    """The hour of day in UTC of a column of type ``kind``, whatever the session's time zone."""
+    if kind == "timestamp_ntz":
+        return F.hour(ts)
+    return F.floor(F.pmod(F.unix_micros(ts), F.lit(86_400_000_000)) / F.lit(3_600_000_000)).cast("int")
+
+
 def bucket_origin(step: timedelta) -> timedelta:
     """Where the buckets of ``time_bucket`` begin, as the distance of the first one from 1970-01-01."""
     return -timedelta(days=_DAYS_TO_EPOCH) % step

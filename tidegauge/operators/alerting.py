@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidegauge.functions.timing import as_micros, instant, micros
+from tidegauge.plans import scratch
 from tidegauge.plans.small import spec_table
 from tidegauge.plans.ordered import Ordered, Previous, RunningLast, covered
 
@@ -247,6 +248,32 @@ def without_children(found: DataFrame, dependencies: DataFrame) -> DataFrame:
     return checked.filter(~under_parent).drop("covered_until")
 
 
+def ancestors(dependencies: DataFrame) -> DataFrame:
+    """(child, parent) for every rule and every rule it depends on, directly or through others.
+
+    Paths double in length with each round, so a chain of n takes log n rounds;
+    the pairs number at most the square of the rules that depend on anything.
+    Rules that depend on each other are peers: neither is the other's parent.
+    """
+    known = scratch.cut(dependencies.select("child", "parent").where("child <> parent").distinct())
+    size = known.count()
+    while True:
+        up = known.select(F.col("child").alias("parent"), F.col("parent").alias("_above"))
+        longer = known.join(up, "parent").select("child", F.col("_above").alias("parent"))
+        known = scratch.cut(known.unionByName(longer).distinct())
+        now = known.count()
+        if now == size:
+            break
+        size = now
+    back = known.select(F.col("parent").alias("child"), F.col("child").alias("parent"))
+    return known.join(back, ["child", "parent"], "left_anti")
+
+
+def without_descendants(found: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """Drop alerts for which any rule above theirs was active on the same node when they opened."""
+    return without_children(found, ancestors(dependencies))
+
+
 def outbox(found: DataFrame, channels: list[str]) -> DataFrame:
     """One row per firing or resolved transition and channel; nothing is sent."""
     transitions = F.array_compact(

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.plans.fold import folded
 from tidegauge.plans.groups import attach
-from tidegauge.plans.ordered import BLOCK, Ordered, RunningSum, split_hot
+from tidegauge.plans.ordered import BLOCK, Ordered, RunningMoments, split_hot
 
 # Training minimum and detector settings.
 MIN_SAMPLES = 10
@@ -50,27 +50,16 @@ def zscore_detect(samples: DataFrame, model: DataFrame, keys: list[str], limit:
 
 
 def zscore_online(samples: DataFrame, keys: list[str], order: list[str], limit: float = 3.0) -> DataFrame:
-    """Score each sample against all earlier ones of its series, once there are enough.
-
-    Sums are taken of the distances from the series' smallest value, which keeps
-    their squares as small as the spread and so the difference of the two exact.
-    """
-    low = samples.groupBy(*keys).agg(F.min("value").alias("_low"))
-    value = F.col("value") - F.col("_low")
+    """Score each sample against all earlier ones of its series, once there are enough."""
     past = (
-        Ordered(attach(samples, low, keys), keys, order)
-        .scan(
-            n=RunningSum(F.lit(1), inclusive=False),
-            _s=RunningSum(value, inclusive=False),
-            _q=RunningSum(value * value, inclusive=False),
-        )
-        .filter(F.col("n") >= MIN_SAMPLES)
+        Ordered(samples, keys, order)
+        .scan(_past=RunningMoments(F.col("value"), inclusive=False))
+        .filter(F.col("_past.n") >= MIN_SAMPLES)
         .frame()
     )
-    off = F.col("_s") / F.col("n")
-    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / F.col("n") - off * off))
     flag, score = _zscore(limit)
-    known = past.withColumns({"mean": F.col("_low") + off, "stddev": spread}).drop("_low", "_s", "_q")
+    spread = F.sqrt(F.col("_past.m2") / F.col("_past.n"))
+    known = past.withColumns({"n": F.col("_past.n"), "mean": F.col("_past.mean"), "stddev": spread}).drop("_past")
     return known.withColumns({"is_anomaly": flag, "score": score})
 
 

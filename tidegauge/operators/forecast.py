@@ -13,6 +13,7 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidegauge.functions.timing import utc_hour
 from tidegauge.operators.select import newest_per_group
 from tidegauge.plans.ordered import Ordered, RunningSum
 
@@ -32,7 +33,7 @@ def fit(points: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """slope, intercept, season (24 hourly values summing to zero), variance, n, last_ts per series."""
     indexed = Ordered(points, keys, order).scan(_i=RunningSum(F.lit(1))).frame().withColumn("x", F.col("_i") - 1.0)
     x, y = F.col("x"), F.col("value")
-    hourly = indexed.groupBy(*keys, F.hour("ts").alias("h")).agg(
+    hourly = indexed.groupBy(*keys, utc_hour(F.col("ts"), dict(points.dtypes)["ts"]).alias("h")).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(x).alias("mx"),
         F.avg(y).alias("my"),
@@ -90,7 +91,7 @@ def predict(model: DataFrame, keys: list[str], periods: int, interval: timedelta
     x = h if origin == "start" else F.col("n") - 1 + h
     ahead = model.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(periods))))
     timed = ahead.withColumn("ts", F.col("last_ts") + F.lit(interval) * h)
-    value = F.col("intercept") + F.col("slope") * x + F.get(F.col("season"), F.hour("ts"))
+    value = F.col("intercept") + F.col("slope") * x + F.get(F.col("season"), utc_hour(F.col("ts"), dict(timed.dtypes)["ts"]))
     margin = F.lit(Z_95) * F.sqrt(F.col("variance") * h)
     return timed.select(
         *keys, "step", "ts", value.alias("value"), (value - margin).alias("lower"), (value + margin).alias("upper")

@@ -62,7 +62,7 @@ def correlate(
     """
     value = F.col("value")
     stacked_samples = samples.select(
-        *keys, F.col("ts").alias("_at"), F.lit(1).alias("_rank"), value.alias("_v"), F.lit(1).alias("_one"),
+        *keys, F.col("ts").alias("_at"), F.lit(1).alias("_rank"), value.alias("_v"), F.when(value.isNotNull(), 1).otherwise(0).alias("_one"),
         F.struct(*tie).alias("_tie"), F.lit(None).cast("string").alias("_mark"),
         F.lit(None).cast(events.schema[event_id].dataType).alias(event_id), F.lit(None).cast(events.schema["ts"].dataType).alias("_event_ts"),
     )
@@ -84,7 +84,7 @@ def correlate(
     slot = F.floor(micros(F.col("_at")) / F.lit(as_micros(around)))
     stacked = stacked_samples.unionByName(stacked_events).withColumns({"_slot": slot, "_back": -micros(F.col("_at")), "_rank_back": -F.col("_rank")})
     within = [*keys, "_slot"]
-    one, given = F.col("_one"), F.when(F.col("_one") == 1, F.coalesce(F.col("_v"), F.lit(0.0)))
+    one, given = F.col("_one"), F.when(F.col("_one") == 1, F.col("_v"))
     upto = Ordered(stacked, within, ["_at", "_rank", "_tie", event_id, "_mark"]).scan(_n=RunningSum(one), _s=RunningSum(given)).frame()
     onward = Ordered(upto, within, ["_back", "_rank_back", "_tie", event_id, "_mark"]).scan(_rn=RunningSum(one), _rs=RunningSum(given)).frame()
     totals = onward.filter(F.col("_mark").isNotNull())

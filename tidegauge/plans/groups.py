@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.plans import skew
 
-# Up to this many rows per group Spark itself cuts groups on the map side.
-_SPARK_CUTS = 1000
 _FAN_IN = 64
 
 
@@ -18,7 +16,7 @@ def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, rank: st
     are merged 64 at a time until one is left, every round keeping at most
     ``n`` rows per salt.
     """
-    hot = skew.hot_keys(df, group) if n > _SPARK_CUTS else None
+    hot = skew.hot_keys(df, group)
     if hot is None:
         return _cut(df, group, order, n, rank)
     sized = hot.table.withColumn("_pieces", F.ceil(F.col("_n") / hot.per_task)).drop("_n")

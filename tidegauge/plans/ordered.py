@@ -58,7 +58,19 @@ class RunningMax:
     inclusive: bool = True
 
 
-Scan = Previous | RunningSum | RunningLast | RunningMax
+@dataclass(frozen=True)
+class RunningMoments:
+    """Count, mean and sum of squared distances from it, (n, mean, m2), up to this row (up to the one before, if not inclusive).
+
+    Nulls do not count.  Parts are merged by their means, never by sums of
+    squares, so values far from zero or a later outlier blur nothing.
+    """
+
+    expr: Column
+    inclusive: bool = True
+
+
+Scan = Previous | RunningSum | RunningLast | RunningMax | RunningMoments
 
 
 def split_hot(df: DataFrame, keys: list[str], order: list[Column]) -> tuple[DataFrame, DataFrame | None]:
@@ -150,6 +162,22 @@ class Ordered:
         return self._blocks.withColumns({_LAST: last, **columns}).filter(_LAST)
 
 
+def _moments(over: Callable[[Column], Column], expr: Column) -> Column:
+    n = over(F.count(expr))
+    mean, variance = (F.coalesce(over(f(expr)), F.lit(0.0)) for f in (F.avg, F.var_pop))
+    return F.struct(n.alias("n"), mean.alias("mean"), (variance * n).alias("m2"))
+
+
+def _joined(a: Column, b: Column) -> Column:
+    """Moments of two parts together."""
+    n, off = a["n"] + b["n"], b["mean"] - a["mean"]
+    share = F.coalesce(F.try_divide(b["n"].cast("double"), n.cast("double")), F.lit(0.0))
+    return F.struct(n.alias("n"), (a["mean"] + off * share).alias("mean"), (a["m2"] + b["m2"] + off * off * share * a["n"]).alias("m2"))
+
+
+_NO_MOMENTS = "named_struct('n', 0L, 'mean', 0D, 'm2', 0D)"
+
+
 def _upto(window, inclusive: bool):
     return window.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
 
@@ -164,6 +192,8 @@ def _within(scan: Scan, window) -> Column:
             return F.last(expr, ignorenulls=True).over(_upto(window, inclusive))
         case RunningMax(expr, inclusive):
             return F.max(expr).over(_upto(window, inclusive))
+        case RunningMoments(expr, inclusive):
+            return _moments(lambda c: c.over(_upto(window, inclusive)), expr)
 
 
 def _block_total(scan: Scan, position: Column | None) -> Column | None:
@@ -173,6 +203,8 @@ def _block_total(scan: Scan, position: Column | None) -> Column | None:
             return F.sum(expr)
         case RunningMax(expr):
             return F.max(expr)
+        case RunningMoments(expr):
+            return _moments(lambda c: c, expr)
         case RunningLast(expr) if position is not None:
             return F.max_by(expr, F.when(expr.isNotNull(), position))
         case Previous(expr, 1) if position is not None:
@@ -192,6 +224,8 @@ def _handed_on(scan: Scan, window) -> Column:
             return F.last(expr, ignorenulls=True).over(_upto(window, True))
         case RunningMax(expr):
             return F.max(expr).over(_upto(window, True))
+        case RunningMoments(expr):
+            return _moments(lambda c: c.over(_upto(window, True)), expr)
 
 
 def _carry(scan: Scan, out: Column, across) -> Column:
@@ -205,6 +239,8 @@ def _carry(scan: Scan, out: Column, across) -> Column:
             return F.last(out, ignorenulls=True).over(_upto(across, False))
         case RunningMax():
             return F.max(out).over(_upto(across, False))
+        case RunningMoments():
+            return F.aggregate(F.collect_list(out).over(_upto(across, False)), F.expr(_NO_MOMENTS), _joined)
 
 
 def _merge(scan: Scan, inside: Column, carried: Column, row: Column) -> Column:
@@ -218,6 +254,8 @@ def _merge(scan: Scan, inside: Column, carried: Column, row: Column) -> Column:
             return F.coalesce(inside, carried)
         case RunningMax():
             return F.greatest(inside, carried)
+        case RunningMoments():
+            return _joined(carried, inside)
 
 
 def asof(

@@ -207,6 +207,27 @@ def alert_dependency(spark, folder):
     return al.without_children(found(spark, folder), dependencies).select("rule", "node", "active_at", "state")
 
 
+# A chain of four, a diamond (ManyClicks - LowViews, ExactSignup - OtherSignup) and a cycle (Broken - Off - Broken) below HighErrors.
+_LEVELS = [
+    ("HighErrors", "LowViews"), ("LowViews", "FewPurchases"), ("FewPurchases", "OtherSignup"), ("ManyClicks", "LowViews"), ("ManyClicks", "ExactSignup"),
+    ("ExactSignup", "OtherSignup"), ("LowViews", "OtherSignup"), ("Broken", "Off"), ("Off", "Broken"), ("Off", "HighErrors"), ("HighErrors", "HighErrors"),
+]
+ABOVE = f"""dep(child, parent) AS (VALUES {", ".join(map(str, _LEVELS))}),
+    up(child, parent) AS (SELECT child, parent FROM dep UNION SELECT up.child, dep.parent FROM up JOIN dep ON up.parent = dep.child),
+    above AS (SELECT child, parent FROM up a WHERE child <> parent AND NOT EXISTS (SELECT 1 FROM up b WHERE b.child = a.parent AND b.parent = a.child))"""
+
+
+@query(
+    f"""WITH RECURSIVE {ABOVE}, {FOUND}
+    SELECT rule, node, active_at, state FROM alerts a WHERE NOT EXISTS (SELECT 1 FROM above JOIN alerts p ON p.rule = above.parent
+      WHERE above.child = a.rule AND p.node = a.node AND p.active_at <= a.active_at AND (p.resolved_at IS NULL OR p.resolved_at > a.active_at))"""
+)
+def alert_ancestry(spark, folder):
+    """Alerts that no rule above theirs explains, however many levels up."""
+    dependencies = spec_table(spark, _LEVELS, "child string, parent string")
+    return al.without_descendants(found(spark, folder), dependencies).select("rule", "node", "active_at", "state")
+
+
 @query(
     f"""WITH {FOUND}, t AS (SELECT rule, node, active_at, 'firing' AS transition, fired_at AS sent_at FROM alerts WHERE fired_at IS NOT NULL
       UNION ALL SELECT rule, node, active_at, 'resolved', resolved_at FROM alerts WHERE fired_at IS NOT NULL AND resolved_at IS NOT NULL)

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from tidegauge import fixtures as fx
 from tidegauge.functions import labels as lb
-from tidegauge.functions.timing import micros
-from tidegauge.operators import retention as rt
-from tidegauge.operators.select import in_range
+from tidegauge.functions.timing import micros, utc_date
+from tidegauge.operators import retention as rt, rollups as ru
+from tidegauge.operators.select import TimeRange, in_range
 from tidegauge.plans import scratch
-from tidegauge.sources import export as ex, ingest as ing, tables
+from tidegauge.sources import export as ex, ingest as ing, tables, upsert as up
 from tidegauge.workload.registry import AS_OF, METRICS, q6, query
 from tidegauge.workload.selection import END, START
 
@@ -144,6 +144,65 @@ def alert_upsert(spark, folder):
     return ing.last_write(saved, ["id"], ["ts", "event_id"]).drop("event_id")
 
 
+@query(
+    """SELECT event_id, ts, event_type AS name, CASE WHEN event_id % 5 = 0 AND ts >= TIMESTAMP '2024-01-08 00:00:00' AND ts < TIMESTAMP '2024-01-14 00:00:00' THEN value + 2
+    WHEN event_id % 3 = 0 AND ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-10 00:00:00' THEN value + 1 ELSE value END AS value FROM events"""
+)
+def table_upsert(spark, folder):
+    """A stored table after two overlapping batches of corrections, the second delivered twice."""
+    path = scratch.new_folder(spark, "upserted")
+    rows = fx.metrics(spark, folder).select("event_id", "ts", "name", "value", F.lit(0).alias("arrival"))
+    tables.store(rows, path)
+    for arrival, every, first, last in ((1, 3, 5, 10), (2, 5, 8, 14), (2, 5, 8, 14)):
+        chosen = in_range(rows, datetime(2024, 1, first), datetime(2024, 1, last), open_end=True).filter(F.col("event_id") % every == 0)
+        changes = chosen.withColumns({"value": F.col("value") + arrival, "arrival": F.lit(arrival), "date": utc_date(F.col("ts"), dict(rows.dtypes)["ts"])})
+        up.upsert(changes, path, ["name", "ts", "event_id"], ["arrival"], scratch.new_folder(spark, "staged"))
+    return tables.load(spark, path).select("event_id", "ts", "name", "value")
+
+
+@query("SELECT 'node-' || user_id AS node, max(ts) AS ts, arg_max(event_type, ts) AS status FROM events GROUP BY user_id")
+def registry_upsert(spark, folder):
+    """The node table after heartbeats came in four deliveries, newest first."""
+    path = scratch.new_folder(spark, "nodes")
+    beats = fx.heartbeats(spark, folder).withColumn("part", up.bucket(F.col("node"), 8))
+    for turn in (3, 1, 0, 2):
+        up.upsert(beats.filter(F.col("event_id") % 4 == turn), path, ["node"], ["ts", "event_id"], scratch.new_folder(spark, "staged"), ["part"])
+    return spark.read.parquet(path).select("node", "ts", "status")
+
+
+def _rollups(spark, folder):
+    """Samples stored by day, and their rollups, the first half of the days built before the second."""
+    raw, path = scratch.new_folder(spark, "raw"), scratch.new_folder(spark, "rollups")
+    tables.store(fx.metrics(spark, folder).select("event_id", "ts", "name", "node", "value"), raw)
+    samples = tables.load(spark, raw)
+    for first, last in ((datetime(2024, 1, 1), datetime(2024, 1, 16)), (datetime(2024, 1, 15), datetime(2024, 2, 2))):
+        ru.build(samples, path, fx.KEYS, ["event_id"], first.date(), last.date())
+    return samples, path
+
+
+def rollup_sql(low: str, high: str, step: str) -> str:
+    return f"""WITH {METRICS} SELECT name, node, time_bucket(INTERVAL {step}, ts) AS bucket, {q6("avg(value)")} AS mean, min(value) AS low, max(value) AS high,
+    {q6("sum(value)")} AS total, count(*) AS points, last(value ORDER BY ts, event_id) AS last FROM m WHERE name IN ('error', 'view') AND ts >= TIMESTAMP '{low}' AND ts <= TIMESTAMP '{high}' GROUP BY 1, 2, 3"""
+
+
+def _rolled(spark, folder, span):
+    samples, path = _rollups(spark, folder)
+    rows = ru.range_query(spark, samples, path, ["error", "view"], span, fx.KEYS, ["event_id"])
+    return rows.withColumns({c: fx.comparable(F.col(c)) for c in ("mean", "total")})
+
+
+@query(rollup_sql("2024-01-04 05:00:00", "2024-01-20 20:59:59.999999", "3 HOUR"))
+def rollup_range(spark, folder):
+    """Three-hour buckets out of stored hours; no sample is read."""
+    return _rolled(spark, folder, TimeRange(datetime(2024, 1, 4, 5), datetime(2024, 1, 20, 20, 59, 59, 999_999), timedelta(hours=3)))
+
+
+@query(rollup_sql("2024-01-04 05:17:23", "2024-01-20 20:41:07", "1 DAY"))
+def rollup_edges(spark, folder):
+    """Days out of stored quarters of a day, and samples where the range cuts one."""
+    return _rolled(spark, folder, TimeRange(datetime(2024, 1, 4, 5, 17, 23), datetime(2024, 1, 20, 20, 41, 7), timedelta(days=1)))
+
+
 IN_ARCHIVE = "ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00'"
 
 
