@@ -399,6 +399,42 @@ def test_words_encode_alone(spark, small):
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [[*e.ids, 2] for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_parts_encode_like_whole_texts():
+    """Random texts of everything that parts a word: apostrophes, digits, marks that compose, odd lower case, special tokens."""
+    rng = random.Random(9)
+    library = Tokenizer.from_file(WORD)
+    pieces = ["a", "Bc", "don't", "'s", "'", "\"", "-", "12", "3", ".", ",", " ", "  ", "\n", "é", "e\u0301", "<\u0338", "İ", "ß", "中", "мир", "\U0001f600", "\u00a0", "\u0085", "\ue000", "_", "\x1c", "’s", "½", "٣"]
+    for extra in ([], ["<|endoftext|>", "<|ENDOFTEXT|>", "<|"]):
+        encoder = idcodes.WordEncoder(bpe.vocabulary_text(WORD))
+        texts = ["".join(rng.choice(pieces + extra) for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+        for i in range(0, len(texts), 500):
+            some = texts[i : i + 500]
+            ids, bounds = encoder.encode(pa.array(some))
+            want = [[*e.ids, 2] for e in library.encode_batch(some, add_special_tokens=False)]
+            assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
+
+
+def test_parts_are_forgotten_in_halves(monkeypatch):
+    monkeypatch.setattr(idcodes, "REMEMBERED", 40)
+    encoder = idcodes.WordEncoder(bpe.vocabulary_text(WORD))
+    library = Tokenizer.from_file(WORD)
+    for n in range(12):
+        text = " ".join(f"word{'abcdefghij'[k % 10]}{'klmnopqrst'[n % 10]}x" for k in range(15)) + " always"
+        ids, _ = encoder.encode(pa.array([text]))
+        assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+        assert len(encoder._known) + len(encoder._older) <= 80
+
+
+def test_files_hold_their_documents_bounds():
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1, 90, 700)
+    ids = rng.integers(0, 49_408, lengths.sum()).astype(np.uint32)
+    file = idcodes.IdFile(idcodes.pack_file(12_345_678_901, ids, lengths))
+    assert file.before == 12_345_678_901 and file.bounds().tolist() == [0, *np.cumsum(lengths)]
+    places = rng.permutation(len(ids))[:1000]
+    assert (file.ids.get(places) == ids[places]).all()
+
+
 # 10: revisits
 
 

@@ -11,11 +11,17 @@ of levels and the number of entries of each, then per level the chunk bytes,
 the bitmap in 64-bit words, the set bits before every 512 bits (32 bits each)
 and those before every word within them (16 bits each).
 
-Documents are range-partitioned and sorted by id, encoded by the tokenizers
-library word by word (its pipeline never looks across white space, nor across
-the stop or comma at a word's end), and written
-as files of about ``FILE_IDS`` ids: rows of a Parquet table, so that they live
-wherever Spark can write.  ``export`` puts the images into plain files.
+A file of documents begins with ``FILE_MAGIC``, the ids before it in its
+partition, the number of documents and the bytes of what follows: the image of
+all ids, and a second image with the length of every document.
+
+Documents are range-partitioned and sorted by id and written as files of about
+``FILE_IDS`` ids: rows of a Parquet table, so that they live wherever Spark can
+write.  The tokenizers library encodes each distinct part of a text once; parts
+end where its pipeline parts in any case, at white space and between ASCII
+letters, single digits and other characters (an apostrophe keeps the letters
+behind it).  Many parts that are one pretoken each go into one call, and the ids
+that end a word tell them apart again.
 
 Defined cases: null and empty texts hold only the end id; null ids sort first;
 rows that share an id follow one another by text hash, each with its own place.
@@ -24,6 +30,7 @@ rows that share an id follow one another by text hash, each with its own place.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import zlib
 from array import array
@@ -39,14 +46,33 @@ from tidegauge.llm.textbatch import LOWER, sliced, words
 
 FORMAT = "directly addressable codes, 8-bit chunks"
 MAGIC = 0x31434144
+FILE_MAGIC = 0x464C4944
 END_ID = 2
 FILE_IDS = 1 << 20
+#: Parts that a worker remembers, and parts in one call of the library.
 REMEMBERED = 500_000
+CALL = 512
 
 _KEEP_CASE = np.arange(256, dtype=np.uint8)
-#: Marks that the library always parts from the letter before them.
-_STOPS = np.zeros(256, dtype=bool)
-_STOPS[[ord("."), ord(",")]] = True
+
+
+def _borders() -> tuple[np.ndarray, np.ndarray]:
+    """Kinds of bytes, and between which the library's pipeline always parts."""
+    letter, digit, other, apostrophe, beyond = range(5)
+    kinds = np.full(256, other, np.int64)
+    kinds[[*range(65, 91), *range(97, 123)]] = letter
+    kinds[48:58] = digit
+    kinds[ord("'")] = apostrophe
+    kinds[128:] = beyond
+    parted = np.zeros((5, 5), bool)
+    parted[:beyond, :beyond] = True
+    parted[letter, letter] = False
+    parted[np.ix_((other, apostrophe), (other, apostrophe))] = False
+    parted[apostrophe, letter] = False
+    return kinds, parted
+
+
+_BORDERS = _borders()
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -106,8 +132,29 @@ class Reader:
         return out
 
 
+def pack_file(before: int, ids: np.ndarray, lengths: np.ndarray) -> bytes:
+    """The image of a file of documents."""
+    content = pack(ids)
+    return np.array([FILE_MAGIC, before, len(lengths), len(content)], np.uint64).tobytes() + content + pack(lengths)
+
+
+class IdFile:
+    """A file of documents: ids anywhere, and where each document begins."""
+
+    def __init__(self, image: bytes):
+        magic, before, count, size = (int(x) for x in np.frombuffer(image, np.uint64, 4))
+        if magic != FILE_MAGIC:
+            raise ValueError("not a file of documents")
+        self.before, self.documents = before, count
+        self.ids, self._lengths = Reader(image[32 : 32 + size]), Reader(image[32 + size :])
+
+    def bounds(self) -> np.ndarray:
+        """The first id of every document, with the end."""
+        return np.concatenate(([0], np.cumsum(self._lengths.get(np.arange(self.documents)).astype(np.int64))))
+
+
 class WordEncoder:
-    """The library's tokenizer, asked once per distinct word."""
+    """The library's tokenizer, asked once per distinct part."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -116,25 +163,50 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_str(file)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
+        vocabulary = json.loads(file)["model"]["vocab"]
+        self._ends_word = np.zeros(self._tokenizer.get_vocab_size() + 1, bool)
+        self._ends_word[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
         self._known: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a slice of texts, each followed by the end id, and the first id of each row (with the end)."""
         # The library writes letters in lower case itself, but only after it has cut out its special tokens.
         special = pc.any(pc.match_substring(column, "<|")).as_py()
-        found = words(column, mapped=_KEEP_CASE if special else LOWER, ending=_STOPS)
-        known = self._known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [w for w in found.distinct if w not in known]
-        made = self._tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, made))
-        pieces = [known[w] for w in found.distinct] + [array("I", [END_ID]).tobytes()]
+        found = words(column, mapped=_KEEP_CASE) if special else words(column, borders=_BORDERS)
+        pieces = [*self._ids(found.distinct, cut=not special), array("I", [END_ID]).tobytes()]
         flat, ends = np.frombuffer(b"".join(pieces), np.uint32), np.cumsum([0, *map(len, pieces)]) // 4
         codes = np.insert(found.codes, found.docs[1:], len(pieces) - 1)
         ids, positions = gathered(flat, ends, codes)
         return ids, positions[found.docs + np.arange(len(found.docs))]
 
+    def _ids(self, distinct: list[bytes], cut: bool) -> list[bytes]:
+        if len(self._known) > REMEMBERED // 2:
+            self._known, self._older = {}, self._known
+        known, older = self._known, self._older
+        out = [known.get(w) or older.get(w) for w in distinct]
+        single, other = [], []
+        for w in (w for w, ids in zip(distinct, out) if ids is None):
+            text = w.decode()
+            (single if text.isalpha() or (cut and text.isascii() and "'" not in text) else other).append(text)
+        groups = [single[i : i + CALL] for i in range(0, len(single), CALL)]
+        made = {}
+        for group, encoding in zip(groups, self._batch([" ".join(g) for g in groups])):
+            ids = np.array(encoding.ids, np.uint32)
+            ends = np.flatnonzero(self._ends_word[ids]) + 1
+            if len(ends) != len(group) or ends[-1] != len(ids):
+                # Lower case or composition made something else of a part.
+                other += group
+                continue
+            raw, ends = ids.tobytes(), 4 * ends
+            made.update((t.encode(), raw[a:b]) for t, a, b in zip(group, [0, *ends], ends))
+        made.update((t.encode(), array("I", e.ids).tobytes()) for t, e in zip(other, self._batch(other)))
+        known.update(made)
+        return [made[w] if ids is None else ids for w, ids in zip(distinct, out)]
+
+    def _batch(self, texts: list[str]):
+        return self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -149,8 +221,8 @@ def _encoder(name: str, shared) -> WordEncoder:
 def write(documents: DataFrame, path: str, vocabulary: str, id: str = "doc_id", text: str = "text") -> None:
     """Files of ids in ascending document order, a Parquet row each.
 
-    A row has the partition (``part``, in document order), the ids before it
-    within the partition, the documents' ids and lengths, and the image.
+    A row has the partition (``part``, in document order), the documents' ids,
+    how many token ids the file holds, and its image.
     """
     content = vocabulary_text(vocabulary)
     name = hashlib.sha256(content.encode()).hexdigest()
@@ -165,14 +237,11 @@ def write(documents: DataFrame, path: str, vocabulary: str, id: str = "doc_id",
         before, docs, lengths, parts, held = 0, [], [], [], 0
 
         def flush(part: pa.Scalar, kept: pa.DataType) -> pa.RecordBatch:
+            image = pack_file(before, np.concatenate(parts), np.concatenate(lengths))
             columns = [
-                pa.array([part], pa.int32()),
-                pa.array([before], pa.int64()),
-                pa.array([pa.concat_arrays(docs).to_pylist()], pa.list_(kept)),
-                pa.array([np.concatenate(lengths)], pa.list_(pa.int64())),
-                pa.array([pack(np.concatenate(parts))], pa.binary()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, ["part", "ids_before", "docs", "lengths", "image"])
+                pa.array([part], pa.int32()), pa.array([pa.concat_arrays(docs).to_pylist()], pa.list_(kept)), pa.array([held], pa.int64()), pa.array([image], pa.binary())
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["part", "docs", "n_ids", "image"])
 
         part = kept = None
         for batch in sliced(batches, "text"):
@@ -188,44 +257,28 @@ def write(documents: DataFrame, path: str, vocabulary: str, id: str = "doc_id",
         if held:
             yield flush(part, kept)
 
-    made = f"part int, ids_before bigint, docs array<{kind}>, lengths array<bigint>, image binary"
+    made = f"part int, docs array<{kind}>, n_ids bigint, image binary"
     source.mapInArrow(encode, made).write.mode("error").parquet(path)
 
 
 def read(spark: SparkSession, path: str, id: str = "doc_id") -> DataFrame:
     """Per document of the files: its id, ``start`` (ids of all documents before it), ``n_tokens`` and ``ids_crc32``."""
     files = spark.read.parquet(path)
-    totals = files.select("part", F.aggregate("lengths", F.lit(0).cast("long"), lambda n, x: n + x).alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
+    totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     # One row per partition that was written.
     starts = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
-    source = files.join(F.broadcast(starts), "part").select((F.col("part_start") + F.col("ids_before")).alias("start"), "docs", "lengths", "image")
+    source = files.join(F.broadcast(starts), "part").select("part_start", "docs", "image")
     kind = source.schema["docs"].dataType.elementType.simpleString()
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                reader = Reader(batch.column("image")[i].as_py())
-                lengths = batch.column("lengths")[i].values.to_numpy()
-                bounds = np.concatenate(([0], np.cumsum(lengths)))
-                crcs = np.zeros(len(lengths), np.int64)
-                for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-                    crcs[k] = zlib.crc32(reader.get(np.arange(a, b)).astype("<u4").tobytes())
-                columns = [batch.column("docs")[i].values, pa.array(bounds[:-1] + batch.column("start")[i].as_py()), pa.array(lengths), pa.array(crcs)]
+                file = IdFile(batch.column("image")[i].as_py())
+                bounds = file.bounds()
+                raw = memoryview(file.ids.get(np.arange(file.ids.length)).astype("<u4").tobytes())
+                crcs = np.fromiter((zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1], bounds[1:])), np.int64, file.documents)
+                starts = batch.column("part_start")[i].as_py() + file.before + bounds[:-1]
+                columns = [batch.column("docs")[i].values, *(pa.array(c, pa.int64()) for c in (starts, np.diff(bounds), crcs))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc", "start", "n_tokens", "ids_crc32"])
 
     return source.mapInArrow(digest, f"doc {kind}, start bigint, n_tokens bigint, ids_crc32 bigint").withColumnRenamed("doc", id)
-
-
-def export(files: DataFrame, folder: str) -> None:
-    """The images as plain files of a folder that every executor can write to."""
-
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, before, image in zip(*(batch.column(c).to_pylist() for c in ("part", "ids_before", "image"))):
-                place = os.path.join(folder, f"{part:06d}-{before:015d}.dac")
-                with open(f"{place}.part", "wb") as file:
-                    file.write(image)
-                os.replace(f"{place}.part", place)
-            yield batch.select(["part"])
-
-    files.select("part", "ids_before", "image").mapInArrow(store, "part int").write.format("noop").mode("overwrite").save()

@@ -21,8 +21,6 @@ SLICE_BYTES = 4 << 20
 #: Byte to byte, A-Z in lower case.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
 #: Bytes of words between white space, [^\x20\x09-\x0D].
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[32, *range(9, 14)]] = False
@@ -76,21 +74,23 @@ class Words:
         return np.fromiter(map(xxhash.xxh3_64_intdigest, self.distinct), np.uint64, len(self.distinct))
 
 
-def words(column: pa.Array, inside: np.ndarray = NOT_SPACE, mapped: np.ndarray = LOWER, ending: np.ndarray | None = None) -> Words:
+def words(column: pa.Array, inside: np.ndarray = NOT_SPACE, mapped: np.ndarray = LOWER, borders: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
     """Runs of bytes for which ``inside`` holds, as ``mapped`` writes them.
 
-    A last byte for which ``ending`` holds is a word of its own if an ASCII
-    letter stands before it.
+    ``borders`` (a kind for every byte, and whether a byte of one kind is parted
+    from the next of another) cuts runs further.
     """
     data, offsets = text_bytes(column)
     keep = inside[data]
     begins = keep.copy()
-    begins[1:] &= ~keep[:-1]
+    if borders is None:
+        begins[1:] &= ~keep[:-1]
+    elif len(data):
+        kinds, parted = borders
+        kind = kinds[data]
+        begins[1:] &= ~keep[:-1] | parted.ravel()[kind[:-1] * parted.shape[1] + kind[1:]]
     first = offsets[:-1][offsets[:-1] < len(data)]
     begins[first] = keep[first]
-    if ending is not None and len(data) > 1:
-        last = keep & np.append(~keep[1:] | begins[1:], True)
-        begins[1:] |= last[1:] & ~begins[1:] & ending[data[1:]] & _LETTER[data[:-1]]
     at = np.flatnonzero(begins)
     packed = mapped[data[keep]]
     bounds = np.append(np.cumsum(keep)[at] - 1, len(packed))
