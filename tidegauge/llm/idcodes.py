@@ -48,9 +48,12 @@ FORMAT = "directly addressable codes, 8-bit chunks"
 MAGIC = 0x31434144
 FILE_MAGIC = 0x464C4944
 END_ID = 2
-FILE_IDS = 1 << 20
+FILE_IDS = 1 << 19
+#: Bytes of text encoded at a time, and ids read at a time.
+SLICE = 1 << 20
+BLOCK = 1 << 16
 #: Parts that a worker remembers, and parts in one call of the library.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 CALL = 512
 
 _KEEP_CASE = np.arange(256, dtype=np.uint8)
@@ -59,7 +62,7 @@ _KEEP_CASE = np.arange(256, dtype=np.uint8)
 def _borders() -> tuple[np.ndarray, np.ndarray]:
     """Kinds of bytes, and between which the library's pipeline always parts."""
     letter, digit, other, apostrophe, beyond = range(5)
-    kinds = np.full(256, other, np.int64)
+    kinds = np.full(256, other, np.uint8)
     kinds[[*range(65, 91), *range(97, 123)]] = letter
     kinds[48:58] = digit
     kinds[ord("'")] = apostrophe
@@ -244,7 +247,7 @@ def write(documents: DataFrame, path: str, vocabulary: str, id: str = "doc_id",
             return pa.RecordBatch.from_arrays(columns, ["part", "docs", "n_ids", "image"])
 
         part = kept = None
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             ids, bounds = _encoder(name, shared).encode(batch.column("text"))
             part, kept = batch.column("part")[0].as_py(), batch.column("doc").type
             docs.append(batch.column("doc"))
@@ -261,6 +264,17 @@ def write(documents: DataFrame, path: str, vocabulary: str, id: str = "doc_id",
     source.mapInArrow(encode, made).write.mode("error").parquet(path)
 
 
+def _checksums(file: IdFile, bounds: np.ndarray) -> Iterator[int]:
+    """CRC-32 of the ids of each document, read for some documents at a time."""
+    i = 0
+    while i < file.documents:
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + BLOCK, side="right")) - 1)
+        raw = memoryview(file.ids.get(np.arange(bounds[i], bounds[j])).astype("<u4").tobytes())
+        at = 4 * (bounds[i : j + 1] - bounds[i])
+        yield from (zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:]))
+        i = j
+
+
 def read(spark: SparkSession, path: str, id: str = "doc_id") -> DataFrame:
     """Per document of the files: its id, ``start`` (ids of all documents before it), ``n_tokens`` and ``ids_crc32``."""
     files = spark.read.parquet(path)
@@ -275,8 +289,7 @@ def read(spark: SparkSession, path: str, id: str = "doc_id") -> DataFrame:
             for i in range(batch.num_rows):
                 file = IdFile(batch.column("image")[i].as_py())
                 bounds = file.bounds()
-                raw = memoryview(file.ids.get(np.arange(file.ids.length)).astype("<u4").tobytes())
-                crcs = np.fromiter((zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1], bounds[1:])), np.int64, file.documents)
+                crcs = np.fromiter(_checksums(file, bounds), np.int64, file.documents)
                 starts = batch.column("part_start")[i].as_py() + file.before + bounds[:-1]
                 columns = [batch.column("docs")[i].values, *(pa.array(c, pa.int64()) for c in (starts, np.diff(bounds), crcs))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc", "start", "n_tokens", "ids_crc32"])
