@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -341,6 +342,29 @@ def test_automata_keep_length_and_order():
     assert len(automata.infer([draw("0123456789abcdefXYZ_-+/", 4000) for _ in range(100)])) < 3000
 
 
+def test_columns_of_any_name_are_left_alone(spark, odd):
+    """Names that the operators use inside, and a length that is no number."""
+    named = odd.drop("n_chars").selectExpr("*", "1 AS _gone", "2 AS _ledger", "'long' AS n_chars", "3 AS _row", "4 AS _text", "5 AS node", "6 AS root", "7 AS digest")
+    for made in (rules.accepted(named), neardup.deduplicated(named), secretscan.redacted(named)):
+        assert made.columns == named.columns
+        assert {tuple(r)[-9:] for r in made.select(*named.columns[-9:]).collect()} <= {tuple(r)[-9:] for r in named.select(*named.columns[-9:]).collect()}
+    assert rules.accepted(named).count() == rules.accepted(odd).count()
+    assert neardup.deduplicated(named).count() == neardup.deduplicated(odd).count()
+    with pytest.raises(ValueError):
+        secretscan.redacted(named, length="n_chars")
+
+
+def test_preference_query_keeps_every_conversation(spark):
+    rows = queries.QUERIES["op2_preference_formatting"](spark, SMALL).collect()
+    turns = spark.read.parquet(f"{SMALL}/conversations.parquet").groupBy("conv_id").count().collect()
+    size = {r["conv_id"]: r["count"] for r in turns}
+    assert sorted(r.conv_id for r in rows) == sorted(size)
+    for r in rows:
+        assert (r.prompt + r.chosen_text).count("<|im_end|>") == size[r.conv_id]
+    assert {r.prefix_turns == 0 for r in rows} == {True, False}
+    assert max(r.rejected_text.count("<|im_end|>") for r in rows) > 1 and max(r.chosen_text.count("<|im_end|>") for r in rows) > 1
+
+
 # 8: near duplicates
 
 

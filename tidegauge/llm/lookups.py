@@ -8,6 +8,14 @@ from pyspark.sql import DataFrame, functions as F
 HEAVY_ROWS = 1000
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with more underscores in front if a column has it."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def heavy_keys(rows: DataFrame, key: str, least: int = HEAVY_ROWS) -> DataFrame | None:
     """The keys that hold more than an average shuffle partition of the rows, a broadcast column ``key``; None if there are none.
 

@@ -33,7 +33,8 @@ pair's centre; a centre with many members is dealt out in chunks of
 
 Defined cases: null and empty texts have an empty set and are linked with
 nothing; rows that share an id are the same document and get one component;
-a null id is never linked and its row is kept; repeated rows are each returned.
+a null id is never linked and its row is kept; repeated rows are each returned;
+other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.llm.components import components
+from tidegauge.llm.lookups import free_name, looked_up
 from tidegauge.llm.textbatch import mix, sliced, words
 from tidegauge.plans import scratch
 
@@ -221,7 +223,8 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
             F.min("doc").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")
         )
     )
-    copies = with_id.join(classes.select("digest", "rep"), "digest").where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+    copied = looked_up(with_id.select("doc", "digest"), "digest", classes.select("digest", "rep"))
+    copies = copied.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     rows = classes.select("rep", "n", F.explode("keys").alias("key"))
     buckets = scratch.cut(
         rows.join(rows.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("_top")).where("centre < _top").drop("_top"), "key")
@@ -232,9 +235,10 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
     links = scratch.cut(linked(documents, candidates.select("a", "b"), id, text, threshold))
     links = _rest(documents, classes, buckets, links, id, text, threshold)
     roots = components(links.unionByName(copies))
-    found = signed.join(roots, signed["doc"] == roots["node"], "left").select(
-        F.col("doc").alias(id), "n_shingles", F.coalesce("root", "doc").alias("component")
-    )
+    known = signed.where("doc IS NOT NULL").join(roots, F.col("doc") == F.col("node"), "left")
+    # Rows without an id match nothing and stay where they are.
+    rest = signed.where("doc IS NULL").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in roots.schema])
+    found = known.unionByName(rest).select(F.col("doc").alias(id), "n_shingles", F.coalesce("root", "doc").alias("component"))
     return found.withColumn("kept", F.col(id).eqNullSafe(F.col("component")))
 
 
@@ -365,5 +369,6 @@ def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", t
     Rows that share an id stay together.
     """
     found = near_duplicates(documents, id, text, threshold)
-    gone = found.where(~F.col("kept")).select(F.col(id).alias("_gone")).distinct()
-    return documents.join(_small(scratch.cut(gone)), F.col(id) == F.col("_gone"), "left_anti")
+    name = free_name("_gone", documents.columns)
+    gone = found.where(~F.col("kept")).select(F.col(id).alias(name)).distinct()
+    return documents.join(_small(scratch.cut(gone)), F.col(id) == F.col(name), "left_anti")

@@ -167,41 +167,40 @@ def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("component", "component_id")
 
 
-_OP2_SQL = r"""
-WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS last FROM conversations),
-reply AS (SELECT conv_id, text FROM t WHERE turn = last),
-r AS (SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown FROM t),
+# A conversation's turns in order, the turn where its rejected twin leaves it, and both sides rendered turn by turn.
+_SHOWN = "list_transform({x}, lambda s: '<|im_start|>' || s.r || chr(10) || s.t || '<|im_end|>' || chr(10))"
+_MASKED = """array_to_string(list_transform(list_filter(range(1, len({x}) + 1), lambda i: {x}[i].r = 'assistant'),
+         lambda i: (coalesce(list_sum(list_transform({x}[1:i - 1], lambda s: length(s.r) + length(s.t) + 24)), 0) + 22)::BIGINT || ':'
+                || (coalesce(list_sum(list_transform({x}[1:i - 1], lambda s: length(s.r) + length(s.t) + 24)), 0) + 32 + length({x}[i].t))::BIGINT), ',')"""
+_OP2_SQL = rf"""
+WITH w AS (
+  SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS c
+  FROM conversations GROUP BY conv_id),
+k AS (SELECT *, CASE conv_id % 3 WHEN 0 THEN 0 WHEN 1 THEN len(c) // 2 ELSE len(c) - 1 END AS k FROM w),
 p AS (
-  SELECT conv_id, count(*) FILTER (turn < last) AS n, coalesce(string_agg(shown, '' ORDER BY turn) FILTER (turn < last), '') AS prompt
-  FROM r WHERE last IS NOT NULL GROUP BY conv_id),
-b AS (
-  SELECT p.*, reply.text AS good, coalesce(d.text, '') AS bad, reply.text = coalesce(d.text, '') AS same
-  FROM p JOIN reply USING (conv_id) LEFT JOIN reply d ON d.conv_id = p.conv_id + 1)
-SELECT conv_id, CAST(n + CAST(same AS INT) AS BIGINT) AS prefix_turns,
-       prompt || CASE WHEN same THEN '<|im_start|>assistant' || chr(10) || good || '<|im_end|>' || chr(10) ELSE '' END AS prompt,
-       CASE WHEN same THEN '' ELSE '<|im_start|>assistant' || chr(10) || good || '<|im_end|>' || chr(10) END AS chosen_text,
-       CASE WHEN same THEN '' ELSE '22:' || (32 + length(good)) END AS chosen_mask,
-       CASE WHEN same THEN '' ELSE '<|im_start|>assistant' || chr(10) || bad || '<|im_end|>' || chr(10) END AS rejected_text,
-       CASE WHEN same THEN '' ELSE '22:' || (32 + length(bad)) END AS rejected_mask
-FROM b"""
+  SELECT a.conv_id, a.c AS good, list_concat(a.c[1:k], coalesce(b.c[k + 1:], [])) AS bad
+  FROM k a LEFT JOIN w b ON b.conv_id = a.conv_id + 1),
+n AS (
+  SELECT *, coalesce(list_min(list_filter(range(1, least(len(good), len(bad)) + 1), lambda i: good[i] <> bad[i])) - 1, least(len(good), len(bad))) AS n FROM p),
+r AS (SELECT conv_id, n, good[1:n] AS same, good[n + 1:] AS good, bad[n + 1:] AS bad FROM n)
+SELECT conv_id, CAST(n AS BIGINT) AS prefix_turns, array_to_string({_SHOWN.format(x="same")}, '') AS prompt,
+       array_to_string({_SHOWN.format(x="good")}, '') AS chosen_text, {_MASKED.format(x="good")} AS chosen_mask,
+       array_to_string({_SHOWN.format(x="bad")}, '') AS rejected_text, {_MASKED.format(x="bad")} AS rejected_mask
+FROM r"""
 
 
 @query(_OP2_SQL)
 def op2_preference_formatting(spark: SparkSession, folder: str) -> DataFrame:
-    """Each conversation up to its last answer, against the same turns with the last answer of the next conversation."""
-    turns = table(spark, folder, "conversations")
-    whole = chat.conversations(turns)
-    last = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1)))
-    ended = whole.withColumn("last", last).where("last IS NOT NULL")
-    answers = turns.where("role = 'assistant'").groupBy((F.col("conv_id") - 1).alias("before"))
-    answers = answers.agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("answer"))
-    reply = F.struct(F.lit("assistant").alias("role"), F.coalesce("answer.text", F.lit("")).alias("text"))
-    pairs = ended.join(answers, F.col("conv_id") == F.col("before"), "left").select(
+    """Every conversation whole, against one that leaves it at its first, middle or last turn and goes on as the next conversation does."""
+    whole = chat.conversations(table(spark, folder, "conversations"))
+    following = whole.select((F.col("conv_id") - 1).alias("before"), F.col("turns").alias("others"))
+    size = F.size("turns")
+    turn = F.when(F.col("conv_id") % 3 == 0, 0).when(F.col("conv_id") % 3 == 1, F.floor(size / 2).cast("int")).otherwise(size - 1)
+    other = F.coalesce("others", F.array().cast(f"array<{chat.TURN}>"))
+    pairs = whole.join(following, F.col("conv_id") == F.col("before"), "left").select(
         "conv_id",
-        F.slice("turns", 1, F.col("last")).alias("chosen"),
-        F.concat(F.slice("turns", 1, F.col("last") - 1), F.array(reply)).alias("rejected"),
+        F.col("turns").alias("chosen"),
+        F.concat(F.slice("turns", 1, turn), F.slice(other, turn + 1, F.size(other))).alias("rejected"),
     )
 
     def mask(column: str):

@@ -20,6 +20,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidegauge.llm.lookups import free_name
+
 WINDOW = 5
 LEDGER = "ledger"
 _SPACES = "[\\x20\\x09-\\x0D]"
@@ -150,7 +152,7 @@ def passes(policy: Policy, name: str = LEDGER) -> Column:
 
 def accepted(documents: DataFrame, policy: Policy = CURRENT, text: str = "text") -> DataFrame:
     """The documents, with the columns they came with, that the policy keeps."""
-    name = "_ledger"
+    name = free_name("_ledger", documents.columns)
     return ledger(documents, text, name).where(passes(policy, name)).drop(name)
 
 
