@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge import fixtures as fx
 from tidegauge.functions.timing import utc_date
-from tidegauge.operators import rollups
+from tidegauge.operators import rollups, summaries
 from tidegauge.operators.select import TimeRange
 from tidegauge.plans import scratch
 from tidegauge.sources import tables, upsert
@@ -147,3 +147,24 @@ def test_level_choice():
     assert level(timedelta(minutes=4), 24) is None and level(timedelta(0), 24) is None
     with pytest.raises(ValueError):
         rollups._valid((timedelta(minutes=7), timedelta(hours=1)))
+
+
+def test_summaries_count_series_within_their_error(spark):
+    path = scratch.new_folder(spark, "t-summaries")
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise("other").alias("name"), (F.col("id") % 20_000).cast("string").alias("key"),
+        (F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz") + F.expr("make_dt_interval(0, 0, 0, id)")).alias("ts"),
+        F.create_map(F.lit("node"), F.lit("a"), F.when(F.col("id") % 2 == 0, "zone").otherwise("rack"), F.lit("b")).alias("labels"),
+    )
+    start, end = date(2024, 1, 1), date(2024, 1, 3)
+    summaries.build(rows, path, "key", start, end, "labels")
+    once = {r["name"]: tuple(r) for r in summaries.stats(spark, path, start, end).collect()}
+    summaries.build(rows, path, "key", start, end, "labels")
+    found = {r["name"]: r for r in summaries.stats(spark, path, start, end).collect()}
+    assert once == {n: tuple(r) for n, r in found.items()}
+    exact = {r[0]: r[1] for r in rows.groupBy("name").agg(F.count_distinct("key")).collect()}
+    for name, row in found.items():
+        assert abs(row["series"] - exact[name]) <= summaries.ERROR * exact[name]
+        assert row["label_names"] == ["node", "rack", "zone"]
+    assert found["hot"]["samples"] == 40_000
+    assert not any(f.endswith("date=2024-01-02") for f in summaries.stats(spark, path, start, date(2024, 1, 2)).inputFiles())

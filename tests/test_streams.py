@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegauge import fixtures as fx
 from tidegauge.operators import alerting, anomaly, fleet
-from tidegauge.streaming import machines, monitors as mo
+from tidegauge.streaming import machines, monitors as mo, outbox
 from tidegauge.streaming.inorder import SlotBuffer
 from tidegauge.sources import ingest
 from tidegauge.streaming.run import drain, read_batches, read_events
@@ -150,6 +150,48 @@ def test_sliding_rate_equals_windows_over_growths(spark, tmp_path):
     assert got == {k: pytest.approx(v / 86400) for k, v in want.items() if k[2] <= limit} and len(got) > 1000
 
 
+def test_outbox_of_a_killed_stream_is_that_of_the_batch(spark, tmp_path):
+    """The stream dies in the middle of a batch, after its messages are written, and is started again."""
+    folder = arrivals(spark, tmp_path / "in", 6)
+    path, state = str(tmp_path / "out"), str(tmp_path / "state")
+    beats = fx.heartbeats(spark, SMALL)
+    limit = final_watermark(beats.select("ts").collect())
+
+    def start():
+        notices = samples(spark, folder).withColumn("node", F.col("machine"))
+        sent = outbox.cooled_down(notices, ["node"], "event_id", 18 * HOUR, DELAY)
+        return outbox.deliver(sent, path, state, ["node"], ["slack", "email"])
+
+    class Died(Exception):
+        pass
+
+    write = outbox.deliver.__globals__["micros"]
+    calls = []
+
+    def failing(column):
+        calls.append(1)
+        if len(calls) == 4:
+            raise Died
+        return write(column)
+
+    outbox.deliver.__globals__["micros"] = failing
+    try:
+        with pytest.raises(Exception):
+            start().awaitTermination()
+    finally:
+        outbox.deliver.__globals__["micros"] = write
+    start().awaitTermination()
+    got = sorted((r["node"], r["channel"], r["sent_at"]) for r in spark.read.parquet(path).withColumn("sent_at", F.col("sent_at").cast("timestamp_ntz")).collect())
+    want, last = [], {}
+    for r in sorted(beats.collect(), key=lambda r: (r["ts"], r["event_id"])):
+        if r["ts"] <= limit and (r["node"] not in last or r["ts"] - last[r["node"]] >= 18 * HOUR):
+            last[r["node"]] = r["ts"]
+            want += [(r["node"], c, r["ts"]) for c in ("slack", "email")]
+    assert got == sorted(want) and len(got) > 200
+    ids = [r[0] for r in spark.read.parquet(path).select("message_id").collect()]
+    assert len(set(ids)) == len(ids)
+
+
 class Counted(dict):
     """A map state that counts what is read."""
 

@@ -111,6 +111,18 @@ def threshold(limit: float, hold_us: int):
     return fold
 
 
+def firing(limit: float, hold_us: int):
+    """Only the rows at which such an alert fires."""
+    every = threshold(limit, hold_us)
+
+    def fold(state, rows: pd.DataFrame):
+        state, log = every(state, rows)
+        fired = log[log["transition"] == "firing"]
+        return state, pd.DataFrame({"ts": pd.to_datetime(fired["at_us"], unit="us"), "at_us": fired["at_us"], "value": fired["value"]})
+
+    return fold
+
+
 #: Comparisons by operator; an unknown one never breaches.
 _TESTS = {">": np.greater, "<": np.less, ">=": np.greater_equal, "<=": np.less_equal, "==": np.equal, "!=": np.not_equal}
 

@@ -85,6 +85,14 @@ def alert_transitions(
     )
 
 
+def firing_notices(
+    samples: DataFrame, keys: list[str], tie: str, threshold: float, hold: timedelta, delay: timedelta, slot: timedelta = SLOT
+) -> DataFrame:
+    """Alerts of ``value > threshold`` at the moment they fire, (keys, ts, at_us, value), with event time for a further machine."""
+    machine = Folded(keys, "active bigint, fired boolean", machines.firing(threshold, as_micros(hold)), slot)
+    return run_in_order(_rows(samples, keys, tie, delay), keys, machine, "ts timestamp, at_us bigint, value double", "ts")
+
+
 def rule_alerts(
     samples: DataFrame, changes: DataFrame, keys: list[str], tie: str, delay: timedelta, slot: timedelta = SLOT, lanes: int = LANES
 ) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidegauge import fixtures as fx
 from tidegauge.functions import labels as lb
 from tidegauge.functions.timing import micros, utc_date
-from tidegauge.operators import retention as rt, rollups as ru
+from tidegauge.operators import retention as rt, rollups as ru, summaries as sm
 from tidegauge.operators.select import TimeRange, in_range
 from tidegauge.plans import scratch
 from tidegauge.sources import export as ex, ingest as ing, tables, upsert as up
@@ -180,6 +180,23 @@ def _rollups(spark, folder):
     return samples, path
 
 
+@query(
+    f"""WITH {METRICS} SELECT name, count(*) AS samples, min(ts) AS first, max(ts) AS last, true AS series_close, 'collector,node,user' AS label_names
+    FROM m WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-21 00:00:00' GROUP BY name"""
+)
+def summary_stats(spark, folder):
+    """Sixteen days out of stored daily summaries; the estimated number of series is held against the exact one."""
+    path = scratch.new_folder(spark, "summaries")
+    samples = fx.labelled(spark, folder).withColumn("key", lb.series_key(F.col("labels")))
+    for first, last in ((datetime(2024, 1, 1), datetime(2024, 1, 12)), (datetime(2024, 1, 10), datetime(2024, 2, 2))):
+        sm.build(samples, path, "key", first.date(), last.date(), "labels")
+    start, end = datetime(2024, 1, 5), datetime(2024, 1, 21)
+    exact = in_range(samples, start, end, open_end=True).groupBy("name").agg(F.count_distinct("key").alias("exact"))
+    found = sm.stats(spark, path, start.date(), end.date()).join(exact, "name")
+    close = F.abs(F.col("series") - F.col("exact")) <= F.col("exact") * sm.ERROR
+    return found.select("name", "samples", "first", "last", close.alias("series_close"), F.array_join("label_names", ",").alias("label_names"))
+
+
 def rollup_sql(low: str, high: str, step: str) -> str:
     return f"""WITH {METRICS} SELECT name, node, time_bucket(INTERVAL {step}, ts) AS bucket, {q6("avg(value)")} AS mean, min(value) AS low, max(value) AS high,
     {q6("sum(value)")} AS total, count(*) AS points, last(value ORDER BY ts, event_id) AS last FROM m WHERE name IN ('error', 'view') AND ts >= TIMESTAMP '{low}' AND ts <= TIMESTAMP '{high}' GROUP BY 1, 2, 3"""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidegauge import fixtures as fx
 from tidegauge.operators.fleet import latest_rows
 from tidegauge.plans import scratch
-from tidegauge.streaming import monitors as mo
+from tidegauge.streaming import monitors as mo, outbox as ob
 from tidegauge.streaming.run import ProgressTotals, drain, drain_updates, read_events
 from tidegauge.workload.buckets import ALERTS
 from tidegauge.workload.models import EWMA
@@ -91,6 +91,23 @@ def stream_alerts(spark, folder):
     return plain(drain(changes, "alerts")).drop("value")
 
 
+@query(
+    f"""WITH RECURSIVE {ALERTS}, f AS (SELECT DISTINCT node, epoch_us(fired_at) AS t FROM alerts WHERE fired_at <= {ERROR_WATERMARK}),
+    sent AS (SELECT node, min(t) AS t FROM f GROUP BY 1
+      UNION ALL
+      SELECT * FROM (SELECT s.node, (SELECT min(f.t) FROM f WHERE f.node = s.node AND f.t >= s.t + 172800000000) AS t FROM sent s) WHERE t IS NOT NULL)
+    SELECT node, make_timestamp(t) AS sent_at, channel FROM sent, (SELECT unnest(['slack', 'email']) AS channel)"""
+)
+def stream_outbox(spark, folder):
+    """Messages of alerts that fire, at most one in two days for each node, written by a sink that replays cannot double."""
+    errors = samples(spark, folder).filter(F.col("name") == "error")
+    notices = mo.firing_notices(errors, ["node"], "event_id", 80.0, timedelta(hours=6), HOUR, DAY)
+    sent = ob.cooled_down(notices, ["node"], "at_us", 2 * DAY, slot=DAY)
+    path = scratch.new_folder(spark, "outbox")
+    ob.deliver(sent, path, scratch.new_folder(spark, "outbox-state"), ["node"], ["slack", "email"]).awaitTermination()
+    return plain(spark.read.parquet(path)).select("node", "sent_at", "channel")
+
+
 @query(f"""WITH {RULE_LOG} SELECT * FROM rule_log l WHERE l."at" <= {WATERMARK}""")
 def stream_rules(spark, folder):
     """Rules of every metric change while the samples stream in; the log is that of the batch."""
