@@ -194,6 +194,16 @@ def test_forest_score_equals_walking_all_trees(spark):
         assert scored[r["id"]] == pytest.approx(2 ** (-path / forest.expected_path(64)))
 
 
+@pytest.mark.parametrize("count", [5, 40, 3000])
+def test_forest_from_samples_equals_that_of_its_pool(spark, count):
+    random.seed(9)
+    rows = points(spark, [round(random.gauss(0, 3), 1) for _ in range(count)]).unionByName(points(spark, [1.0] * 30, key="flat"))
+    pool = forest.training_pool(rows, ["series"], ["id"], trees=7, sample=64)
+    want = sorted(map(tuple, forest.train(pool, ["series"], trees=7, sample=64).collect()))
+    got = sorted(map(tuple, forest.fit(rows.repartition(5), ["series"], ["id"], trees=7, sample=64).collect()))
+    assert got == want and ({r[0] for r in got} == {"s", "flat"} if count > 9 else {"flat"})
+
+
 @pytest.mark.parametrize("split", [False, True])
 def test_forest_does_not_depend_on_partitions(spark, split, request):
     random.seed(6)

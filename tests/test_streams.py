@@ -10,7 +10,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from tidegauge import fixtures as fx
-from tidegauge.operators import alerting, anomaly, fleet
+from tidegauge.operators import alerting, anomaly, fleet, forecast
 from tidegauge.streaming import machines, monitors as mo, outbox
 from tidegauge.streaming.inorder import SlotBuffer
 from tidegauge.sources import ingest
@@ -192,6 +192,31 @@ def test_outbox_of_a_killed_stream_is_that_of_the_batch(spark, tmp_path):
     assert len(set(ids)) == len(ids)
 
 
+def test_every_refit_is_a_batch_fit_of_its_window(spark, tmp_path):
+    """Past 40 points the window is full and every point fits again."""
+    rows = samples(spark, arrivals(spark, tmp_path, 3))
+    models = drain(mo.refits(rows, ["name"], "event_id", DELAY, every=10, kept=40), "t-refit").collect()
+    points = sorted(fx.metrics(spark, SMALL).select("name", "ts", "event_id", "value").collect(), key=lambda r: (r["ts"], r["event_id"]))
+    limit = final_watermark(points)
+    windows, at = {}, {}
+    for r in points:
+        held = windows.setdefault(r["name"], [])
+        held.append(r)
+        del held[:-40]
+        if r["ts"] <= limit and len(held) % 10 == 0:
+            at[(r["name"], r["ts"])] = list(held)
+    got = {(r["name"], r["at"].replace(tzinfo=None)): r for r in models}
+    assert got.keys() == at.keys() and len(got) > 500
+    chosen = random.Random(3).sample(sorted(at), 25)
+    batch = [(f"{n}|{t}", p["ts"], p["event_id"], p["value"]) for n, t in chosen for p in at[(n, t)]]
+    fits = forecast.fit(spark.createDataFrame(batch, "series string, ts timestamp_ntz, id long, value double"), ["series"], ["ts", "id"])
+    for fit in fits.collect():
+        name, _, stamp = fit["series"].partition("|")
+        model = got[(name, datetime.fromisoformat(stamp))]
+        assert model["n"] == fit["n"] and model["season"] == pytest.approx(fit["season"])
+        assert (model["slope"], model["intercept"], model["variance"]) == pytest.approx((fit["slope"], fit["intercept"], fit["variance"]))
+
+
 class Counted(dict):
     """A map state that counts what is read."""
 
@@ -281,3 +306,10 @@ def test_json_batches_become_stored_samples(spark, tmp_path):
     got = stored.select("unit", F.col("labels")["node"], "value")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert {r[0] for r in stored.select(F.col("labels")["collector"]).distinct().collect()} == {"system"}
+
+
+def test_health_wakes_after_every_long_silence():
+    """Also after a beat whose successor in the same slot comes late: the watermark may end between them."""
+    hour = 3_600_000_000
+    wakes = set(machines.Health("node", hour, 3).wakes(pd.DataFrame({"us": [5 * hour, 0, 5 * hour - 10, hour // 2]})))
+    assert wakes == {at + n * hour + 1 for at in (hour // 2, 5 * hour) for n in (1, 3)}

@@ -63,7 +63,7 @@ class Forest:
         self._keys, self._ident, self._seed = keys, ident, seed
 
     def fit(self, samples: DataFrame) -> DataFrame:
-        return forest.train(forest.training_pool(samples, self._keys, self._ident, seed=self._seed), self._keys, seed=self._seed)
+        return forest.fit(samples, self._keys, self._ident, seed=self._seed)
 
     def score(self, samples: DataFrame, model: DataFrame) -> DataFrame:
         return forest.score(samples, model, self._keys, self._ident)

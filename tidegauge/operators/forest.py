@@ -44,10 +44,8 @@ def retained(samples: DataFrame, keys: list[str], order: list[str], sample: int
     return newest_per_group(samples, keys, [F.col(c).desc() for c in order], sample * KEPT_SAMPLES)
 
 
-def training_pool(
-    samples: DataFrame, keys: list[str], ident: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = 0
-) -> DataFrame:
-    """Each tree's own ``sample`` rows of each series: those with the smallest hashes of identity and tree.
+def _candidates(samples: DataFrame, keys: list[str], ident: list[str], trees: int, sample: int, seed: int) -> DataFrame:
+    """Rows that any tree may draw, once each, with the hashes of those trees as ``hash * trees + tree``.
 
     The draw depends on seed and data only, not on partitions, retries or the
     length of the series.  Rows whose hash is too large to be among a tree's
@@ -58,12 +56,18 @@ def training_pool(
     counts = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hashed = attach(samples.select(*keys, "value", F.xxhash64(F.lit(seed), *keys, *ident).alias("_row")), counts, keys)
     limit = F.lit(float(MARGIN * sample * _RANGE)) / F.col("_n")
-    draws = F.transform(
-        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.pmod(F.xxhash64("_row", t), F.lit(_RANGE)).alias("hash"))
-    )
-    drawn = hashed.select(*keys, "value", "_row", F.explode(F.filter(draws, lambda d: d["hash"] < limit)).alias("_d"))
-    rows = drawn.select(*keys, "value", "_row", F.col("_d.tree").alias("_tree"), F.col("_d.hash").alias("_hash"))
-    return top_n(rows, [*keys, "_tree"], [F.col("_hash"), F.col("_row"), F.col("value")], sample, "_draw").drop("_row")
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("_row", t), F.lit(_RANGE)) * trees + t)
+    kept = F.filter(draws, lambda d: F.floor(d / F.lit(trees)) < limit)
+    return hashed.select(*keys, "value", "_row", kept.alias("_draws")).filter(F.size("_draws") > 0)
+
+
+def training_pool(
+    samples: DataFrame, keys: list[str], ident: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = 0
+) -> DataFrame:
+    """Each tree's own ``sample`` rows of each series: those with the smallest hashes of identity and tree."""
+    rows = _candidates(samples, keys, ident, trees, sample, seed).withColumn("_d", F.explode("_draws"))
+    drawn = rows.select(*keys, "value", "_row", (F.col("_d") % trees).cast("int").alias("_tree"), F.floor(F.col("_d") / F.lit(trees)).alias("_hash"))
+    return top_n(drawn, [*keys, "_tree"], [F.col("_hash"), F.col("_row"), F.col("value")], sample, "_draw").drop("_row")
 
 
 def train(pool: DataFrame, keys: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = 0) -> DataFrame:
@@ -71,32 +75,61 @@ def train(pool: DataFrame, keys: list[str], trees: int = TREES, sample: int = SA
 
     A group is at most ``trees * sample`` rows.
     """
-    depth = math.ceil(math.log2(sample))
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        if (rows["_tree"] == rows["_tree"].iloc[0]).sum() < MIN_SAMPLES:
-            return pd.DataFrame(columns=[*keys, "from_value", "path"])
         rows = rows.sort_values(["_tree", "_draw"])
-        # The first hash differs between series and seeds; it seeds the splits.
-        random = np.random.default_rng([seed, int(rows["_hash"].iloc[0])])
-        starts, changes = [], []
-        for _, drawn in rows.groupby("_tree")["value"]:
-            drawn = drawn.to_numpy(dtype=float)
-            at, path = _leaves(np.sort(drawn), depth, random)
-            starts.append(at)
-            changes.append(np.diff(path, prepend=0.0))
-        starts, changes = np.concatenate(starts), np.concatenate(changes)
-        points, where = np.unique(starts, return_inverse=True)
-        paths = np.cumsum(np.bincount(where, weights=changes)) / trees
-        out = pd.DataFrame({"from_value": points, "path": paths})
-        for key in keys:
-            out[key] = rows[key].iloc[0]
-        return out
-
-    fields = {f.name: f.dataType.simpleString() for f in pool.schema}
-    schema = ", ".join([f"{k} {fields[k]}" for k in keys] + ["from_value double", "path double"])
-    slim = pool.select(*keys, "value", "_tree", "_hash", "_draw")
-    return slim.groupBy(*keys).applyInPandas(grow, schema)
+        return _steps(rows, keys, rows["value"].to_numpy(dtype=float), rows["_tree"].to_numpy(), int(rows["_hash"].iloc[0]), trees, sample, seed)
+
+    return pool.select(*keys, "value", "_tree", "_hash", "_draw").groupBy(*keys).applyInPandas(grow, _step_schema(pool, keys))
+
+
+def fit(samples: DataFrame, keys: list[str], ident: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = 0) -> DataFrame:
+    """The same steps straight from the samples: a row is shuffled once, and each tree takes its rows where they meet.
+
+    A group is at most ``MARGIN * trees * sample`` rows and draws.
+    """
+    rows = _candidates(samples, keys, ident, trees, sample, seed)
+
+    def grow(group: pd.DataFrame) -> pd.DataFrame:
+        each = group["_draws"].str.len().to_numpy()
+        draws = np.concatenate(group["_draws"].to_numpy())
+        at = np.repeat(np.arange(len(group)), each)
+        tree, hashes = draws % trees, draws // trees
+        value = group["value"].to_numpy(dtype=float)
+        order = np.lexsort((value[at], group["_row"].to_numpy()[at], hashes, tree))
+        tree = tree[order]
+        place = np.arange(len(order)) - np.searchsorted(tree, tree)
+        taken = order[place < sample]
+        return _steps(group, keys, value[at[taken]], tree[place < sample], int(hashes[order[0]]), trees, sample, seed)
+
+    return rows.groupBy(*keys).applyInPandas(grow, _step_schema(rows, keys))
+
+
+def _step_schema(rows: DataFrame, keys: list[str]) -> str:
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return ", ".join([f"{k} {fields[k]}" for k in keys] + ["from_value double", "path double"])
+
+
+def _steps(group: pd.DataFrame, keys: list[str], value: np.ndarray, tree: np.ndarray, first_hash: int, trees: int, sample: int, seed: int) -> pd.DataFrame:
+    """One series' averaged step function out of its drawn values, sorted by tree."""
+    bounds = np.flatnonzero(np.diff(tree, prepend=-1, append=trees))
+    if bounds[1] - bounds[0] < MIN_SAMPLES:
+        return pd.DataFrame(columns=[*keys, "from_value", "path"])
+    depth = math.ceil(math.log2(sample))
+    # The first hash differs between series and seeds; it seeds the splits.
+    random = np.random.default_rng([seed, first_hash])
+    starts, changes = [], []
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        at, path = _leaves(np.sort(value[a:b]), depth, random)
+        starts.append(at)
+        changes.append(np.diff(path, prepend=0.0))
+    starts, changes = np.concatenate(starts), np.concatenate(changes)
+    points, where = np.unique(starts, return_inverse=True)
+    paths = np.cumsum(np.bincount(where, weights=changes)) / trees
+    out = pd.DataFrame({"from_value": points, "path": paths})
+    for key in keys:
+        out[key] = group[key].iloc[0]
+    return out
 
 
 def _leaves(values: np.ndarray, depth: int, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:

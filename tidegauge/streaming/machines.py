@@ -8,10 +8,12 @@ from datetime import timedelta
 import numpy as np
 import pandas as pd
 
+from tidegauge.operators.forecast import MIN_VARIANCE
 from tidegauge.streaming.inorder import SLOT, InOrder
 
 #: Rows that the weighted average takes in one matrix product.
 EWMA_BLOCK = 128
+DAY_US, HOUR_US = 86_400_000_000, 3_600_000_000
 
 
 def growths(state, rows: pd.DataFrame):
@@ -58,6 +60,38 @@ def ewma(alpha: float, limit: float, tie: str):
     return fold
 
 
+def refits(kept: int, every: int):
+    """A model of the newest ``kept`` points whenever their number is a multiple of ``every``; once full, at each point."""
+
+    def fold(state, rows: pd.DataFrame):
+        us, value = (np.array(c) for c in (state if state is not None else ([], [])))
+        held = len(us)
+        us, value = np.append(us, rows["us"]).astype(np.int64), np.append(value, rows["value"])
+        found = []
+        for end in range(held + 1, len(us) + 1):
+            if min(end, kept) % every == 0:
+                some = slice(max(0, end - kept), end)
+                found.append((int(us[end - 1]), min(end, kept), *fitted(us[some], value[some])))
+        out = pd.DataFrame(found, columns=["at_us", "n", "slope", "intercept", "season", "variance"])
+        return (us[-kept:].tolist(), value[-kept:].tolist()), out
+
+    return fold
+
+
+def fitted(us: np.ndarray, value: np.ndarray) -> tuple[float, float, list[float], float]:
+    """Line, hours of the day and variance of points in order, as the batch forecast fits them."""
+    x = np.arange(len(value)) - (len(value) - 1) / 2
+    mean, spread = value.mean(), (x * x).sum()
+    slope = float((x * (value - mean)).sum() / spread) if spread else 0.0
+    left = value - mean - slope * x
+    hour = us % DAY_US // HOUR_US
+    count = np.bincount(hour, minlength=24)
+    hours = np.bincount(hour, left, 24) / np.maximum(count, 1)
+    season = hours - hours.mean()
+    variance = float(((left - season[hour]) ** 2).mean())
+    return slope, float(mean - slope * (len(value) - 1) / 2), season.tolist(), max(variance, MIN_VARIANCE)
+
+
 def transitions(series: np.ndarray, us: np.ndarray, breach: np.ndarray, active: np.ndarray, fired: np.ndarray, hold_us: int):
     """What happens to the alerts of one rule over rows sorted by (series, time).
 
@@ -272,9 +306,9 @@ class SlidingSums(InOrder):
 class Health(InOrder):
     """Status changes of a node: silence longer than one and than three timeouts, and the beat that ends it.
 
-    Beats that are due settle the outages between them.  For the newest beat of
-    each slot that arrives, timers are set at the ends of its two silences; one
-    that a later beat has overtaken finds nothing to do.
+    Beats that are due settle the outages between them.  For each beat that
+    arrives without another one within the timeout, timers are set at the ends of
+    its two silences; one that a later beat has overtaken finds nothing to do.
     """
 
     def __init__(self, node: str, timeout_us: int, offline_after: int, slot: timedelta = SLOT):
@@ -285,8 +319,9 @@ class Health(InOrder):
         self._seen = handle.getValueState("seen", "us bigint, told int")
 
     def wakes(self, rows: pd.DataFrame) -> Iterable[int]:
-        newest = rows["us"].groupby(rows["us"] // self._width).max()
-        return (int(us) + after + 1 for us in newest for _, after in self._steps)
+        us = np.sort(rows["us"].to_numpy())
+        quiet = us[np.append(np.diff(us) > self._steps[0][1], True)]
+        return (int(at) + after + 1 for at in quiet for _, after in self._steps)
 
     def advance(self, rows, now):
         seen, told = self._seen.get() if self._seen.exists() else (None, 0)

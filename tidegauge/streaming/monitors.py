@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.functions.timing import as_micros, bucket_origin, micros
 from tidegauge.operators.fleet import OFFLINE_AFTER
+from tidegauge.operators.forecast import KEPT_POINTS
 from tidegauge.streaming import machines
 from tidegauge.streaming.inorder import SLOT, Folded, run_in_order
 
 #: Parts of a metric's series in a stream of rules; each sees every change of the metric's rules.
 LANES = 16
+# Fixed value: points between two fits of an updated forecast.
+REFIT_EVERY = 100
 
 
 def text(span: timedelta) -> str:
@@ -85,6 +88,21 @@ def alert_transitions(
     )
 
 
+def refits(
+    points: DataFrame, keys: list[str], tie: str, delay: timedelta, every: int = REFIT_EVERY, kept: int = KEPT_POINTS, slot: timedelta = SLOT
+) -> DataFrame:
+    """A new forecast model of a series' newest ``kept`` points whenever it holds a multiple of ``every``.
+
+    State is those points.  A series that is full has a multiple at every point,
+    as the original rule says; ``at`` is the time of the point that caused the fit.
+    """
+    machine = Folded(keys, "us array<bigint>, value array<double>", machines.refits(kept, every), slot)
+    models = run_in_order(
+        _rows(points, keys, tie, delay), keys, machine, "at_us bigint, n bigint, slope double, intercept double, season array<double>, variance double"
+    )
+    return models.select(*keys, F.timestamp_micros("at_us").alias("at"), "n", "slope", "intercept", "season", "variance")
+
+
 def firing_notices(
     samples: DataFrame, keys: list[str], tie: str, threshold: float, hold: timedelta, delay: timedelta, slot: timedelta = SLOT
 ) -> DataFrame:

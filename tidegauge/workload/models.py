@@ -82,7 +82,7 @@ def ewma_bounds(spark, folder):
 
 
 def _forest(samples):
-    return fo.train(fo.training_pool(samples, fx.KEYS, fx.TIE), fx.KEYS)
+    return fo.fit(samples, fx.KEYS, fx.TIE)
 
 
 @query()

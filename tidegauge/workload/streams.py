@@ -108,6 +108,23 @@ def stream_outbox(spark, folder):
     return plain(spark.read.parquet(path)).select("node", "sent_at", "channel")
 
 
+@query(
+    f"""WITH {METRICS}, pt AS (SELECT name, node, ts, value, row_number() OVER (PARTITION BY name, node ORDER BY ts, event_id) AS rn FROM m WHERE ts <= {WATERMARK}),
+    rf AS (SELECT name, node, rn, ts AS "at" FROM pt WHERE least(rn, 1000) % 20 = 0),
+    wn AS (SELECT rf.*, p.value, p.rn - greatest(rf.rn - 1000, 0) - 1 AS x, hour(p.ts) AS h FROM rf JOIN pt p ON p.name = rf.name AND p.node = rf.node AND p.rn <= rf.rn AND p.rn > rf.rn - 1000),
+    ft AS (SELECT name, node, rn, "at", count(*) AS n, regr_slope(value, x) AS slope, regr_intercept(value, x) AS intercept FROM wn GROUP BY ALL),
+    hr AS (SELECT name, node, rn, h, avg(value - intercept - slope * x) AS mean, sum((value - intercept - slope * x) ** 2) AS sq, count(*) AS c FROM wn JOIN ft USING (name, node, rn) GROUP BY ALL),
+    sn AS (SELECT name, node, rn, sum(mean) / 24 AS centre, sum(sq - c * mean * mean) / sum(c) AS inside, coalesce(max(mean) FILTER (h = 6), 0) AS six FROM hr GROUP BY ALL)
+    SELECT name, node, "at", n, {q6("slope")} AS slope, {q6("intercept")} AS intercept, {q6("six - centre")} AS six, {q6("greatest(inside + centre * centre, 0.01)")} AS variance
+    FROM ft JOIN sn USING (name, node, rn)"""
+)
+def stream_refit(spark, folder):
+    """Forecast models that a stream fits again at every twentieth point of a series; of the season the hour from six on is shown."""
+    models = mo.refits(samples(spark, folder), fx.KEYS, "event_id", HOUR, every=20, slot=DAY)
+    rows = plain(drain(models, "refit")).withColumn("six", F.get("season", 6)).drop("season")
+    return rows.withColumns({c: fx.comparable(F.col(c)) for c in ("slope", "intercept", "six", "variance")})
+
+
 @query(f"""WITH {RULE_LOG} SELECT * FROM rule_log l WHERE l."at" <= {WATERMARK}""")
 def stream_rules(spark, folder):
     """Rules of every metric change while the samples stream in; the log is that of the batch."""
