@@ -50,10 +50,10 @@ FILE_MAGIC = 0x464C4944
 END_ID = 2
 FILE_IDS = 1 << 19
 #: Bytes of text encoded at a time, and ids read at a time.
-SLICE = 1 << 20
+SLICE = 2 << 20
 BLOCK = 1 << 16
 #: Parts that a worker remembers, and parts in one call of the library.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 CALL = 512
 
 _KEEP_CASE = np.arange(256, dtype=np.uint8)
@@ -187,23 +187,26 @@ class WordEncoder:
         if len(self._known) > REMEMBERED // 2:
             self._known, self._older = {}, self._known
         known, older = self._known, self._older
-        out = [known.get(w) or older.get(w) for w in distinct]
+        out = [*map(known.get, distinct)]
+        missing = [w for w, ids in zip(distinct, out) if ids is None]
+        # Parts still in use outlive the older half.
+        made = {w: older[w] for w in missing if w in older}
         single, other = [], []
-        for w in (w for w, ids in zip(distinct, out) if ids is None):
-            text = w.decode()
-            (single if text.isalpha() or (cut and text.isascii() and "'" not in text) else other).append(text)
+        for w in missing:
+            if w not in older:
+                (single if w.isalpha() or (cut and w.isascii() and b"'" not in w) or w.decode().isalpha() else other).append(w)
         groups = [single[i : i + CALL] for i in range(0, len(single), CALL)]
-        made = {}
-        for group, encoding in zip(groups, self._batch([" ".join(g) for g in groups])):
+        for group, encoding in zip(groups, self._batch([b" ".join(g).decode() for g in groups])):
             ids = np.array(encoding.ids, np.uint32)
             ends = np.flatnonzero(self._ends_word[ids]) + 1
             if len(ends) != len(group) or ends[-1] != len(ids):
                 # Lower case or composition made something else of a part.
                 other += group
                 continue
-            raw, ends = ids.tobytes(), 4 * ends
-            made.update((t.encode(), raw[a:b]) for t, a, b in zip(group, [0, *ends], ends))
-        made.update((t.encode(), array("I", e.ids).tobytes()) for t, e in zip(other, self._batch(other)))
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            made.update(zip(group, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        if other:
+            made.update((w, array("I", e.ids).tobytes()) for w, e in zip(other, self._batch([w.decode() for w in other])))
         known.update(made)
         return [made[w] if ids is None else ids for w, ids in zip(distinct, out)]
 

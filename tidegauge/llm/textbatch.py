@@ -93,11 +93,15 @@ def words(column: pa.Array, inside: np.ndarray = NOT_SPACE, mapped: np.ndarray =
     begins[first] = keep[first]
     at = np.flatnonzero(begins)
     packed = mapped[data[keep]]
-    bounds = np.append(np.cumsum(keep)[at] - 1, len(packed))
+    bounds = np.append(at - np.searchsorted(np.flatnonzero(~keep), at), len(packed))
     encoded = strings(packed, bounds).dictionary_encode()
-    return Words(
-        encoded.indices.to_numpy().astype(np.int64), encoded.dictionary.to_pylist(), np.searchsorted(at, offsets)
-    )
+    return Words(encoded.indices.to_numpy().astype(np.int64), _pieces(encoded.dictionary), np.searchsorted(at, offsets))
+
+
+def _pieces(column: pa.Array) -> list[bytes]:
+    data, bounds = text_bytes(column)
+    raw, ends = data.tobytes(), bounds.tolist()
+    return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
