@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame, functions as F
 from tidegauge.llm.textbatch import sliced, strings, text_bytes
 
 VOCABULARY_BYTES = 64 << 20
+#: Bytes of text encoded at a time.
+SLICE = 1 << 20
 REMEMBERED = 300_000
 #: Cells of the trees that are worked on at a time.
 CELLS = 1 << 20
@@ -271,7 +273,7 @@ def encoded(documents: DataFrame, vocabulary: str, id: str = "doc_id", text: str
     shared = documents.sparkSession.sparkContext.broadcast(content)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             model = loaded(name, shared)
             all_ids, bounds = model.encode(batch.column("text"))
             texts = model.decode(all_ids, bounds)

@@ -44,6 +44,8 @@ VALUE = 1024
 TAUGHT = 30
 CANDIDATE = 6
 ODDS = 8.0
+#: Bytes of text scanned at a time; a worker holds some fifty bytes of arrays for each.
+SLICE = 1 << 20
 MARKS = "".join(CLASSES[ALPHANUMERIC:])
 
 #: The base patterns, with the characters that a match must have.
@@ -127,7 +129,7 @@ def learnt(documents: DataFrame, text: str = "text") -> tuple[list[Automaton], B
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(sum(_COUNTS), np.int64)
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             part = _Slice(batch.column("text"))
             lengths, follows = background_counts(part.symbols, part.starts, part.ends)
             counts += np.concatenate((lengths, follows.ravel()))
@@ -160,7 +162,7 @@ def scanned(documents: DataFrame, id: str = "doc_id", text: str = "text", least:
         return [{"start": start, "kind": kind, "end": end} for start, kind, end, _ in spans]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             part = _Slice(batch.column("text"))
             base, every = map(plain, part.base), map(plain, part.spans(*shared.value, least))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(list(base), pa.list_(_SPAN)), pa.array(list(every), pa.list_(_SPAN))], ["doc", "base", "spans"])
@@ -181,7 +183,7 @@ def redacted(documents: DataFrame, text: str = "text", length: str | None = None
     shared = documents.sparkSession.sparkContext.broadcast(learnt(documents, text))
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, text, SLICE):
             part = _Slice(batch.column(text))
             spans = part.spans(*shared.value, least)
             if any(spans):
