@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tidegauge.functions.timing import as_micros, instant, micros
 from tidegauge.plans import scratch
 from tidegauge.plans.small import spec_table
-from tidegauge.plans.ordered import Ordered, Previous, RunningLast, covered
+from tidegauge.plans.ordered import Ordered, Previous, RunningLast, asof, covered
 
 
 @dataclass(frozen=True)
@@ -174,24 +174,28 @@ def current_rules(changes: DataFrame, as_of, order: list[str]) -> DataFrame:
 
 
 def rule_versions(changes: DataFrame, order: list[str]) -> DataFrame:
-    """How each rule of each metric stood from one change to the next.
+    """How each rule of each metric stood from each change on, until its next one.
 
     ``changes`` have ``name`` (the metric), ``rule``, ``op``, ``ts``, and for a
-    put ``operator``, ``threshold`` and ``hold_us``; the result adds ``since``,
-    ``until`` (null for the last) and ``alive``.  A put starts enabled; after a
-    delete only a put brings the rule back.
+    put ``operator``, ``threshold`` and ``hold_us``; the result has ``since`` and
+    the rest of ``order``, those terms, ``alive``, and ``gone_at``, the next time
+    at which the rule is gone.  A put starts enabled; after a delete only a put
+    brings the rule back.
     """
-    rule = Window.partitionBy("name", "rule").orderBy(*order)
-    so_far = rule.rowsBetween(Window.unboundedPreceding, 0)
+    rule = Window.partitionBy("name", "rule")
+    so_far = rule.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    to_come = rule.orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     op, parts = F.col("op"), ("operator", "threshold", "hold_us")
     # The definition that the latest put or delete left, and the latest switch.
     put = F.struct(*parts, F.lit(True).alias("there"))
     gone = F.struct(*[F.lit(None).cast(changes.schema[c].dataType).alias(c) for c in parts], F.lit(False).alias("there"))
     known = F.last(F.when(op == "put", put).when(op == "delete", gone), ignorenulls=True).over(so_far)
     switch = F.last(F.when(op.isin("put", "enable"), True).when(op == "disable", False), ignorenulls=True).over(so_far)
-    rows = changes.withColumns({"_known": known, "_switch": switch, "until": F.lead("ts").over(rule)})
     alive = F.coalesce(F.col("_known.there") & F.col("_switch"), F.lit(False))
-    return rows.select("name", "rule", F.col("ts").alias("since"), "until", *[F.col(f"_known.{c}").alias(c) for c in parts], alive.alias("alive"))
+    rows = changes.withColumns({"_known": known, "_switch": switch}).withColumn("alive", alive)
+    gone_at = F.last(F.when(~F.col("alive"), F.col("ts")), ignorenulls=True).over(to_come)
+    terms = [F.col(f"_known.{c}").alias(c) for c in parts]
+    return rows.select("name", "rule", F.col("ts").alias("since"), *order[1:], *terms, "alive", gone_at.alias("gone_at"))
 
 
 def alert_log(samples: DataFrame, changes: DataFrame, keys: list[str], tie: str) -> DataFrame:
@@ -200,23 +204,27 @@ def alert_log(samples: DataFrame, changes: DataFrame, keys: list[str], tie: str)
     Every sample is judged by the rules of its metric as they stood at its
     time, changes of the same time included.  What disables or deletes a rule
     resolves its open alerts; a put goes on with them under the new terms.
+
+    A sample meets each rule of its metric once, as an as-of lookup among the
+    rule's versions, so the rows do not grow with the number of changes.
     """
-    versions = rule_versions(changes, ["ts", tie])
-    named = samples.select("name", *keys, "ts", F.col(tie).cast("bigint").alias("tie"), "value")
-    alive = versions.filter("alive").drop("alive").withColumnRenamed("name", "_metric")
-    then = (F.col("ts") >= F.col("since")) & (F.col("until").isNull() | (F.col("ts") < F.col("until")))
-    matched = named.join(alive, (named["name"] == alive["_metric"]) & then)
-    columns = ["name", "rule", *keys, "ts", F.lit(1).alias("kind"), "tie", "value", "hold_us"]
-    judged = matched.select(*columns, compare(F.col("value"), F.col("operator"), F.col("threshold")).alias("breach"))
-    # A rule that goes away is a sample that breaches nothing, for each series that it found a breach in.
-    series = judged.filter("breach").select("name", "rule", *keys).distinct()
-    ends = versions.filter(~F.col("alive")).select("name", "rule", F.col("since").alias("ts")).distinct()
-    closing = series.join(ends, ["name", "rule"]).select(
+    versions = scratch.cut(rule_versions(changes, ["ts", tie])).filter(F.col("since").isNotNull())
+    # Stored on its own, so that its size is known when the join is planned.
+    rules = scratch.cut(versions.select(F.col("name").alias("_metric"), "rule").distinct())
+    named = samples.select("name", *keys, "ts", F.col(tie).cast("bigint").alias("tie"), "value").filter(F.col("ts").isNotNull())
+    asked = named.join(rules, named["name"] == rules["_metric"]).drop("_metric")
+    terms = ["operator", "threshold", "hold_us", "alive", "gone_at"]
+    stood = asof(asked, versions, ["name", "rule"], ["ts", "tie"], ["since", tie], terms).filter("alive")
+    breach = compare(F.col("value"), F.col("operator"), F.col("threshold")).alias("breach")
+    judged = scratch.cut(stood.select("name", "rule", *keys, "ts", F.lit(1).alias("kind"), "tie", "value", "hold_us", breach, "gone_at"))
+    # A rule that goes away is a sample that breaches nothing, for each series that it found a breach in since it was last away.
+    open_until = judged.filter(F.col("breach") & F.col("gone_at").isNotNull() & F.col("rule").isNotNull())
+    closing = open_until.select("name", "rule", *keys, F.col("gone_at").alias("ts")).distinct().select(
         "name", "rule", *keys, "ts", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("tie"), F.lit(None).cast("double").alias("value"),
         F.lit(0).cast("bigint").alias("hold_us"), F.lit(False).alias("breach"),
     )
     hold = F.lit(timedelta(microseconds=1)) * F.col("hold_us")
-    found = alerts(judged.unionByName(closing), ["name", "rule", *keys], ["kind", "tie"], F.col("breach"), hold)
+    found = alerts(judged.drop("gone_at").unionByName(closing), ["name", "rule", *keys], ["kind", "tie"], F.col("breach"), hold)
     waited = F.col("fired_at").isNull() | (F.col("fired_at") > F.col("active_at"))
     steps = (("pending", F.when(waited, F.col("active_at"))), ("firing", F.col("fired_at")), ("resolved", F.col("resolved_at")))
     each = F.array(*[F.struct(F.lit(n).alias("transition"), at.alias("at")) for n, at in steps])
