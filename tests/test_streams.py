@@ -14,7 +14,7 @@ from tidegauge.operators import alerting, anomaly, fleet, forecast
 from tidegauge.streaming import machines, monitors as mo, outbox
 from tidegauge.streaming.inorder import SlotBuffer
 from tidegauge.sources import ingest
-from tidegauge.streaming.run import drain, read_batches, read_events
+from tidegauge.streaming.run import ROCKSDB, drain, read_batches, read_events, settings
 from tidegauge.workload.alerts import rule_feed
 from tidegauge.workload.storage import batches, sessions
 from tidegauge.workload.streams import late_report, samples
@@ -313,3 +313,50 @@ def test_health_wakes_after_every_long_silence():
     hour = 3_600_000_000
     wakes = set(machines.Health("node", hour, 3).wakes(pd.DataFrame({"us": [5 * hour, 0, 5 * hour - 10, hour // 2]})))
     assert wakes == {at + n * hour + 1 for at in (hour // 2, 5 * hour) for n in (1, 3)}
+
+
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def beats_of(nodes, beats, gap):
+    """Beats of every node at its own millisecond."""
+    start = datetime(2024, 1, 1)
+    return [(b * nodes + n, start + b * gap + timedelta(milliseconds=7 * n), n, "view", 1.0, "{}") for b in range(beats) for n in range(nodes)]
+
+
+def test_health_timers_do_not_grow_with_nodes(spark, tmp_path):
+    """Nodes of a lane share their state and their timers, whenever their beats and silences end."""
+    timers = []
+    for nodes in (30, 300):
+        folder, name = tmp_path / f"in-{nodes}", f"t_health_{nodes}"
+        spark.createDataFrame(beats_of(nodes, 6, 20 * HOUR), EVENTS).coalesce(1).write.parquet(str(folder))
+        log = mo.health(samples(spark, str(folder)), "machine", 6 * HOUR, HOUR)
+        with settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
+            query = log.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+            query.awaitTermination()
+        # The last round of beats lies past the watermark.
+        found = {r["status"]: r["count"] for r in spark.table(name).groupBy("status").count().collect()}
+        assert found == {"healthy": 5 * nodes, "unhealthy": 5 * nodes, "offline": 5 * nodes}
+        timers.append(sum(op.customMetrics["numRegisteredTimers"] for p in query.recentProgress for op in p.stateOperators) / nodes)
+    assert 0 < timers[1] < 0.5 * timers[0]
+
+
+@pytest.mark.parametrize("files", [1, 7])
+def test_health_of_lanes_equals_batch(spark, tmp_path, files):
+    """Nodes without a name, repeated beats, one node with most of the beats."""
+    rng = random.Random(12)
+    start = datetime(2024, 1, 1)
+    users = [None, 1, 2, 3, 4] + [5] * 10 + list(range(6, 30))
+    rows = [(i, start + timedelta(minutes=rng.randrange(0, 6000)), rng.choice(users), "view", 1.0, "{}") for i in range(900)]
+    rows += rows[:40]
+    size = -(-len(rows) // files)
+    rows.sort(key=lambda r: r[1] + timedelta(hours=rng.uniform(0, 10)))
+    for n in range(files):
+        spark.createDataFrame(rows[n * size : (n + 1) * size], EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    log = drain(mo.health(samples(spark, str(tmp_path / "in")), "machine", 6 * HOUR, DELAY, lanes=3), "t-lanes")
+    spark.createDataFrame(rows, EVENTS).write.parquet(str(tmp_path / "all" / "events.parquet"))
+    beats = fx.heartbeats(spark, str(tmp_path / "all"))
+    limit = final_watermark(beats.select("ts").collect())
+    got = cut_log(log.withColumnRenamed("machine", "node"), limit, "node", "status", "at", "last_seen")
+    assert got == cut_log(fleet.transitions(beats, 6 * HOUR, fx.TIE, limit), limit, "node", "status", "at", "last_seen")
+    assert {r[0] for r in got} >= {None, "node-5"} and {r[1] for r in got} == {"healthy", "unhealthy", "offline"}

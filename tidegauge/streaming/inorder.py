@@ -26,6 +26,9 @@ from tidegauge.functions.timing import as_micros
 #: Width of a slot.  A timer reads the rows of one slot, so many rows in a short time want narrow slots.
 SLOT = timedelta(hours=6)
 
+#: Arriving rows of a key that are dealt to their slots at a time.
+GATHERED = 100_000
+
 # Rows carry their time as microseconds next to a tie-breaker and a value.
 ROW_NAMES = ("us", "tie", "value")
 
@@ -42,6 +45,20 @@ def unpacked(raw: bytes) -> pd.DataFrame:
     return pa.ipc.open_stream(raw).read_pandas()
 
 
+def _gathered(parts: Iterable[pd.DataFrame], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows in fewer parts, each of ``GATHERED`` rows or a little more: a slot then gets few pieces of an arrival."""
+    held, rows = [], 0
+    for part in parts:
+        if len(part):
+            held.append(part[columns])
+            rows += len(part)
+        if rows >= GATHERED:
+            yield pd.concat(held, ignore_index=True)
+            held, rows = [], 0
+    if held:
+        yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+
+
 class SlotBuffer:
     """Waiting rows by slot: ``pieces`` (slot, number) -> bytes, ``counts`` slot -> pieces."""
 
@@ -74,6 +91,10 @@ class SlotBuffer:
         self._append(slot, later)
         return rows.iloc[:ready], int(later["us"].iloc[0])
 
+    def slots(self, upto: int) -> list[int]:
+        """Slots with waiting rows that begin at ``upto`` or before, in order."""
+        return sorted(slot for (slot,) in self._counts.keys() if slot * self._width <= upto)
+
     def _append(self, slot: int, rows: pd.DataFrame) -> None:
         known = self._counts.getValue((slot,))
         number = known[0] if known is not None else 0
@@ -111,13 +132,11 @@ class InOrder(StatefulProcessor):
         return ()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            if len(part):
-                part = part[self._columns]
-                for us in self._buffer.add(part):
-                    self._handle.registerTimer(us // 1000 + 1)
-                for us in self.wakes(part):
-                    self._handle.registerTimer(-(-us // 1000))
+        for part in _gathered(rows, self._columns):
+            for us in self._buffer.add(part):
+                self._handle.registerTimer(us // 1000 + 1)
+            for us in self.wakes(part):
+                self._handle.registerTimer(-(-us // 1000))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -125,7 +144,9 @@ class InOrder(StatefulProcessor):
         rows, following = self._buffer.due((now - 1) * 1000, timerValues.getCurrentWatermarkInMs() * 1000)
         if following is not None:
             self._handle.registerTimer(following // 1000 + 1)
-        output = self.advance(rows, now * 1000)
+        yield from self._keyed(key, self.advance(rows, now * 1000))
+
+    def _keyed(self, key, output: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
         if output is not None and len(output):
             for name, value in zip(self._keys, key):
                 output.insert(0, name, value)

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 
 from tidegauge.operators.forecast import MIN_VARIANCE
-from tidegauge.streaming.inorder import SLOT, InOrder
+from tidegauge.streaming.inorder import SLOT, InOrder, packed, unpacked
 
 #: Rows that the weighted average takes in one matrix product.
 EWMA_BLOCK = 128
@@ -349,3 +349,89 @@ class Health(InOrder):
         self._seen.update((seen, told))
         parts = [pd.DataFrame({"at_us": at, "status": status, "last_seen_us": last}) for at, last, status in found if len(at)]
         return pd.concat(parts, ignore_index=True) if parts else None
+
+
+class FleetHealth(Health):
+    """The same for all nodes of one lane.
+
+    The first timer of a batch feeds all that is due, slot by slot, and then
+    tells the outages that the watermark has passed; the next silence of the lane
+    to end sets one timer.  Nodes are taken together as arrays, so a timer costs
+    the same for one node as for thousands.
+    """
+
+    def __init__(self, keys: list[str], node: str, timeout_us: int, offline_after: int, slot: timedelta = SLOT):
+        super().__init__(node, timeout_us, offline_after, slot)
+        self._keys, self._columns, self._node = keys, [node, "us"], node
+
+    def open(self, handle) -> None:
+        # Nodes with their latest beat and how many steps of the silence since then are told.
+        self._seen = handle.getValueState("seen", "nodes binary")
+        self._settled = handle.getValueState("settled", "ms bigint")
+
+    def wakes(self, rows: pd.DataFrame) -> Iterable[int]:
+        return ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if self._settled.exists() and self._settled.get()[0] >= watermark:
+            return
+        self._settled.update((watermark,))
+        upto = watermark * 1000
+        nodes = unpacked(self._seen.get()[0]) if self._seen.exists() else None
+        for slot in self._buffer.slots(upto):
+            rows, following = self._buffer.due(slot * self._width, upto)
+            if following is not None:
+                self._handle.registerTimer(following // 1000 + 1)
+            if len(rows):
+                nodes, output = self.fed(nodes, rows)
+                yield from self._keyed(key, output)
+        if nodes is not None:
+            nodes, output, following = self.silent(nodes, upto)
+            yield from self._keyed(key, output)
+            if following is not None:
+                self._handle.registerTimer(-(-following // 1000))
+            self._seen.update((packed(nodes),))
+
+    def fed(self, nodes: pd.DataFrame | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame | None]:
+        """Nodes after rows in order of time, and what these tell."""
+        held = 0 if nodes is None else len(nodes)
+        named = rows[self._node] if nodes is None else pd.concat([nodes[self._node], rows[self._node]])
+        codes, names = pd.factorize(named.astype(object), use_na_sentinel=False)
+        seen, told = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        if held:
+            seen[:held], told[:held] = nodes["us"], nodes["told"]
+        order = np.argsort(codes[held:], kind="stable")
+        node, us = codes[held:][order], rows["us"].to_numpy(np.int64)[order]
+        first = np.append(True, node[1:] != node[:-1])
+        fresh = first & (node >= held)
+        before = np.where(first, np.where(fresh, us, seen[node]), np.append(0, us[:-1]))
+        already = np.where(first, told[node], 0)
+        silence = us - before
+        found = [(node[fresh], us[fresh], us[fresh], "healthy")]
+        for number, (status, after) in enumerate(self._steps, 1):
+            late = (silence > after) & (already < number)
+            found.append((node[late], before[late] + after, before[late], status))
+        back = silence > self._steps[0][1]
+        found.append((node[back], us[back], us[back], "healthy"))
+        last = np.append(first[1:], True)
+        seen[node[last]], told[node[last]] = us[last], 0
+        return pd.DataFrame({self._node: names, "us": seen, "told": told}), self._log(names, found)
+
+    def silent(self, nodes: pd.DataFrame, now: int) -> tuple[pd.DataFrame, pd.DataFrame | None, int | None]:
+        """Nodes once ``now`` has come, what has become of them, and the time at which the next step can be told."""
+        seen, told = nodes["us"].to_numpy(), nodes["told"].to_numpy().copy()
+        found, ends = [], []
+        for number, (status, after) in enumerate(self._steps, 1):
+            due = np.flatnonzero((told < number) & (seen + after < now))
+            found.append((due, seen[due] + after, seen[due], status))
+            told[due] = number
+            ends.append(seen[told < number] + after + 1)
+        ends = np.concatenate(ends)
+        return nodes.assign(told=told), self._log(nodes[self._node], found), int(ends.min()) if len(ends) else None
+
+    def _log(self, names, found: list[tuple]) -> pd.DataFrame | None:
+        parts = [
+            pd.DataFrame({self._node: names.take(node), "at_us": at, "status": status, "last_seen_us": last}) for node, at, last, status in found if len(at)
+        ]
+        return pd.concat(parts, ignore_index=True) if parts else None

@@ -14,6 +14,8 @@ from tidegauge.streaming.inorder import SLOT, Folded, run_in_order
 
 #: Parts of a metric's series in a stream of rules; each sees every change of the metric's rules.
 LANES = 16
+#: Parts that a stream of heartbeats deals its nodes to; at least as many as the cluster has cores.
+NODE_LANES = 64
 # Fixed value: points between two fits of an updated forecast.
 REFIT_EVERY = 100
 
@@ -160,11 +162,17 @@ def ewma_scores(
     return rows.withColumn("ts", F.timestamp_micros("us")).drop("us")
 
 
-def health(beats: DataFrame, node: str, timeout: timedelta, delay: timedelta, slot: timedelta = SLOT) -> DataFrame:
-    """Every status change of every node, (node, status, at, last_seen), whatever beats arrived together."""
-    rows = beats.withWatermark("ts", text(delay)).select(node, "ts", micros(F.col("ts")).alias("us"))
-    machine = machines.Health(node, as_micros(timeout), OFFLINE_AFTER, slot)
-    changes = run_in_order(rows, [node], machine, "at_us bigint, status string, last_seen_us bigint")
+def health(beats: DataFrame, node: str, timeout: timedelta, delay: timedelta, slot: timedelta = SLOT, lanes: int = NODE_LANES) -> DataFrame:
+    """Every status change of every node, (node, status, at, last_seen), whatever beats arrived together.
+
+    Nodes are dealt to ``lanes`` state keys; a lane's nodes are kept and judged
+    together.  A stream that is started again must keep its lanes.
+    """
+    lane = F.pmod(F.xxhash64(node), F.lit(lanes)).cast("int").alias("_lane")
+    rows = beats.withWatermark("ts", text(delay)).select(lane, node, "ts", micros(F.col("ts")).alias("us"))
+    machine = machines.FleetHealth(["_lane"], node, as_micros(timeout), OFFLINE_AFTER, slot)
+    kind = beats.schema[node].dataType.simpleString()
+    changes = run_in_order(rows, ["_lane"], machine, f"{node} {kind}, at_us bigint, status string, last_seen_us bigint")
     return changes.select(
         node, "status", F.timestamp_micros("at_us").alias("at"), F.timestamp_micros("last_seen_us").alias("last_seen")
     )
