@@ -458,7 +458,7 @@ def test_ancestors_of_chains_diamonds_and_cycles(spark):
     assert found == want
 
 
-def _rule_history():
+def rule_history():
     """Samples and changes of two metrics, many at the same time, and rows without a time."""
     rng = random.Random(8)
     minutes = [T0 + i * MINUTE for i in range(60)]
@@ -472,7 +472,7 @@ def _rule_history():
     return samples + [("a", "x", None, 400, 9.0)], changes
 
 
-def _looped_log(samples, changes):
+def looped_log(samples, changes):
     """What happens, one row after the other."""
     tests = {">": lambda v: v > 5, "<": lambda v: v < 5, "!=": lambda v: v != 5}
     rules, live, log = {}, {}, []
@@ -507,10 +507,10 @@ def _looped_log(samples, changes):
 
 
 def _alert_log(spark):
-    samples, changes = _rule_history()
+    samples, changes = rule_history()
     rows = spark.createDataFrame(samples, "name string, node string, ts timestamp_ntz, id long, value double")
     changed = spark.createDataFrame(changes, "name string, rule string, ts timestamp_ntz, id long, op string, operator string, threshold double, hold_us long")
-    return alerting.alert_log(rows, changed, ["node"], "id"), _looped_log(samples, changes)
+    return alerting.alert_log(rows, changed, ["node"], "id"), looped_log(samples, changes)
 
 
 def test_alert_log_equals_a_loop(spark):

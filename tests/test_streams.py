@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
+from test_cases import looped_log, rule_history
 
 from tidegauge import fixtures as fx
 from tidegauge.operators import alerting, anomaly, fleet, forecast
@@ -360,3 +361,71 @@ def test_health_of_lanes_equals_batch(spark, tmp_path, files):
     got = cut_log(log.withColumnRenamed("machine", "node"), limit, "node", "status", "at", "last_seen")
     assert got == cut_log(fleet.transitions(beats, 6 * HOUR, fx.TIE, limit), limit, "node", "status", "at", "last_seen")
     assert {r[0] for r in got} >= {None, "node-5"} and {r[1] for r in got} == {"healthy", "unhealthy", "offline"}
+
+
+class Kept(dict):
+    """A map state that counts how often it is asked or told."""
+
+    calls = 0
+
+    def getValue(self, key):
+        Kept.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        Kept.calls += 1
+        self[key] = value
+
+    def containsKey(self, key):
+        Kept.calls += 1
+        return key in self
+
+    def removeKey(self, key):
+        Kept.calls += 1
+        del self[key]
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+def ruled(samples, changes, pieces):
+    """The log of a rule machine that gets the rows in ``pieces`` parts, and the calls of its state."""
+    columns = machines.RuleTable.COLUMNS
+    us = lambda at: int((at - datetime(2024, 1, 1)) / timedelta(microseconds=1))
+    rows = [(us(s[2]), 1, s[3], str(s[1]), s[4], None, None, None, None, None) for s in samples if s[2] is not None]
+    rows += [(us(c[2]), 0, c[3], None, None, c[1], c[4], c[5], c[6], c[7]) for c in changes]
+    rows = pd.DataFrame(sorted(rows, key=lambda r: r[:3]), columns=columns)
+    machine = machines.RuleTable(["name", "lane"])
+    machine._rules, machine._alerts = Kept(), Kept()
+    Kept.calls = 0
+    cuts = np.quantile(rows["us"], np.linspace(0, 1, pieces + 1)[1:])
+    parts = [part.reset_index(drop=True) for _, part in rows.groupby(np.searchsorted(cuts, rows["us"]))]
+    found = [log for log in (machine.advance(part, None) for part in parts) if log is not None]
+    return pd.concat(found), Kept.calls
+
+
+@pytest.mark.parametrize("pieces", [1, 2, 9])
+def test_rule_machine_equals_a_loop(pieces):
+    """Alerts and rules that outlast a part, rules changed at the time of a sample, series and values that are missing."""
+    samples, changes = rule_history()
+    start = datetime(2024, 1, 1)
+    for metric in "ab":
+        some, ruling = [s for s in samples if s[0] == metric], [c for c in changes if c[0] == metric]
+        log, _ = ruled(some, ruling, pieces)
+        times = lambda us: start + timedelta(microseconds=int(us))
+        got = [(metric, r.rule, r.series, r.transition, times(r.at_us), times(r.active_us)) for r in log.itertuples()]
+        want = [(*r[:2], str(r[2]), *r[3:]) for r in looped_log(some, ruling)]
+        assert sorted(got) == sorted(want) and len(want) > 50
+
+
+def test_rule_machine_keeps_state_once_for_many_changes():
+    """However often a rule changes among the rows that are due, its state is read and written once."""
+    start, calls = datetime(2024, 1, 1), []
+    for count in (10, 1000):
+        step = timedelta(hours=1) / count
+        samples = [("a", "x", start + i * step, i, float(i % 10)) for i in range(count)]
+        ops = ["put", "disable", "enable", "delete"]
+        changes = [("a", "r", start + i * step, 5000 + i, ops[i % 4], ">", 5.0, 0) for i in range(count - 1)] + [("a", "r", start + timedelta(hours=1), 9000, "put", "<", 50.0, 0)]
+        samples.append(("a", "x", start + timedelta(hours=1), count, 1.0))
+        calls.append(ruled(samples, changes, 1)[1])
+    assert calls[0] == calls[1]

@@ -92,12 +92,12 @@ def fitted(us: np.ndarray, value: np.ndarray) -> tuple[float, float, list[float]
     return slope, float(mean - slope * (len(value) - 1) / 2), season.tolist(), max(variance, MIN_VARIANCE)
 
 
-def transitions(series: np.ndarray, us: np.ndarray, breach: np.ndarray, active: np.ndarray, fired: np.ndarray, hold_us: int):
+def transitions(series: np.ndarray, us: np.ndarray, breach: np.ndarray, active: np.ndarray, fired: np.ndarray, hold_us: int | np.ndarray):
     """What happens to the alerts of one rule over rows sorted by (series, time).
 
     ``active`` and ``fired`` are the open alert of each series (-1 if none).
     Returns row numbers, transition names and alert starts of what happens, in
-    row order, and the open alerts afterwards.
+    row order, and the open alerts afterwards.  ``hold_us`` may differ by row.
     """
     n = len(us)
     row = np.arange(n)
@@ -157,10 +157,50 @@ def firing(limit: float, hold_us: int):
     return fold
 
 
+# A hold that no run of breaches lasts.
+_NEVER_US = np.iinfo(np.int64).max
+
 #: Comparisons by operator; an unknown one never breaches.
 _TESTS = {">": np.greater, "<": np.less, ">=": np.greater_equal, "<=": np.less_equal, "==": np.equal, "!=": np.not_equal}
 
 
+class _Terms:
+    """A rule before its changes (at 0) and after each of them.
+
+    A put sets the terms and switches the rule on; after a delete only a put brings it back.
+    """
+
+    def __init__(self, before: tuple | None, changes: pd.DataFrame):
+        operator, limit, hold_us, on = before if before is not None else (None, np.nan, np.nan, False)
+        op = changes["op"].to_numpy(dtype=object)
+        put = np.append(False, op == "put")
+        place = np.arange(len(put))
+        defined = np.maximum.accumulate(np.where(put | np.append(False, op == "delete"), place, 0))
+        switch = put | np.append(False, op == "enable")
+        switched = np.maximum.accumulate(np.where(switch | np.append(False, op == "disable"), place, 0))
+        there = put.copy()
+        there[0], switch[0] = before is not None, bool(on)
+        self.there, self.on = there[defined], switch[switched]
+        self.alive = self.there & self.on
+        self.operator = np.append(np.array([operator], object), changes["operator"].to_numpy(dtype=object))[defined]
+        self.limit = np.append(float(limit), changes["threshold"].to_numpy(dtype=float))[defined]
+        hold = np.append(float(hold_us), changes["hold_us"].to_numpy(dtype=float))[defined]
+        # Without a hold an alert stays pending.
+        never = np.isnan(hold) | (hold >= _NEVER_US)
+        self.hold_us = np.where(never, _NEVER_US, np.where(never, 0, hold).astype(np.int64))
+
+    def last(self) -> tuple | None:
+        """The rule as it is kept, None if it is deleted."""
+        return (self.operator[-1], float(self.limit[-1]), int(self.hold_us[-1]), bool(self.on[-1])) if self.there[-1] else None
+
+    def breached(self, value: np.ndarray, version: np.ndarray) -> np.ndarray:
+        breach = np.zeros(len(value), bool)
+        for symbol, test in _TESTS.items():
+            some = (self.operator == symbol)[version]
+            breach[some] = test(value[some], self.limit[version[some]])
+        return breach & ~np.isnan(value)
+
+
 class RuleTable(InOrder):
     """Rules of one metric over the series of one lane; rules change while samples go on.
 
@@ -182,64 +222,61 @@ class RuleTable(InOrder):
         if rows is None or rows.empty:
             return None
         rules = {k[0]: tuple(v) for k, v in self._rules.iterator()}
-        found = []
-        changes = np.flatnonzero(rows["kind"].to_numpy() == 0)
-        for first, after in zip([0, *(changes + 1)], [*changes, len(rows)]):
-            if after > first:
-                found += self._judged(rows.iloc[first:after], rules)
-            if after < len(rows):
-                found += self._changed(rows.iloc[after], rules)
+        place = np.arange(len(rows))
+        changed = rows["kind"].to_numpy() == 0
+        changes = rows[changed].assign(place=place[changed])
+        by_rule = {None if pd.isna(rule) else rule: part for rule, part in changes.groupby("rule", sort=False, dropna=False)}
+        samples = rows[~changed]
+        series, names = pd.factorize(samples["series"])
+        sampled = (series, names, place[~changed], samples["us"].to_numpy(), samples["value"].to_numpy(dtype=float))
+        found = [self._judged(name, rules.get(name), by_rule.get(name, changes[:0]), *sampled) for name in {**rules, **by_rule}]
+        found = [log for log in found if log is not None]
         return pd.concat(found, ignore_index=True) if found else None
 
-    def _judged(self, samples: pd.DataFrame, rules: dict) -> list[pd.DataFrame]:
-        live = {name: rule for name, rule in rules.items() if rule[3]}
-        if not live:
-            return []
-        codes, names = pd.factorize(samples["series"])
-        order = np.argsort(codes, kind="stable")
-        series, us, value = codes[order], samples["us"].to_numpy()[order], samples["value"].to_numpy(dtype=float)[order]
-        found = []
-        for name, (operator, limit, hold_us, _) in live.items():
-            test = _TESTS.get(operator)
-            breach = test(value, limit) & ~np.isnan(value) if test else np.zeros(len(value), bool)
-            known = self._open(name)
-            active = np.array([known.get(s, (-1, False))[0] for s in names], np.int64)
-            if not breach.any() and (active < 0).all():
-                continue
-            fired = np.array([known.get(s, (-1, False))[1] for s in names], bool)
-            at, what, starts, active, fired = transitions(series, us, breach, active, fired, hold_us)
-            found.append(_log(name, names[series[at]], what, us[at], starts, value[at]))
-            for s, since, announced in zip(names, active, fired):
-                known.pop(s, None)
-                if since >= 0:
-                    known[s] = (int(since), bool(announced))
-            self._store(name, known)
-        return found
-
-    def _changed(self, change: pd.Series, rules: dict) -> list[pd.DataFrame]:
-        name, op = change["rule"], change["op"]
-        before = rules.get(name)
-        if op == "put":
-            rules[name] = (change["operator"], float(change["threshold"]), int(change["hold_us"]), True)
-        elif before is None:
-            return []
-        elif op == "delete":
-            del rules[name]
-        elif op in ("enable", "disable"):
-            rules[name] = (*before[:3], op == "enable")
-        if name in rules:
-            self._rules.updateValue((name,), rules[name])
-            if rules[name][3]:
-                return []
-        else:
-            self._rules.removeKey((name,))
+    def _judged(self, name, before, changes: pd.DataFrame, series, names, place, us, value) -> pd.DataFrame | None:
+        """What happens to one rule's alerts while it changes; rows are told apart by their place among all rows."""
+        terms = _Terms(before, changes)
+        if len(changes):
+            after = terms.last()
+            if after is not None:
+                self._rules.updateValue((name,), after)
+            elif before is not None:
+                self._rules.removeKey((name,))
+        since = changes["place"].to_numpy()
+        version = np.searchsorted(since, place)
+        on = terms.alive[version]
+        series, place, us, value, version = series[on], place[on], us[on], value[on], version[on]
+        breach = terms.breached(value, version)
         known = self._open(name)
-        self._store(name, {})
-        if not known:
-            return []
-        n = len(known)
-        us = np.full(n, int(change["us"]))
-        return [_log(name, np.array(list(known), object), np.full(n, "resolved"), us, np.array([a for a, _ in known.values()]), np.full(n, np.nan))]
+        if not breach.any() and not known:
+            return None
+        # Series with an open alert may have no sample here.
+        held = list(known)
+        names = names.append(pd.Index(held, dtype=object).difference(names, sort=False))
+        held = names.get_indexer(held)
+        active, fired = np.full(len(names), -1, np.int64), np.zeros(len(names), bool)
+        if len(held):
+            active[held], fired[held] = zip(*known.values())
+        # A change after which the rule is not there is a row that breaches nothing, for each series that it may find open.
+        ends = np.flatnonzero(~terms.alive[1:])
+        opened = np.concatenate((held, series[breach]))
+        end = np.searchsorted(since[ends], np.concatenate((np.full(len(held), -1), place[breach])))
+        pairs = np.unique(opened[end < len(ends)] * (len(ends) + 1) + end[end < len(ends)])
+        closed, end = pairs // (len(ends) + 1), ends[pairs % (len(ends) + 1)]
+        n = len(closed)
+        series = np.concatenate((series, closed))
+        if not len(series):
+            return None
+        order = np.lexsort((np.concatenate((place, since[end])), series))
+        us = np.concatenate((us, changes["us"].to_numpy(np.int64)[end]))[order]
+        value = np.concatenate((value, np.full(n, np.nan)))[order]
+        breach = np.concatenate((breach, np.zeros(n, bool)))[order]
+        hold_us = np.concatenate((terms.hold_us[version], np.zeros(n, np.int64)))[order]
+        series = series[order]
+        at, what, starts, active, fired = transitions(series, us, breach, active, fired, hold_us)
+        left = np.flatnonzero(active >= 0)
+        self._store(name, {names[i]: (int(active[i]), bool(fired[i])) for i in left})
+        return _log(name, names[series[at]], what, us[at], starts, value[at]) if len(at) else None
 
     def _open(self, rule: str) -> dict[str, tuple[int, bool]]:
         """Open alerts of a rule by series."""
