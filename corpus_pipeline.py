@@ -4,10 +4,14 @@ quality: documents that the current rule policy rejects go.  near_dedup: of
 each group of near duplicates the document with the smallest id stays.
 decontaminate: documents that hold a benchmark window go.  secrets: secrets in
 the text are masked.  tokens: every text as token ids and back.
+
+A stage's rows may be made after it has returned, so a stage leaves the session
+with small Arrow batches; ``run`` puts the session back.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -42,12 +46,23 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encoded(docs, BYTE_BPE)
 
 
+def _bounded(stage: Stage) -> Stage:
+    """The stage, with Arrow batches bounded: an executor holds several for each task, beside a heap that the first stage fills."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scratch.bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality", quality),
-    ("near_dedup", near_dedup),
-    ("decontaminate", decontamination),
-    ("secrets", secrets),
-    ("tokens", tokens),
+    ("quality", _bounded(quality)),
+    ("near_dedup", _bounded(near_dedup)),
+    ("decontaminate", _bounded(decontamination)),
+    ("secrets", _bounded(secrets)),
+    ("tokens", _bounded(tokens)),
 ]
 
 #: Byte-pair encoding and learnt formats cannot be said in SQL; tests hold the rows against a brute-force version.
@@ -57,6 +72,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each result is a Parquet table in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = scratch.cut(stage(spark, docs, sf_dir))
+    with scratch.batches(spark):
+        for _, stage in STAGES:
+            docs = scratch.cut(stage(spark, docs, sf_dir))
     return docs

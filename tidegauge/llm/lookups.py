@@ -27,8 +27,9 @@ def heavy_keys(rows: DataFrame, key: str, least: int = HEAVY_ROWS) -> DataFrame
     limit = max(least, (top["total"] or 0) // int(spark.conf.get("spark.sql.shuffle.partitions")))
     if (top["top"] or 0) <= limit:
         return None
-    found = counts.where(F.col("_n") > limit).select(key).collect()
-    return F.broadcast(spark.createDataFrame(found, counts.select(key).schema))
+    # As an Arrow table: Python rows would be unpacked by workers of another daemon on every executor.
+    found = counts.where(F.col("_n") > limit).select(key)
+    return F.broadcast(spark.createDataFrame(found.toArrow(), found.schema))
 
 
 def looked_up(rows: DataFrame, key: str, table: DataFrame, how: str = "inner", least: int = HEAVY_ROWS) -> DataFrame:

@@ -30,6 +30,7 @@ their full sets is at least ``threshold`` per cent of the union.
 Sets are made from the text when a pair is to be confirmed and travel to the
 pair's centre; a centre with many members is dealt out in chunks of
 ``CHUNK`` members, and a task streams its rows holding one centre at a time.
+Every step in Python is stored at once, with Arrow batches of a few megabytes.
 
 Defined cases: null and empty texts have an empty set and are linked with
 nothing; rows that share an id are the same document and get one component;
@@ -58,10 +59,12 @@ BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
 CHUNK = 256
+#: Bytes of text worked on at a time; a worker keeps the memory of its largest slice.
+SLICE = 1 << 20
 #: Members of a mixed bucket in a block, bins of a sketch, and pairs compared at a time.
 BLOCK = 4096
 SKETCH = 512
-SLAB = 1 << 18
+SLAB = 1 << 16
 #: Ids that may be broadcast (16 bytes each in the hashed relation); more are shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -133,7 +136,7 @@ def signatures(documents: DataFrame, id: str = "doc_id", text: str = "text") ->
     """(doc, digest, n_shingles, keys, sketch) per document row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             digests, sizes, keys, sketches = [], [], [], []
             for digest, hashes in shingles(batch.column("text")):
                 digests.append(digest)
@@ -175,7 +178,7 @@ def linked(documents: DataFrame, pairs: DataFrame, id: str, text: str, threshold
     kind = source.schema["doc"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             made = pa.array([hashes.tobytes() for _, hashes in shingles(batch.column("text"))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), made], ["doc", "hashes"])
 
@@ -216,7 +219,7 @@ def _alike(a: Column, b: Column, threshold: int) -> Column:
 
 def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """(id, n_shingles, component, kept) per document row; the component is the smallest id that links reach."""
-    signed = scratch.cut(signatures(documents, id, text))
+    signed = scratch.cut(signatures(documents, id, text), scratch.BATCH_BYTES)
     with_id = signed.where("doc IS NOT NULL AND digest IS NOT NULL")
     classes = scratch.cut(
         with_id.groupBy("digest").agg(
@@ -232,7 +235,7 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
     sizes = classes.groupBy("rep").agg(F.max("n").alias("n"))
     stars = buckets.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b"), "n").distinct()
     candidates = stars.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), "a").where(_alike(F.col("n"), F.col("n_a"), threshold))
-    links = scratch.cut(linked(documents, candidates.select("a", "b"), id, text, threshold))
+    links = scratch.cut(linked(documents, candidates.select("a", "b"), id, text, threshold), scratch.BATCH_BYTES)
     links = _rest(documents, classes, buckets, links, id, text, threshold)
     roots = components(links.unionByName(copies))
     known = signed.where("doc IS NOT NULL").join(roots, F.col("doc") == F.col("node"), "left")
@@ -248,10 +251,10 @@ def _rest(documents: DataFrame, classes: DataFrame, buckets: DataFrame, links: D
     rows = _mixed(buckets.select("rep", "n", "key"), roots).join(classes.select("rep", "sketch", "keys"), "rep")
     for best in (True, False):
         rows = scratch.cut(_mixed(rows, roots))
-        pairs = scratch.cut(_compared(rows, threshold, best))
+        pairs = scratch.cut(_compared(rows, threshold, best), scratch.BATCH_BYTES)
         if pairs.isEmpty():
             return links
-        links = scratch.cut(links.unionByName(linked(documents, pairs, id, text, threshold)))
+        links = scratch.cut(links.unionByName(linked(documents, pairs, id, text, threshold)), scratch.BATCH_BYTES)
         if best:
             roots = components(links)
     return links
