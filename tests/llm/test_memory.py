@@ -1,11 +1,15 @@
 """What executors hold beside the heap: Arrow batches on the way to Python, and Python workers."""
 
+from collections import Counter
+
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidegauge.llm import lookups, neardup
+from tidegauge.llm import bloomlm, lookups, neardup
 from tidegauge.plans import scratch
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -79,3 +83,57 @@ def test_heavy_keys_need_no_python_workers(spark, key):
     assert heavy.dtypes == rows.dtypes
     assert heavy.collect() == rows.groupBy("k").count().where("count > 100").select("k").collect()
     assert "RDD" not in heavy._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [bloomlm.MODEL_BYTES, 200])
+def test_language_model_bounds_batches_and_returns_its_broadcasts(spark, monkeypatch, limit):
+    texts = spark.createDataFrame([(i, f"a b c{i} d e") for i in range(20)], "doc_id bigint, text string").repartition(4)
+    cut, gone, shared = scratch.cut, Broadcast.destroy, bloomlm._shared
+    stored, made, destroyed = [], [], []
+
+    def spied(df, batch_bytes=None):
+        stored.append(batch_bytes)
+        return cut(df, batch_bytes)
+
+    def sharing(*args):
+        out = shared(*args)
+        made.extend(out[c] for c in ("vocabulary", "counts", "filter"))
+        return out
+
+    monkeypatch.setattr(bloomlm.scratch, "cut", spied)
+    monkeypatch.setattr(bloomlm, "_shared", sharing)
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *args: (destroyed.append(self), gone(self, *args)))
+    found = bloomlm.scored(texts, bloomlm.train(texts), limit=limit)
+    assert stored and set(stored) == {scratch.BATCH_BYTES}
+    assert made and list(map(id, made)) == list(map(id, destroyed))
+    assert (len(made) > 3) == (limit == 200)
+    assert [tuple(r) for r in found.select("doc_id", "n_tokens", "n_known").orderBy("doc_id").collect()] == [(i, 6, 6) for i in range(20)]
+
+
+@pytest.mark.parametrize("parts", [2, 64, 1024])
+def test_language_model_counts_are_handed_out_in_small_batches(monkeypatch, parts):
+    """A task's gathered pairs are added up range by range: no batch holds more than a share of them."""
+
+    class Texts:
+        def mapInArrow(self, function, schema):
+            return function
+
+    monkeypatch.setattr(bloomlm, "GATHERED", 60_000)
+    shift = 64 - (parts - 1).bit_length()
+    texts = pa.array([" ".join(f"w{(i * 31 + j * j) % 5003}" for j in range(400)) for i in range(400)] + [None, ""])
+    batches = [pa.RecordBatch.from_arrays([texts[a : a + 50]], ["text"]) for a in range(0, len(texts), 50)]
+    out = list(bloomlm._counted(Texts(), shift)(iter(batches)))
+
+    found = {1: Counter(), 2: Counter()}
+    for row in (r for b in out for r in b.to_pylist()):
+        keys = bloomlm._short(row["keys"]) if row["kind"] == 2 and shift >= 48 else np.frombuffer(row["keys"], np.uint64)
+        if row["kind"] == 1 or shift < 48:
+            assert set((keys >> np.uint64(shift)).tolist()) == {row["part"]}
+        for k, n in zip(keys.tolist(), np.frombuffer(row["counts"], "<u4").tolist()):
+            found[row["kind"]][k] += n
+    tokens = bloomlm.Tokens(texts)
+    pairs = tokens.pairs & np.uint64(2**48 - 1) if shift >= 48 else tokens.pairs
+    assert found[2] == Counter(pairs.tolist())
+    assert found[1] == Counter(tokens.distinct[tokens.codes].tolist()) + Counter({int(bloomlm._BEGIN): len(texts)})
+    sizes = [sum(len(r) for r in b.column("counts").to_pylist()) // 4 for b in out]
+    assert max(sizes) < (0.55 if parts == 2 else 0.1) * (bloomlm.GATHERED + 20_050)

@@ -15,7 +15,9 @@ by leading hash bits to as many parts as there are tasks, twice; a part adds up
 what it gets and builds its own piece of the filter and of the exact unigram
 table.  Only finished pieces are broadcast, and those in groups of at most
 ``MODEL_BYTES``: while the model fits it is one pass over the texts, a larger
-one takes a pass per group, whose levels are joined per document.
+one takes a pass per group, whose levels are joined per document.  Every step
+in Python is stored at once, with Arrow batches of a few megabytes, and a group
+is taken from driver and executors when its pass is stored.
 
 Defined cases: null and empty texts have only the end token; a null id counts
 as the empty text when training texts are chosen; repeated rows each count and
@@ -41,8 +43,11 @@ BITS = 8
 PROBES = 5
 PRIOR = 100.0
 MODEL_BYTES = 192 << 20
-#: Pairs that a task gathers before it hands them on.
+#: Bytes of text worked on at a time; a worker keeps the memory of its largest slice.
+SLICE = 1 << 20
+#: Pairs that a task gathers before it hands them on, and the bits of the hash by which it then adds them up range by range.
 GATHERED = 1_500_000
+RANGE_BITS = 4
 MAX_LEVEL = 100
 #: Bytes of the model that are fetched at a time.
 FETCHED_BYTES = 24 << 20
@@ -90,6 +95,16 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
 
 
+def _ranges(pieces: list[tuple[np.ndarray, np.ndarray]], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sums over pieces of sorted keys, for one range of the leading ``bits`` at a time; ranges without keys are left out."""
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    cuts = [[0, *np.searchsorted(keys, edges).tolist(), len(keys)] for keys, _ in pieces]
+    for i in range(1 << bits):
+        some = [(keys[c[i] : c[i + 1]], counts[c[i] : c[i + 1]]) for (keys, counts), c in zip(pieces, cuts) if c[i] < c[i + 1]]
+        if some:
+            yield summed(np.concatenate([k for k, _ in some]), np.concatenate([n for _, n in some]))
+
+
 def _counted(texts: DataFrame, shift: int) -> DataFrame:
     """(part, kind, keys, counts): what each task counts, by leading bits of the hash."""
 
@@ -115,15 +130,16 @@ def _counted(texts: DataFrame, shift: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for kind, pieces in held.items():
-                keys, counts = summed(np.concatenate([k for k, _ in pieces]), np.concatenate([c for _, c in pieces]))
-                yield hand_out(kind, keys, counts)
+                # Whole parts are in a range, so this hands out no more rows.
+                for keys, counts in _ranges(pieces, min(RANGE_BITS, 64 - shift)):
+                    yield hand_out(kind, keys, counts)
                 pieces.clear()
 
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             tokens = Tokens(batch.column("text"))
             ones = np.bincount(tokens.codes, minlength=len(tokens.distinct)).astype(np.int64)
             n = len(tokens.rows) - 1
-            held[1].append((np.append(tokens.distinct, [_BEGIN]), np.append(ones, n)))
+            held[1].append(summed(np.append(tokens.distinct, [_BEGIN]), np.append(ones, n)))
             held[2].append(summed(tokens.pairs, np.ones(len(tokens.pairs), np.int64)))
             size += len(held[2][-1][0])
             if size >= GATHERED:
@@ -189,7 +205,7 @@ def train(texts: DataFrame, text: str = "text") -> DataFrame:
 
     schema = "part int, vocabulary binary, counts binary, filter binary, n_tokens bigint, n_words bigint"
     pieces = _counted(source, shift).groupBy("part").applyInArrow(add_up, schema)
-    return scratch.cut(pieces.withColumn("shift", F.lit(shift)))
+    return scratch.cut(pieces.withColumn("shift", F.lit(shift)), scratch.BATCH_BYTES)
 
 
 def _short(raw: bytes) -> np.ndarray:
@@ -241,12 +257,13 @@ class Model:
 
 
 _MODELS: dict[str, Model] = {}
+_COLUMNS = ("vocabulary", "counts", "filter")
 
 
 def _model(name: str, shared: dict) -> Model:
     if name not in _MODELS:
         _MODELS.clear()
-        _MODELS[name] = Model(shared["shift"], shared["sizes"], *(shared[c].value for c in ("vocabulary", "counts", "filter")))
+        _MODELS[name] = Model(shared["shift"], shared["sizes"], *(shared[c].value for c in _COLUMNS))
     return _MODELS[name]
 
 
@@ -271,7 +288,7 @@ def _shared(model: DataFrame, parts: list[int]) -> dict:
     """
     shared = {"shift": 63, "sizes": []}
     fetches = [some for some in _groups(model.where(F.col("part").isin(parts)), FETCHED_BYTES) if some]
-    for column in ("vocabulary", "counts", "filter"):
+    for column in _COLUMNS:
         gathered, shared["sizes"] = bytearray(), []
         for some in fetches:
             rows = model.where(F.col("part").isin(some)).select("part", "shift", column).collect()
@@ -283,6 +300,15 @@ def _shared(model: DataFrame, parts: list[int]) -> dict:
     return shared
 
 
+def _stored(rows: DataFrame, shared: dict) -> DataFrame:
+    """The rows as a stored table; the group they were made with is taken back from driver and executors."""
+    try:
+        return scratch.cut(rows, scratch.BATCH_BYTES)
+    finally:
+        for column in _COLUMNS:
+            shared[column].destroy()
+
+
 def _lookups(tokens: Tokens, known: Model) -> tuple[np.ndarray, ...]:
     exact, word = known.exact(tokens.distinct), known.level(tokens.distinct, 1)
     words_level = word[tokens.codes]
@@ -319,13 +345,14 @@ def scored(documents: DataFrame, model: DataFrame, id: str = "doc_id", text: str
         shared, name = _shared(model, groups[0]), uuid.uuid4().hex
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches, "text"):
+            for batch in sliced(batches, "text", SLICE):
                 tokens = Tokens(batch.column("text"))
                 found = _lookups(tokens, _model(name, shared))
                 yield _scored(batch.column("_key"), tokens.rows, _sums(*found, tokens.rows[:-1], n_train, n_words, prior))
 
         source = documents.select(F.col(id).alias("_key"), F.col(text).alias("text"))
-        return source.mapInArrow(score, f"_key {source.schema['_key'].dataType.simpleString()}, {_SCORED}").withColumnRenamed("_key", id)
+        made = source.mapInArrow(score, f"_key {source.schema['_key'].dataType.simpleString()}, {_SCORED}")
+        return _stored(made, shared).withColumnRenamed("_key", id)
 
     source = documents.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id")).alias("_row"), F.col(text).alias("text"))
     key = source.schema["_row"].dataType.simpleString()
@@ -334,18 +361,18 @@ def scored(documents: DataFrame, model: DataFrame, id: str = "doc_id", text: str
         shared, name = _shared(model, parts), uuid.uuid4().hex
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches, "text"):
+            for batch in sliced(batches, "text", SLICE):
                 tokens = Tokens(batch.column("text"))
                 found = _lookups(tokens, _model(name, shared))
                 columns = [pa.array([x[a:b].tobytes() for a, b in zip(tokens.rows[:-1], tokens.rows[1:])], pa.binary()) for x in found]
                 yield pa.RecordBatch.from_arrays([batch.column("_row"), *columns], ["_row", "exact", "words", "contexts", "pairs"])
 
-        return source.mapInArrow(look, f"_row {key}, exact binary, words binary, contexts binary, pairs binary")
+        return _stored(source.mapInArrow(look, f"_row {key}, exact binary, words binary, contexts binary, pairs binary"), shared)
 
     # Each token's n-grams are known to one group, so levels of all passes are united by their maximum.
     passes = None
     for parts in groups:
-        looked = scratch.cut(pass_over(parts))
+        looked = pass_over(parts)
         passes = looked if passes is None else passes.unionByName(looked)
 
     def unite(table: pa.Table) -> pa.Table:
